@@ -52,6 +52,16 @@ LP = """lp AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_returnflag AS label
   l_quantity AS x, l_extendedprice AS y FROM lineitem)"""
 
 
+def order_points(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("label"),
+        F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("y"))
+
+
+OP = """op AS (SELECT o_orderkey AS id, o_orderstatus AS label, CAST(o_custkey AS DOUBLE) AS x,
+  o_totalprice AS y FROM orders)"""
+
+
 # -- one big open mesh from part ---------------------------------------------------------------
 def mesh(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Height field: (vertices, faces) with one mesh_id 0 and integer coordinates."""

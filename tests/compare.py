@@ -73,7 +73,7 @@ def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     wanted = sys.argv[2:]
     spark = get_session("compare", "8")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     folder = f"/root/testdata/sf{sf}"
     con, sqls, bad = connect(folder), oracle_sql(), 0
     for name, fn in queries().items():
