@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("points",)
+FAMILIES = ("points", "retrieval")
 
 
 def load_all() -> None:
