@@ -128,8 +128,8 @@ def r6_bm25_search(spark, sf):
 @query("r7_snippet", f"""WITH {_tokens('benchmark', 'item_id', 'text', 'q')}, tm AS (SELECT list(DISTINCT stem) AS terms FROM q WHERE item_id < 5),
   d AS (SELECT doc_id, terms, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents, tm),
   b AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS bare FROM d),
-  m AS (SELECT *, list_filter(range(1, len(w) + 1), lambda p: list_contains(terms, bare[p])) AS at FROM b),
-  s AS (SELECT *, list_transform(at, lambda p: {{'n': len(list_distinct(list_filter(bare[p:p + 13], lambda x: list_contains(terms, x)))), 'p': -p}}) AS sc FROM m),
+  m AS (SELECT *, list_filter(range(1, len(w) + 1), lambda p: list_contains(terms, bare[p])) AS ats FROM b),
+  s AS (SELECT *, list_transform(ats, lambda p: {{'n': len(list_distinct(list_filter(bare[p:p + 13], lambda x: list_contains(terms, x)))), 'p': -p}}) AS sc FROM m),
   o AS (SELECT *, coalesce(-(list_reverse_sort(sc)[1]).p, 1) AS st FROM s)
   SELECT doc_id, array_to_string(list_transform(range(st, least(st + 14, len(w) + 1)), lambda p: CASE WHEN list_contains(terms, bare[p]) THEN '[' || w[p] || ']' ELSE w[p] END), ' ') AS snippet FROM o""")
 def r7_snippet(spark, sf):
