@@ -74,3 +74,24 @@ def rank_cut(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
 def dense_ids(df: DataFrame, key: str, name: str = "dense_id") -> DataFrame:
     """Contiguous ids from 0 for the distinct values of ``key``, in key order."""
     return global_rank(df.select(key).distinct(), [F.col(key)], name, start=0)
+
+
+def grouped_rank(df: DataFrame, by: str, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """``row_number`` per group that also splits a group over many tasks.
+
+    Rows are range-partitioned by (group, order); only the first group of a range can have begun in
+    an earlier one, so the shifts to add are at most one row per range.
+    """
+    ranged = _ranges(df, [F.col(by), *order])
+    counts = ranged.groupBy("_part", by).agg(F.count(F.lit(1)).alias("_n"))
+    firsts = ranged.groupBy("_part").agg(F.min(by).alias(by))
+    earlier = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        counts.join(F.broadcast(firsts.select(by).distinct()), by, "left_semi")
+        .withColumn("_shift", F.sum("_n").over(earlier)).filter("_shift IS NOT NULL").select("_part", by, "_shift")
+    )
+    within = Window.partitionBy("_part", by).orderBy(*order)
+    return (
+        ranged.withColumn("_row", F.row_number().over(within)).join(F.broadcast(shifts), ["_part", by], "left")
+        .withColumn(name, (F.col("_row") + F.coalesce("_shift", F.lit(0))).cast("bigint")).drop("_part", "_row", "_shift")
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("points", "retrieval")
+FAMILIES = ("points", "retrieval", "provenance", "mesh")
 
 
 def load_all() -> None:
