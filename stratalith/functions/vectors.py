@@ -14,6 +14,19 @@ def vec(*names: str | Column) -> Vec:
     return tuple(F.col(n) if isinstance(n, str) else n for n in names)
 
 
+class named(Sequence):
+    """A vector of column names that become Columns on use, so modules import without a session."""
+
+    def __init__(self, *names: str):
+        self.names = names
+
+    def __getitem__(self, i):
+        return F.col(self.names[i])
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
 def const(values: Sequence[float]) -> Vec:
     return tuple(F.lit(float(v)) for v in values)
 

@@ -16,7 +16,7 @@ from ..session import is_empty, settle
 from .graph import connected_components, loop_order, parity
 from .ordering import dense_ids
 
-A, B, C = v.vec("ax", "ay", "az"), v.vec("bx", "by", "bz"), v.vec("cx", "cy", "cz")
+A, B, C = v.named("ax", "ay", "az"), v.named("bx", "by", "bz"), v.named("cx", "cy", "cz")
 
 
 def corners(vertices: DataFrame, faces: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -360,7 +360,7 @@ def split_plane(vertices: DataFrame, faces: DataFrame, normal: Sequence[float],
     def cut(s: str, t: str) -> Column:
         swap = F.col(f"{s}.id") < F.col(f"{t}.id")
         lo, hi = F.when(swap, F.col(s)).otherwise(F.col(t)), F.when(swap, F.col(t)).otherwise(F.col(s))
-        share = lo["d"] / (lo["d"] - hi["d"])
+        share = F.try_divide(lo["d"], lo["d"] - hi["d"])
         return F.struct(*[(lo[x] + (hi[x] - lo[x]) * share).alias(x) for x in "xyz"])
 
     k = k.withColumn("pq", cut("p", "q")).withColumn("rp", cut("r", "p"))
@@ -399,7 +399,7 @@ def slice_mesh(vertices: DataFrame, faces: DataFrame, heights: Sequence[float],
         swap = F.col(s) < F.col(t)
         a = {x: F.when(swap, F.col(s + x)).otherwise(F.col(t + x)) for x in "xyz"}
         b = {x: F.when(swap, F.col(t + x)).otherwise(F.col(s + x)) for x in "xyz"}
-        share = (level - a[axis]) / (b[axis] - a[axis])
+        share = F.try_divide(level - a[axis], b[axis] - a[axis])
         point = [(a[x] + (b[x] - a[x]) * share).alias(x) for x in "xyz"]
         return F.when(above[s] != above[t], F.struct(F.least(s, t).alias("lo"), F.greatest(s, t).alias("hi"), *point))
 
@@ -522,7 +522,7 @@ def smooth_shape(vertices: DataFrame, faces: DataFrame, step: float, iterations:
         h = half_edges(faces).join(at("u"), "u").join(at("v"), "v").join(at("w"), "w")
         u, o, w = v.vec("ux", "uy", "uz"), v.vec("vx", "vy", "vz"), v.vec("wx", "wy", "wz")
         p, q = v.sub(u, w), v.sub(o, w)
-        cot = v.dot(p, q) / v.norm(v.cross(p, q)) * 0.5
+        cot = F.try_divide(v.dot(p, q), v.norm(v.cross(p, q))) * 0.5
         h = h.withColumn("cot", F.when(v.norm(v.cross(p, q)) > 0, cot).otherwise(0.0))
         both = h.select("cot", F.explode(F.array(F.struct(F.col("u").alias("vid"), *[F.col(f"v{c}").alias(f"o{c}") for c in "xyz"]),
                                                  F.struct(F.col("v").alias("vid"), *[F.col(f"u{c}").alias(f"o{c}") for c in "xyz"]))).alias("s")).select("cot", "s.*")

@@ -161,7 +161,7 @@ def hierarchy_simplify(points: DataFrame, size: int, max_variation: float, max_r
             *linear.moments(None, v.vec("x", "y", "z"), v.vec("mx", "my", "mz")))
         shape = moments.withColumn("e", linear.eigh3(*linear.SYMMETRIC))
         trace = F.col("e.l0") + F.col("e.l1") + F.col("e.l2")
-        variation = F.when(trace > 0, F.greatest(F.col("e.l0"), F.lit(0.0)) / trace).otherwise(0.0)
+        variation = F.when(trace > 0, F.try_divide(F.greatest(F.col("e.l0"), F.lit(0.0)), trace)).otherwise(0.0)
         stop = ((F.col("n") <= size) & (variation <= max_variation)) | (trace <= 0) | (F.col("n") == 1)
         shape = settle(shape.select("cluster", "mx", "my", "mz", "e.px", "e.py", "e.pz", stop.alias("stop")))
         marked = settle(open_.join(shape, "cluster"))
@@ -289,7 +289,7 @@ def bounding_ball(points: DataFrame, by: str, eps: float = 0.01, coords: Sequenc
         away = F.sqrt(v.dist2(p, c)) + grown
         # The far side of a small ball, seen from the centre.
         unit = F.sqrt(v.dist2(p, c))
-        far = F.array(*[q + F.when(unit > 0, (q - m) / unit * grown).otherwise(0.0) for q, m in zip(p, c)]) if radius else F.array(*p)
+        far = F.array(*[q + F.when(unit > 0, F.try_divide(q - m, unit) * grown).otherwise(0.0) for q, m in zip(p, c)]) if radius else F.array(*p)
         farthest = points.join(state, by).groupBy(by).agg(
             F.max(F.struct(away.alias("upper"), far.alias("far"))).alias("f"))
         grownset = state.join(farthest, by).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("points", "retrieval", "provenance", "mesh")
+FAMILIES = ("points", "retrieval", "provenance", "mesh", "spatial")
 
 
 def load_all() -> None:
