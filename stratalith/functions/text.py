@@ -63,23 +63,29 @@ def stem(word: Column) -> Column:
     return out.when(plural, F.left(word, F.length(word) - 1)).otherwise(word)
 
 
-def canonical(word: Column) -> Column:
-    """Stem, then one common spelling per word family."""
-    short = stem(word)
+def _family(short: Column) -> Column:
     out: Column | None = None
     for suffix, new in CANONICAL_RULES:
         keep = F.length(short) - len(suffix)
-        test = short.endswith(suffix) & (keep >= 4)
         value = F.concat(F.left(short, keep), F.lit(new))
+        test = short.endswith(suffix) & (keep >= 4)
         out = F.when(test, value) if out is None else out.when(test, value)
-    base = out.otherwise(short)
+    return out.otherwise(short)
+
+
+def _drop_e(base: Column) -> Column:
     return F.when(base.endswith("e") & (F.length(base) > 5), F.left(base, F.length(base) - 1)).otherwise(base)
 
 
+def canonical(words: Column) -> Column:
+    """Stem, then one common spelling per word family.  One array pass per step: nested in a single
+    pass, each step would evaluate the one before it many times per word."""
+    return F.transform(F.transform(F.transform(words, stem), _family), _drop_e)
+
+
 def _kept_words(normalized: Column) -> Column:
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(F.regexp_extract_all(normalized, F.lit(WORD), F.lit(0)),
-                    lambda w: ~F.array_contains(stops, w) & ((F.length(w) >= 3) | w.isin("2d", "3d")))
+    long_enough = F.filter(F.regexp_extract_all(normalized, F.lit(WORD), F.lit(0)), lambda w: (F.length(w) >= 3) | w.isin("2d", "3d"))
+    return F.array_except(long_enough, F.array(*[F.lit(w) for w in STOP_WORDS]))
 
 
 def content_words(normalized: Column) -> Column:
@@ -101,7 +107,7 @@ def _cjk_bigrams(normalized: Column) -> Column:
 
 def tokens(normalized: Column, cjk: bool = True) -> Column:
     """Distinct canonical words, plus character bigrams of CJK runs."""
-    words = F.transform(_kept_words(normalized), canonical)
+    words = canonical(_kept_words(normalized))
     if cjk:
         # Most texts hold no CJK character; the cheap test skips the nested arrays.
         extra = F.when(normalized.rlike(CJK_RUN), _cjk_bigrams(normalized)).otherwise(F.array().cast("array<string>"))

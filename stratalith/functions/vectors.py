@@ -21,7 +21,7 @@ class named(Sequence):
         self.names = names
 
     def __getitem__(self, i):
-        return F.col(self.names[i])
+        return vec(*self.names[i]) if isinstance(i, slice) else F.col(self.names[i])
 
     def __len__(self) -> int:
         return len(self.names)

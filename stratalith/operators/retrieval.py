@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import settle, spread
 
 #: Rows up to which a side may be broadcast; always counted first.
 BROADCAST_ROWS = 200_000
@@ -20,13 +21,14 @@ def small(df: DataFrame) -> DataFrame:
 
 def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, token``: distinct retrieval tokens of every text."""
-    return df.select(key, F.explode(t.tokens(t.normalize_text(F.col(text)))).alias("token"))
+    plain = spread(df.select(key, text)).select(key, t.normalize_text(F.col(text)).alias("_n"))
+    return plain.select(key, F.explode(t.tokens(F.col("_n"))).alias("token"))
 
 
 def gram_rows(df: DataFrame, key: str, text: str, longest: int) -> DataFrame:
     """``key, form``: distinct word runs.  The word array is a column of its own, because an
     expression captured by a lambda would be evaluated again for every element."""
-    worded = df.select(key, t.marked_words(t.normalize_text(F.col(text))).alias("_w"))
+    worded = spread(df.select(key, text)).select(key, t.marked_words(t.normalize_text(F.col(text))).alias("_w"))
     return worded.select(key, F.explode(t.ngrams(F.col("_w"), longest)).alias("form"))
 
 
@@ -66,7 +68,7 @@ def enrich_aliases(docs: DataFrame, vocabulary: DataFrame, key: str, text: str,
 def trigram_index(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """``field, trigram, key, hits``: character-trigram postings of every field."""
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(f, F.lit(""))).alias("body")) for f in fields]))
-    rows = docs.select(key, named.alias("n")).select(key, "n.field", "n.body").filter(F.length("body") >= 3)
+    rows = spread(docs.select(key, *fields)).select(key, named.alias("n")).select(key, "n.field", "n.body").filter(F.length("body") >= 3)
     grams = rows.select("field", key, "body", F.explode(F.sequence(F.lit(1), F.length("body") - 2)).alias("p")) \
         .select("field", key, F.substring(F.col("body"), F.col("p"), F.lit(3)).alias("trigram"))
     return grams.groupBy("field", "trigram", key).agg(F.count(F.lit(1)).alias("hits"))
@@ -83,7 +85,7 @@ def document_sizes(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFram
 def word_postings(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """``field, word, key, hits`` over maximal runs of letters and digits."""
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(f, F.lit(""))).alias("body")) for f in fields]))
-    return docs.select(key, named.alias("n")).select(
+    return spread(docs.select(key, *fields)).select(key, named.alias("n")).select(
         key, "n.field", F.explode(F.regexp_extract_all("n.body", F.lit("[a-z0-9]+"), F.lit(0))).alias("word")) \
         .groupBy("field", "word", key).agg(F.count(F.lit(1)).alias("hits"))
 
@@ -100,15 +102,15 @@ def bm25_search(docs: DataFrame, queries: DataFrame, key: str, qid: str, terms:
     Terms are matched against the distinct words of the corpus rather than against the texts: a
     term's hits in a document are the sum over its words of word count times occurrences inside it.
     """
-    postings = word_postings(docs, key, list(weights))
+    postings = settle(word_postings(docs, key, list(weights)))
     wanted = queries.select(qid, F.explode(terms).alias("term")).filter(F.length("term") >= 3).distinct()
     phrases = wanted.select("term").distinct()
     lengths = [r[0] for r in phrases.select(F.length("term")).distinct().collect()]  # a few small integers
     inside = postings.select("word").distinct().select("word", F.explode(t.pieces(F.col("word"), lengths)).alias("term")) \
         .join(small(phrases), "term").groupBy("word", "term").agg(F.count(F.lit(1)).alias("times"))
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
-    hits = postings.join(inside, "word").groupBy("term", key).agg(
-        F.sum(F.col("hits") * F.col("times") * table[F.col("field")]).alias("f"))
+    hits = settle(postings.join(inside, "word").groupBy("term", key).agg(
+        F.sum(F.col("hits") * F.col("times") * table[F.col("field")]).alias("f")))
     sizes = document_sizes(docs, key, list(weights))
     whole = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("size").alias("avg_size"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -84,3 +84,10 @@ def settle(df: DataFrame, *partition_hint: str) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work every core when the input arrives in too few pieces (one small file).
+    Tables that already have enough partitions are left alone, so nothing is shuffled at scale."""
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
