@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("points", "retrieval", "provenance", "mesh", "spatial", "kernel", "streams", "sources")
+FAMILIES = ("points", "retrieval", "provenance", "mesh", "spatial", "kernel", "streams", "sources", "local_fit")
 
 
 def load_all() -> None:

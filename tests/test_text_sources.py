@@ -50,14 +50,14 @@ def test_certified_sign_decides_what_doubles_cannot(spark):
 
 
 def test_kernel_intersections_of_parallel_segments(spark):
-    prim = spark.createDataFrame([("a", "Segment_2", [0.0, 0, 4, 0]), ("b", "Segment_2", [2.0, 0, 6, 0]), ("c", "Segment_2", [4.0, 0, 6, 0]), ("d", "Segment_2", [0.0, 1, 4, 1])], "id string, kind string, coords array<double>")
+    prim = spark.createDataFrame([("a", "Segment_2", [0.0, 0.0, 4.0, 0.0]), ("b", "Segment_2", [2.0, 0.0, 6.0, 0.0]), ("c", "Segment_2", [4.0, 0.0, 6.0, 0.0]), ("d", "Segment_2", [0.0, 1.0, 4.0, 1.0])], "id string, kind string, coords array<double>")
     asked = spark.createDataFrame([("q1", "intersection", ["a", "b"]), ("q2", "intersection", ["a", "c"]), ("q3", "intersection", ["a", "d"])], "id string, query string, arguments array<string>")
     got = {r.id: r.result for r in kn.evaluate_intersections(prim, asked).collect()}
     assert got == {"q1": "segment", "q2": "point", "q3": "empty"}
 
 
 def test_predicates_by_hand(spark):
-    prim = spark.createDataFrame([("a", "Point_2", [0.0, 0]), ("b", "Point_2", [4.0, 0]), ("c", "Point_2", [0.0, 4])], "id string, kind string, coords array<double>")
+    prim = spark.createDataFrame([("a", "Point_2", [0.0, 0.0]), ("b", "Point_2", [4.0, 0.0]), ("c", "Point_2", [0.0, 4.0])], "id string, kind string, coords array<double>")
     asked = spark.createDataFrame([(q, q, ["a", "b", "c"]) for q in ("left_turn", "centroid", "circumcenter")], "id string, query string, arguments array<string>")
     got = {r.id: r for r in kn.evaluate_predicates(prim, asked).collect()}
     assert got["left_turn"].truth and got["circumcenter"].point == [2.0, 2.0] and got["centroid"].point == [pytest.approx(4 / 3)] * 2
