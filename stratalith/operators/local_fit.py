@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import linear
 from ..functions import vectors as v
 from ..session import is_empty, settle
-from .graph import connected_components
-from .mesh import _remap, corners
+from .graph import connected_components, parity
+from .mesh import _remap, corners, face_normals
 from .neighbors import knn_join
 from .points import affine_transform
 from .skew import salted_join
@@ -108,22 +108,119 @@ def radius_components(points: DataFrame, reach: float, coords: Sequence[str]) ->
 
 
 def interval_centers(points: DataFrame, p: int, by: str, rounds: int = 60) -> DataFrame:
-    """Smallest radius so that p intervals cover all x of a group (to double precision), all groups
-    in one job per jump: a test starts at the smallest x and jumps p times to the first x beyond."""
-    state = points.groupBy(by).agg(F.min("x").alias("first"), F.max("x").alias("last")).withColumn("lo", F.lit(0.0)).withColumn("hi", (F.col("last") - F.col("first")) / 2)
-    state = settle(state)
+    """Smallest radius so that p intervals cover all x of a group; all groups share every job.
+
+    A test starts at the smallest x and jumps p times to the first x beyond the cover.  A radius that
+    fits is at once lowered to half the longest interval really used, so the answer is always half
+    the difference of two points and becomes exact once no other difference lies in the bracket.
+    """
+    state = settle(points.groupBy(by).agg(F.min("x").alias("first"), F.max("x").alias("last"))
+                   .withColumn("lo", F.lit(-1e-300)).withColumn("hi", (F.col("last") - F.col("first")) / 2))
     for _ in range(rounds):
-        at = state.withColumn("r", (F.col("lo") + F.col("hi")) / 2).withColumn("cover", F.col("first") + 2 * F.col("r"))
-        for _ in range(p - 1):
-            nxt = points.join(at.select(by, "cover"), by).filter(F.col("x") > F.col("cover")).groupBy(by).agg(F.min("x").alias("n"))
-            at = at.join(nxt, by, "left").withColumn("cover", F.coalesce(F.col("n") + 2 * F.col("r"), F.col("cover"))).drop("n")
-        fits = F.col("cover") >= F.col("last")
-        state = settle(at.select(by, "first", "last", F.when(fits, F.col("lo")).otherwise(F.col("r")).alias("lo"), F.when(fits, F.col("r")).otherwise(F.col("hi")).alias("hi")))
-        if is_empty(state.filter((F.col("hi") - F.col("lo")) > 1e-9 * (F.abs("last") + F.abs("first") + 1e-300))):
+        at = state.withColumn("r", F.greatest((F.col("lo") + F.col("hi")) / 2, F.lit(0.0))).withColumn("start", F.col("first")).withColumn("used", F.lit(0.0)).withColumn("end", F.col("first"))
+        for _ in range(p):
+            cover = F.col("start") + 2 * F.col("r")
+            step = points.join(at.select(by, "start", "r"), by).groupBy(by).agg(
+                F.max(F.when(F.col("x") <= cover, F.col("x"))).alias("e"), F.min(F.when(F.col("x") > cover, F.col("x"))).alias("n"))
+            at = at.join(step, by).withColumn("used", F.greatest("used", F.col("e") - F.col("start"))).withColumn("end", F.col("e")).withColumn(
+                "start", F.coalesce("n", F.col("e"))).drop("e", "n")
+        fits = F.col("end") >= F.col("last")
+        state = settle(at.select(by, "first", "last", F.when(fits, F.col("lo")).otherwise(F.col("r")).alias("lo"), F.when(fits, F.col("used") / 2).otherwise(F.col("hi")).alias("hi")))
+        if is_empty(state.filter((F.col("hi") > 0) & (F.col("hi") - F.col("lo") > 1e-12 * F.col("hi")))):
             break
     return state.select(by, F.col("hi").alias("radius"))
 
 
+def smooth_jet(points: DataFrame, k: int, degree: int = 2) -> DataFrame:
+    """Move each point onto the polynomial of degree 1 or 2 fitted to its k neighbours in its own
+    tangent frame."""
+    if degree not in (1, 2):
+        raise ValueError("degree must be 1 or 2")
+    rows = settle(_neighbourhoods(points, k))
+    frame = settle(_covariance(rows).select("query_id", *[F.col(f"e.{a}{c}").alias(a + c) for a in "np" for c in "xyz"]))
+    j = rows.join(frame, "query_id").join(points.select(F.col("id").alias("query_id"), *[F.col(c).alias(f"o{c}") for c in "xyz"]), "query_id")
+    n, p = v.vec("nx", "ny", "nz"), v.vec("px", "py", "pz")
+    d = v.sub(v.vec("x", "y", "z"), v.vec("ox", "oy", "oz"))
+    j = j.withColumns({"u": v.dot(d, p), "w": v.dot(d, v.cross(n, p)), "h": v.dot(d, n)})
+    u, w = F.col("u"), F.col("w")
+    basis = [F.lit(1.0), u, w, u * u, u * w, w * w][:3 if degree == 1 else 6]
+    own = ["ox", "oy", "oz", "nx", "ny", "nz"]
+    sums = j.groupBy("query_id", *own).agg(F.array(*[F.sum(a * b) for a in basis for b in basis]).alias("a"), F.array(*[F.sum(a * F.col("h")) for a in basis]).alias("b"))
+    lift = sums.withColumn("c", F.get(linear.least_squares("a", "b"), 0))
+    return lift.select(F.col("query_id").alias("id"), *[(F.col(f"o{c}") + F.col(f"n{c}") * F.col("c")).alias(c) for c in "xyz"])
+
+
+def smooth_bilateral(points: DataFrame, k: int, degrees: float) -> DataFrame:
+    """Move points with normals along their normal by the mean height of their neighbours, weighted
+    by distance and by how far the normals differ; ``moved`` is the length of the move."""
+    near = knn_join(points, points.select(F.col("id").alias("query_id"), "x", "y", "z"), k)
+    reach = near.groupBy("query_id").agg(F.max("d2").alias("r2"))
+    j = near.join(reach, "query_id").join(points.select("id", *[F.col(c).alias(f"q{c}") for c in ("x", "y", "z", "nx", "ny", "nz")]), "id") \
+        .join(points.withColumnRenamed("id", "query_id").select("query_id", "x", "y", "z", "nx", "ny", "nz"), "query_id")
+    n = v.vec("nx", "ny", "nz")
+    turn = (F.lit(1.0) - v.dot(n, v.vec("qnx", "qny", "qnz"))) / (1.0 - float(np.cos(np.radians(degrees))))
+    w = F.exp(-F.col("d2") / F.greatest("r2", F.lit(1e-300))) * F.exp(-turn * turn)
+    h = v.dot(n, v.sub(v.vec("qx", "qy", "qz"), v.vec("x", "y", "z")))
+    g = j.groupBy("query_id", "x", "y", "z", "nx", "ny", "nz").agg((F.sum(w * h) / F.sum(w)).alias("s"))
+    return g.select(F.col("query_id").alias("id"), *[(F.col(c) + F.col(f"n{c}") * F.col("s")).alias(c) for c in "xyz"], "nx", "ny", "nz", F.abs("s").alias("moved"))
+
+
+def orient_normals(points: DataFrame, k: int) -> DataFrame:
+    """Flip normals to agree along a minimum spanning forest of the k-nn graph (edge weight: how far
+    the two normals are from parallel).  ``component`` tells which points were reached together."""
+    near = knn_join(points, points.select(F.col("id").alias("query_id"), "x", "y", "z"), k + 1).filter("id <> query_id")
+    side = lambda p: points.select(F.col("id").alias(p), *[F.col(f"n{c}").alias(f"{p}{c}") for c in "xyz"])
+    pairs = near.select(F.least("id", "query_id").alias("a"), F.greatest("id", "query_id").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    agree = v.dot(v.vec("ax", "ay", "az"), v.vec("bx", "by", "bz"))
+    edges = settle(pairs.select("a", "b", (F.lit(1.0) - F.abs(agree)).alias("w"), (agree < 0).cast("int").alias("differ")))
+    nodes = points.select(F.col("id").alias("node"))
+    labels = settle(nodes.select("node", F.col("node").alias("component")))
+    tree, open_ = edges.limit(0), edges
+    while True:
+        at = lambda p: labels.select(F.col("node").alias(p), F.col("component").alias(f"c{p}"))  # noqa: B023, E731
+        open_ = settle(open_.select("a", "b", "w", "differ").join(at("a"), "a").join(at("b"), "b").filter("ca <> cb"))
+        if is_empty(open_):
+            break
+        offer = F.struct("w", "a", "b", "differ")
+        ends = open_.select(F.explode(F.array("ca", "cb")).alias("c"), offer.alias("e"))
+        chosen = settle(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.w", "e.differ").distinct())
+        tree = settle(tree.unionByName(chosen))
+        labels = settle(connected_components(tree.select("a", "b"), nodes))
+    par = parity(tree.select("a", "b", "differ"), nodes)
+    flip = F.when(F.col("flip") == 1, -1.0).otherwise(1.0)
+    return points.join(par.select(F.col("node").alias("id"), "component", "flip"), "id").select(
+        "id", "x", "y", "z", *[(F.col(f"n{c}") * flip).alias(f"n{c}") for c in "xyz"], "component")
+
+
+def normal_clusters(vertices: DataFrame, faces: DataFrame, k: int, iterations: int) -> tuple[DataFrame, list[float]]:
+    """Lloyd rounds on face normals: ``fid, cluster, error`` and the total error per round
+    (area times squared distance to the proxy).  Seeds are picked farthest first, starting at the
+    largest face; only the k proxies are on the driver."""
+    n = settle(face_normals(vertices, faces).filter("area > 0").select("fid", "area", "nx", "ny", "nz"))
+
+    def scored(proxies: list[tuple[float, float, float]]) -> DataFrame:
+        gaps = [F.struct(v.dist2(v.vec("nx", "ny", "nz"), v.const(p)).alias("d"), F.lit(i).alias("cluster")) for i, p in enumerate(proxies)]
+        best = F.least(*gaps) if len(gaps) > 1 else gaps[0]
+        return n.withColumn("s", best).select("fid", "area", "nx", "ny", "nz", "s.cluster", (F.col("area") * F.col("s.d")).alias("error"))
+
+    first = n.agg(F.max(F.struct("area", (-F.col("fid")).alias("f"), "nx", "ny", "nz")).alias("m")).first()["m"]
+    proxies = [(first["nx"], first["ny"], first["nz"])]
+    while len(proxies) < k:
+        m = scored(proxies).agg(F.max(F.struct("error", (-F.col("fid")).alias("f"), "nx", "ny", "nz")).alias("m")).first()["m"]
+        if m["error"] <= 0:
+            break
+        proxies.append((m["nx"], m["ny"], m["nz"]))
+    totals: list[float] = []
+    for _ in range(iterations):
+        sums = scored(proxies).groupBy("cluster").agg(F.sum("error").alias("e"), *[F.sum(F.col("area") * F.col(f"n{c}")).alias(c) for c in "xyz"]).collect()  # k rows
+        totals.append(sum(r["e"] for r in sums))
+        for r in sums:
+            size = (r["x"] ** 2 + r["y"] ** 2 + r["z"] ** 2) ** 0.5
+            if size > 0:
+                proxies[r["cluster"]] = (r["x"] / size, r["y"] / size, r["z"] / size)
+    return scored(proxies).select("fid", "cluster", "error"), totals
+
+
 def cluster_simplify(vertices: DataFrame, faces: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
     """Merge the vertices of each grid cell into the point that is closest to the planes of their
     faces (least squares, pulled slightly to the mean); collapsed and duplicate faces are dropped."""

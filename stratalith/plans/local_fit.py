@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import local_fit as lf
 from ..operators import points as pt
+from ..session import settle
 from . import inputs as i
 from .registry import query
 
@@ -26,7 +27,7 @@ def f12a_register(spark, sf):
 
 @query("f13_interval_centers")
 def f13_interval_centers(spark, sf):
-    return lf.interval_centers(i.points2(spark, sf).select("label", "x"), 3, "label", rounds=12)
+    return lf.interval_centers(i.points2(spark, sf).select("label", "x"), 3, "label", rounds=14)
 
 
 @query("f14_local_linear_interpolation", "SELECT c_custkey AS query_id, round(2.0 + 3.0 * (c_nationkey * 2) - (900 + c_custkey % 100), 4) AS value FROM customer")
@@ -39,8 +40,7 @@ def f14_local_linear_interpolation(spark, sf):
     return lf.local_linear_interpolation(sites, asked, 8).withColumn("value", F.round("value", 4))
 
 
-@query("g16_cluster_simplify", f"""WITH {i.MESH}, g AS (SELECT vid, min(vid) OVER (PARTITION BY floor(x/2.5), floor(y/2.5), floor(z/25.0*10)) AS t FROM (SELECT vid, x, y, z FROM mv)),
-  h AS (SELECT vid, min(vid) OVER (PARTITION BY floor(x/2.5), floor(y/2.5), floor(z/2.5)) AS t FROM mv), m AS (SELECT fid, list_sort([p.t, q.t, r.t]) AS k FROM mf JOIN h p ON p.vid = a JOIN h q ON q.vid = b JOIN h r ON r.vid = c WHERE p.t <> q.t AND q.t <> r.t AND p.t <> r.t)
+@query("g16_cluster_simplify", f"""WITH {i.MESH}, h AS (SELECT vid, min(vid) OVER (PARTITION BY floor(x/2.5), floor(y/2.5), floor(z/2.5)) AS t FROM mv), m AS (SELECT fid, list_sort([p.t, q.t, r.t]) AS k FROM mf JOIN h p ON p.vid = a JOIN h q ON q.vid = b JOIN h r ON r.vid = c WHERE p.t <> q.t AND q.t <> r.t AND p.t <> r.t)
   SELECT min(fid) AS fid FROM m GROUP BY k""")
 def g16_cluster_simplify(spark, sf):
     return lf.cluster_simplify(*i.mesh(spark, sf), 2.5)[1].select("fid")
@@ -54,3 +54,30 @@ def g17_estimate_normals(spark, sf):
 @query("g20_local_roughness")
 def g20_local_roughness(spark, sf):
     return lf.local_roughness(i.points3(spark, sf), 10)
+
+
+@query("g18_smooth_jet")
+def g18_smooth_jet(spark, sf):
+    return lf.smooth_jet(i.points3(spark, sf), 12, 2)
+
+
+def _with_normals(spark, sf):
+    p = i.points3(spark, sf).select("id", "x", "y", "z")
+    n = lf.estimate_normals(p, 10)
+    sign = F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0)
+    return settle(p.join(n, "id").withColumns({c: F.col(c) * sign for c in ("nx", "ny", "nz")}))
+
+
+@query("g19_smooth_bilateral")
+def g19_smooth_bilateral(spark, sf):
+    return lf.smooth_bilateral(_with_normals(spark, sf), 10, 30.0)
+
+
+@query("f9_orient_normals")
+def f9_orient_normals(spark, sf):
+    return lf.orient_normals(_with_normals(spark, sf), 6)
+
+
+@query("f11_normal_clusters")
+def f11_normal_clusters(spark, sf):
+    return lf.normal_clusters(*i.mesh(spark, sf), 6, 3)[0]
