@@ -181,11 +181,14 @@ def orient_normals(points: DataFrame, k: int) -> DataFrame:
         open_ = settle(open_.select("a", "b", "w", "differ").join(at("a"), "a").join(at("b"), "b").filter("ca <> cb"))
         if is_empty(open_):
             break
-        offer = F.struct("w", "a", "b", "differ")
+        offer = F.struct("w", "a", "b", "differ", "ca", "cb")
         ends = open_.select(F.explode(F.array("ca", "cb")).alias("c"), offer.alias("e"))
-        chosen = settle(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.w", "e.differ").distinct())
-        tree = settle(tree.unionByName(chosen))
-        labels = settle(connected_components(tree.select("a", "b"), nodes))
+        chosen = settle(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
+        tree = tree.unionByName(chosen.select("a", "b", "w", "differ"))
+        # Only the graph between components is labelled again, and it at least halves per round.
+        joined = connected_components(chosen.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        labels = settle(labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
+                        .select("node", F.coalesce("to", "component").alias("component")))
     par = parity(tree.select("a", "b", "differ"), nodes)
     flip = F.when(F.col("flip") == 1, -1.0).otherwise(1.0)
     return points.join(par.select(F.col("node").alias("id"), "component", "flip"), "id").select(

@@ -448,6 +448,45 @@ def subdivide_loop(vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, Da
     return moved.unionByName(mids), out
 
 
+def subdivide_catmull_clark(vertices: DataFrame, polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One Catmull-Clark step on ``mesh_id, fid, corners``: one quad per corner.
+
+    Face points are corner means; edge points average the ends and the two face points (midpoints on
+    borders); a vertex of valence n moves to (Q + 2R + (n - 3)S) / n, on borders to 3/4 and 1/8.
+    """
+    c = polygons.select("mesh_id", "fid", F.size("corners").alias("m"), F.posexplode("corners").alias("pos", "vid"), "corners")
+    nxt = lambda k: F.element_at("corners", (F.pmod(F.col("pos") + k, F.col("m")) + 1).cast("int"))
+    ring = settle(c.select("mesh_id", "fid", "pos", "vid", nxt(1).alias("after"), nxt(-1).alias("before")))
+    spot = vertices.select("vid", "x", "y", "z")
+    top = vertices.agg(F.max("vid")).first()[0]
+    faces = ring.join(spot, "vid").groupBy("mesh_id", "fid").agg(*[F.avg(a).alias(f"f{a}") for a in "xyz"])
+    faces = settle(faces.join(dense_ids(faces, "fid", "n_id"), "fid").withColumn("face_point", F.col("n_id") + 1 + F.lit(top)))
+    base = top + 1 + faces.count()
+    sides = ring.join(faces.select("fid", "fx", "fy", "fz"), "fid").groupBy("mesh_id", F.least("vid", "after").alias("lo"), F.greatest("vid", "after").alias("hi")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"f{a}").alias(f"s{a}") for a in "xyz"])
+    at = lambda p: spot.select(F.col("vid").alias(p), *[F.col(a).alias(f"{p}_{a}") for a in "xyz"])
+    edges = settle(sides.join(at("lo"), "lo").join(at("hi"), "hi").withColumn("key", F.concat_ws("-", F.lpad("lo", 20, "0"), F.lpad("hi", 20, "0"))))
+    edges = settle(edges.join(dense_ids(edges, "key", "n_id"), "key").withColumn("edge_point", F.col("n_id") + F.lit(base)))
+    ends = lambda a: F.col(f"lo_{a}") + F.col(f"hi_{a}")
+    edge_points = edges.select("mesh_id", F.col("edge_point").alias("vid"), *[F.when(F.col("n") == 2, (ends(a) + F.col(f"s{a}")) / 4).otherwise(ends(a) / 2).alias(a) for a in "xyz"])
+    spokes = edges.select("n", F.explode(F.array(*[F.struct(F.col(p).alias("vid"), *[F.col(f"{q}_{a}").alias(f"o{a}") for a in "xyz"], *[(ends(a) / 2).alias(f"h{a}") for a in "xyz"])
+                                                   for p, q in (("lo", "hi"), ("hi", "lo"))])).alias("s")).select("n", "s.*")
+    around = spokes.groupBy("vid").agg(F.count(F.lit(1)).alias("valence"), F.sum((F.col("n") == 1).cast("int")).alias("borders"), *[F.avg(f"h{a}").alias(f"r{a}") for a in "xyz"],
+                                       *[F.sum(F.when(F.col("n") == 1, F.col(f"o{a}")).otherwise(0.0)).alias(f"b{a}") for a in "xyz"])
+    means = ring.join(faces.select("fid", "fx", "fy", "fz"), "fid").groupBy("vid").agg(*[F.avg(f"f{a}").alias(f"q{a}") for a in "xyz"])
+    n = F.col("valence")
+    moved = vertices.join(around, "vid", "left").join(means, "vid", "left").select("mesh_id", "vid", *[
+        F.when(n.isNull(), F.col(a)).when(F.col("borders") > 0, F.col(a) * 0.75 + F.col(f"b{a}") * 0.125)
+        .otherwise(F.try_divide(F.col(f"q{a}") + F.col(f"r{a}") * 2 + F.col(a) * (n - 3), n)).alias(a) for a in "xyz"])
+    name = lambda p, q, out: (F.least(p, q), F.greatest(p, q), out)
+    quads = ring.join(faces.select("fid", "face_point"), "fid")
+    for p, q, out in (("vid", "after", "e1"), ("before", "vid", "e2")):
+        lo, hi, new = name(p, q, out)
+        quads = quads.withColumn("lo", lo).withColumn("hi", hi).join(edges.select("lo", "hi", F.col("edge_point").alias(new)), ["lo", "hi"]).drop("lo", "hi")
+    out = quads.select("mesh_id", "fid", "pos", F.array("vid", "e1", "face_point", "e2").alias("corners"))
+    return moved.unionByName(faces.select("mesh_id", F.col("face_point").alias("vid"), *[F.col(f"f{a}").alias(a) for a in "xyz"])).unionByName(edge_points), out
+
+
 def sample_surface(vertices: DataFrame, faces: DataFrame, spacing: float) -> DataFrame:
     """``fid, i, j, x, y, z``: a barycentric lattice per face, fine enough that every point of the
     face is within ``spacing`` of a sample."""

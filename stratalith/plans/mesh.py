@@ -286,3 +286,17 @@ def g14_relax_tangential(spark, sf):
   SELECT mv.vid, round(CASE WHEN w IS NULL OR mv.vid IN (SELECT vid FROM f) THEN x ELSE x + (mx/w - x)*0.25 END, 4) AS x, round(CASE WHEN w IS NULL OR mv.vid IN (SELECT vid FROM f) THEN z ELSE z + (mz/w - z)*0.25 END, 4) AS z FROM mv LEFT JOIN s USING (vid)""")
 def g15_smooth_shape(spark, sf):
     return ms.smooth_shape(*i.mesh(spark, sf), 0.25).select("vid", *_r(["x", "z"], 4))
+
+
+@query("g9_subdivide_catmull_clark", f"""WITH {i.MESH}, {_H}, {_K}, fp AS (SELECT fid, (ax+bx+cx)/3 AS fx, (ay+by_+cy)/3 AS fy, (az+bz+cz)/3 AS fz FROM k),
+  u AS (SELECT least(u, v) AS lo, greatest(u, v) AS hi, count(*) AS n, sum(fx) AS sx, sum(fy) AS sy, sum(fz) AS sz FROM h JOIN fp USING (fid) GROUP BY ALL),
+  e AS (SELECT u.*, p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz FROM u JOIN mv p ON p.vid = lo JOIN mv q ON q.vid = hi),
+  t AS (SELECT vid, count(*) AS val, count(*) FILTER (n = 1) AS bo, avg(hx) AS rx, avg(hz) AS rz, coalesce(sum(ox) FILTER (n = 1), 0) AS bx, coalesce(sum(oz) FILTER (n = 1), 0) AS bz
+    FROM (SELECT lo AS vid, n, qx AS ox, qz AS oz, (px+qx)/2 AS hx, (pz+qz)/2 AS hz FROM e UNION ALL SELECT hi, n, px, pz, (px+qx)/2, (pz+qz)/2 FROM e) GROUP BY vid),
+  m AS (SELECT u AS vid, avg(fx) AS qx, avg(fz) AS qz FROM h JOIN fp USING (fid) GROUP BY u)
+  SELECT round(CASE WHEN val IS NULL THEN x WHEN bo > 0 THEN x*0.75 + bx*0.125 ELSE (qx + 2*rx + (val-3)*x)/val END, 4) AS x, round(CASE WHEN val IS NULL THEN z WHEN bo > 0 THEN z*0.75 + bz*0.125 ELSE (qz + 2*rz + (val-3)*z)/val END, 4) AS z
+    FROM mv LEFT JOIN t USING (vid) LEFT JOIN m USING (vid)
+  UNION ALL SELECT round(fx, 4), round(fz, 4) FROM fp UNION ALL SELECT round(CASE WHEN n = 2 THEN (px+qx+sx)/4 ELSE (px+qx)/2 END, 4), round(CASE WHEN n = 2 THEN (pz+qz+sz)/4 ELSE (pz+qz)/2 END, 4) FROM e""")
+def g9_subdivide_catmull_clark(spark, sf):
+    vertices, faces = i.mesh(spark, sf)
+    return ms.subdivide_catmull_clark(vertices, faces.select("mesh_id", "fid", F.array("a", "b", "c").alias("corners")))[0].select(*_r(["x", "z"], 4))
