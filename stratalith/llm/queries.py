@@ -5,10 +5,11 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
-from . import simhash
+from . import packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bpe() -> tuple[str, str]:
+    """The ranks of the vocabulary of ``byte_bpe_50k.json`` and its split pattern."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op5_best_fit_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens; every text ends with id 0."""
+    return packing.packed_documents(table(spark, sf_dir, "documents"), *bpe(), capacity=2048)
+
+
 @query("op8_simhash_near_duplicates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at two bits or fewer."""
