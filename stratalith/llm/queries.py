@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import tune
-from . import packing, simhash
+from . import decontaminate, language_id, packing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,20 @@ def bpe() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Documents that language models here never learn from."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.filter(~held_out()), public_tokenizers.path("piece_bpe_32k.model"))
+    out = language_id.predict(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens; every text ends with id 0."""
@@ -48,3 +63,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at two bits or fewer."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
+@query("op10_spaced_seed_decontamination")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlap of a document with a benchmark item, at 13 words and four fifths of them equal."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
