@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import decontaminate, language_id, packing, simhash
+from . import decontaminate, language_id, packing, pii, robust_outliers, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op3_robust_outliers")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the outlier verdict per language and source."""
+    out = robust_outliers.judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def bpe() -> tuple[str, str]:
     """The ranks of the vocabulary of ``byte_bpe_50k.json`` and its split pattern."""
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -59,6 +66,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), *bpe(), capacity=2048)
 
 
+@query("op7_weak_supervision_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text: base spans and those that the classifier adds."""
+    out = pii.find(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 @query("op8_simhash_near_duplicates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at two bits or fewer."""
