@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import decontaminate, language_id, packing, pii, robust_outliers, simhash
+from . import decontaminate, html_render, importance, language_id, packing, pii, robust_outliers, separator_scan, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,11 +41,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+# The rules of the query.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+@query("op4_url_model_ratio")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL under the rules, else under the models of what they allow and block."""
+    return url_filter.judged(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def bpe() -> tuple[str, str]:
     """The ranks of the vocabulary of ``byte_bpe_50k.json`` and its split pattern."""
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+@query("op1_importance_resampling")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gumbel top-k over all documents; the target is what is labelled good and not toxic."""
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), good)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents that language models here never learn from."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
@@ -66,6 +83,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), *bpe(), capacity=2048)
 
 
+@query("op6_html_layout_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_render.extracted(table(spark, sf_dir, "pages"))
+
+
 @query("op7_weak_supervision_pii")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every whole text: base spans and those that the classifier adds."""
@@ -79,6 +102,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
 
 
+#: The id that ends a document in a token file; texts never contain it, as its string is ordinary text.
+END_OF_DOCUMENT = 50256
+
+
+@query("op9_separator_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted between the separators of flat token files."""
+    return separator_scan.counted_documents(table(spark, sf_dir, "documents"), *bpe(), end_id=END_OF_DOCUMENT)
+
+
 @query("op10_spaced_seed_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every overlap of a document with a benchmark item, at 13 words and four fifths of them equal."""
