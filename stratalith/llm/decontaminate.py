@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .batches import ALNUM, Words, mix, words
 
 # With these two masks, every window of 13 words with at most two of them changed has a
@@ -155,5 +156,5 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id has no overlap; all columns stay, and rows with a null id too."""
-    bad = overlaps(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
+    bad = settle(overlaps(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_bad")).distinct())
     return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")

@@ -225,8 +225,9 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows are matched by id and text, so repeated rows stay as they are repeated; a null text stays null.
     """
-    spans = find(docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text")).dropDuplicates(["_key"]), "_key", "_text")
-    some = spans.filter(F.size("spans") > 0).select("_key", F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["stop"], x["kind"]))).alias("_spans"))
+    spans = find(docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text")), "_key", "_text")
+    placed = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["stop"], x["kind"])))
+    some = settle(spans.filter(F.size("spans") > 0).select("_key", placed.alias("_spans")).dropDuplicates(["_key"]))
     marked = docs.withColumn("_row_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(some, F.col("_row_key") == F.col("_key"), "left")
     # Spans may overlap: each starts where those before it have ended.
     def cut(s: Column) -> Column:

@@ -201,8 +201,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; all columns are kept.  Rows
-    that repeat an id are reduced to one, the first by text."""
-    firsts = near_duplicates(docs, id_col, text_col, shingle, radius).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(firsts, docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; all columns are kept.  Of rows
+    that repeat an id one stays.  Only ids are shuffled, and texts where ids repeat."""
+    found = settle(near_duplicates(docs, id_col, text_col, shingle, radius).select(F.col(id_col).alias("_gone"), "component_id"))
+    dropped = settle(found.filter(F.col("_gone") != F.col("component_id")).select("_gone").distinct())
+    out = docs.join(dropped, docs[id_col] == F.col("_gone"), "left_anti")
+    again = settle(found.groupBy("_gone").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_gone"))
+    if is_empty(again):
+        return out
+    same = out[id_col] == F.col("_gone")
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col]))
