@@ -7,6 +7,8 @@ one that holds the lower corner of their common part reports it, so there is not
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,29 +16,38 @@ from pyspark.sql import functions as F
 
 from .skew import salted_join
 
-FINEST, COARSEST = -30, 60
+#: Binary digits of a double: cells below this share of the largest coordinate cannot be told apart.
+DIGITS = 52
 
 
 def with_box(df: DataFrame, prefix: str, low: dict[str, Column], high: dict[str, Column]) -> DataFrame:
     return df.withColumns({f"{prefix}lo_{c}": e for c, e in low.items()} | {f"{prefix}hi_{c}": e for c, e in high.items()})
 
 
-def _level(prefix: str, coords: Sequence[str]) -> Column:
+def _finest(sides: Sequence[tuple[DataFrame, str]], coords: Sequence[str]) -> int:
+    """The level of boxes without extent: the finest on which every cell number is a whole number."""
+    tops = [df.agg(F.max(F.greatest(*(F.abs(F.col(f"{prefix}{end}_{c}")) for c in coords for end in ("lo", "hi"))))).first()[0] for df, prefix in sides]
+    top = max((x for x in tops if x), default=1.0)
+    return math.ceil(math.log2(top)) - DIGITS
+
+
+def _level(prefix: str, coords: Sequence[str], finest: int) -> Column:
     sizes = [F.col(f"{prefix}hi_{c}") - F.col(f"{prefix}lo_{c}") for c in coords]
     extent = F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
     # log2 may round down by a hair, hence the factor.
     level = F.ceil(F.log2(extent * (1 + 1e-12)))
-    return F.when(extent > 0, F.least(F.greatest(level, F.lit(FINEST)), F.lit(COARSEST))).otherwise(FINEST).cast("int")
+    return F.when(extent > 0, F.greatest(level, F.lit(finest))).otherwise(finest).cast("int")
 
 
 def box_join(left: DataFrame, right: DataFrame, coords: Sequence[str], spread: str) -> DataFrame:
     """All pairs whose closed boxes meet, with the columns of both sides.
 
     ``left`` has ``llo_c, lhi_c`` and ``right`` ``rlo_c, rhi_c`` per coordinate; other column names
-    must differ.  Hot cells of ``right`` are salted by its column ``spread``.
+    must differ.  Hot cells are split on either side, those of ``right`` by its column ``spread``.
     """
-    left, right = left.withColumn("_ll", _level("l", coords)), right.withColumn("_rl", _level("r", coords))
-    # Distinct levels: at most 121 small integers per side.
+    finest = _finest([(left, "l"), (right, "r")], coords)
+    left, right = left.withColumn("_ll", _level("l", coords, finest)), right.withColumn("_rl", _level("r", coords, finest))
+    # Distinct levels: small integers, as many as there are binary orders of magnitude among the boxes.
     ls = sorted(r[0] for r in left.select("_ll").distinct().collect())
     rs = sorted(r[0] for r in right.select("_rl").distinct().collect())
     if not ls or not rs:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import is_empty, settle
 
-MAX_ROUNDS = 200
+#: Pointer doubling passes any loop of a table within so many rounds: it would need 2**64 nodes.
+DOUBLINGS = 64
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -21,7 +24,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> Da
     pairs = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).filter(F.col("a") != F.col("b"))
     graph = settle(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     moves: list[DataFrame] = []
-    for seed in range(MAX_ROUNDS):
+    for seed in itertools.count():
         if is_empty(graph):
             break
         weigh = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(seed)).alias("h"), F.col(c).alias("rep"))  # noqa: B023, E731
@@ -73,7 +76,7 @@ def loop_order(links: DataFrame, loops: DataFrame) -> DataFrame:
     back = links.join(loops, "node").select(F.col("next").alias("node"), F.col("node").alias("far"), "loop")
     state = settle(back.select("node", "loop", F.when(F.col("node") == F.col("loop"), F.col("node")).otherwise(F.col("far")).alias("far"),
                                F.when(F.col("node") == F.col("loop"), 0).otherwise(1).cast("bigint").alias("position")))
-    for _ in range(MAX_ROUNDS):
+    for _ in range(DOUBLINGS):
         if is_empty(state.filter(F.col("far") != F.col("loop"))):
             return state.select("loop", "node", "position")
         jump = state.select(F.col("node").alias("far"), F.col("far").alias("far2"), F.col("position").alias("more"))
@@ -81,14 +84,14 @@ def loop_order(links: DataFrame, loops: DataFrame) -> DataFrame:
     raise RuntimeError("links do not form closed loops")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``node, distance, source`` from the nearest source (ties by source id) along undirected
     edges ``a, b, length``.  Only nodes whose distance improved in a round are relaxed in the next."""
     arcs = settle(edges.select("a", "b", "length").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
                   .groupBy("a", "b").agg(F.min("length").alias("length")))
     best = settle(sources.select(F.col("node"), F.struct(F.lit(0.0).alias("distance"), F.col("node").alias("source")).alias("best")))
     active = best
-    for _ in range(max_rounds):
+    while True:
         tries = active.join(arcs, active["node"] == arcs["a"]).select(F.col("b").alias("node"), F.struct(
             (F.col("best.distance") + F.col("length")).alias("distance"), F.col("best.source").alias("source")).alias("offer"))
         offers = tries.groupBy("node").agg(F.min("offer").alias("offer"))
@@ -100,4 +103,3 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_00
         best = merged.select("node", "best")
         if is_empty(active):
             return best.select("node", "best.distance", "best.source")
-    raise RuntimeError("paths did not settle within the allowed rounds")

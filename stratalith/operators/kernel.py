@@ -75,11 +75,12 @@ def evaluate_predicates(primitives: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def evaluate_intersections(primitives: DataFrame, queries: DataFrame) -> DataFrame:
-    """``id, result, point`` for segment and line pairs in the plane and line, segment and plane
-    pairs in space; ``result`` is empty, point, segment, line or plane."""
+    """``id, query, meets, result, point, reason`` for segment and line pairs in the plane, and lines,
+    segments, rays, planes and triangles against planes and triangles in space.  ``result`` is empty,
+    point, segment, ray, line or plane; other pairs, and lines within the plane of a triangle, are refused with a reason."""
     q = _bound(primitives, queries)
     k0, k1 = F.get("kinds", 0), F.get("kinds", 1)
-    swap = (k0 == "Plane_3") & (k1 != "Plane_3")
+    swap = k0.isin("Plane_3", "Triangle_3") & ~k1.isin("Plane_3", "Triangle_3")
     q = q.select("id", "query", F.when(swap, k1).otherwise(k0).alias("k0"), F.when(swap, k0).otherwise(k1).alias("k1"),
                  F.when(swap, F.get("args", 1)).otherwise(F.get("args", 0)).alias("x"), F.when(swap, F.get("args", 0)).otherwise(F.get("args", 1)).alias("y"))
     a, b, c, d = _pt("x", 0, 2), _pt("x", 1, 2), _pt("y", 0, 2), _pt("y", 1, 2)
@@ -98,14 +99,22 @@ def evaluate_intersections(primitives: DataFrame, queries: DataFrame) -> DataFra
     e = v.sub(p3[1], p3[0])
     slope, gap = v.dot(n, e), v.dot(n, v.sub(q3[0], p3[0]))
     where = F.try_divide(gap, slope)
-    through = F.when(slope == 0, F.when(gap == 0, F.when(F.col("k0") == "Line_3", "line").otherwise("segment")).otherwise("empty")).otherwise(
-        F.when((F.col("k0") == "Line_3") | where.between(0, 1), "point").otherwise("empty"))
+    # On the carrier: a line has all of it, a ray the part from 0, a segment that from 0 to 1.
+    reached = (F.col("k0") == "Line_3") | ((F.col("k0") == "Ray_3") & (where >= 0)) | where.between(0, 1)
+    hit = tuple(x + where * y for x, y in zip(p3[0], e))
+    turn = [v.dot(v.cross(v.sub(q3[(i + 1) % 3], q3[i]), v.sub(hit, q3[i])), n) for i in range(3)]
+    covered = (F.col("k1") != "Triangle_3") | ((turn[0] >= 0) & (turn[1] >= 0) & (turn[2] >= 0))
+    carrier = F.when(F.col("k0") == "Line_3", "line").when(F.col("k0") == "Ray_3", "ray").otherwise("segment")
+    through = F.when(slope == 0, F.when(gap == 0, carrier).otherwise("empty")).otherwise(F.when(reached & covered, "point").otherwise("empty"))
     m = v.cross(v.sub(p3[1], p3[0]), v.sub(p3[2], p3[0]))
     planes = F.when(v.norm2(v.cross(m, n)) != 0, "line").when(gap == 0, "plane").otherwise("empty")
     result = F.when(F.col("k0").isin("Segment_2", "Line_2"), flat).when(F.col("k0") == "Plane_3", planes).otherwise(through)
     spot = F.when(F.col("k0").isin("Segment_2", "Line_2"), F.array(*[x + at * y for x, y in zip(a, u)])).when(F.col("k0") != "Plane_3", F.array(*[x + where * y for x, y in zip(p3[0], e)]))
-    out = q.withColumn("result", result).withColumn("spot", spot)
-    return out.select("id", "query", (F.col("result") != "empty").alias("meets"), F.when(F.col("query") == "intersection", F.col("result")).alias("result"),
+    flats, carriers = ["Segment_2", "Line_2"], ["Line_3", "Segment_3", "Ray_3"]
+    known = (F.col("k0").isin(flats) & (F.col("k0") == F.col("k1"))) | (F.col("k0").isin(carriers) & F.col("k1").isin("Plane_3", "Triangle_3")) | ((F.col("k0") == "Plane_3") & (F.col("k1") == "Plane_3"))
+    reason = F.when(~F.coalesce(known, F.lit(False)), "unsupported_pair").when(F.col("k0").isin(carriers) & (F.col("k1") == "Triangle_3") & (slope == 0) & (gap == 0), "within_the_plane_of_the_triangle")
+    out = q.withColumn("reason", reason).withColumn("result", F.when(F.col("reason").isNull(), result)).withColumn("spot", spot)
+    return out.select("reason", "id", "query", (F.col("result") != "empty").alias("meets"), F.when(F.col("query") == "intersection", F.col("result")).alias("result"),
                       F.when((F.col("query") == "intersection") & (F.col("result") == "point"), F.col("spot")).alias("point"))
 
 

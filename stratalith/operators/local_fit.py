@@ -107,16 +107,16 @@ def radius_components(points: DataFrame, reach: float, coords: Sequence[str]) ->
     return named.join(cc, "node").groupBy("component").agg(F.min("id").alias("least")).join(cc, "component").join(named, "node").select(F.col("id").alias("node"), F.col("least").alias("component"))
 
 
-def interval_centers(points: DataFrame, p: int, by: str, rounds: int = 60) -> DataFrame:
+def interval_centers(points: DataFrame, p: int, by: str) -> DataFrame:
     """Smallest radius so that p intervals cover all x of a group; all groups share every job.
 
     A test starts at the smallest x and jumps p times to the first x beyond the cover.  A radius that
     fits is at once lowered to half the longest interval really used, so the answer is always half
-    the difference of two points and becomes exact once no other difference lies in the bracket.
+    the difference of two points and is exact when the bracket has closed, which halving ends in a bounded number of rounds.
     """
     state = settle(points.groupBy(by).agg(F.min("x").alias("first"), F.max("x").alias("last"))
                    .withColumn("lo", F.lit(-1e-300)).withColumn("hi", (F.col("last") - F.col("first")) / 2))
-    for _ in range(rounds):
+    while True:
         at = state.withColumn("r", F.greatest((F.col("lo") + F.col("hi")) / 2, F.lit(0.0))).withColumn("start", F.col("first")).withColumn("used", F.lit(0.0)).withColumn("end", F.col("first"))
         for _ in range(p):
             cover = F.col("start") + 2 * F.col("r")

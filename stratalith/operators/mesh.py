@@ -498,20 +498,21 @@ def sample_surface(vertices: DataFrame, faces: DataFrame, spacing: float) -> Dat
     return rows.select("mesh_id", "fid", "i", "j", *[(a + (b - a) * s + (d - a) * t).alias(x) for a, b, d, x in zip(A, B, C, "xyz")])
 
 
-def split_long_edges(vertices: DataFrame, faces: DataFrame, max_len: float, max_rounds: int = 60) -> tuple[DataFrame, DataFrame, bool]:
+def split_long_edges(vertices: DataFrame, faces: DataFrame, max_len: float) -> tuple[DataFrame, DataFrame]:
     """Bisect the longest edge of faces until no edge exceeds ``max_len``.
 
     Each round splits an edge only if it is the longest edge of every face around it, so at most one
-    edge of a face is split and both its faces use the same new vertex.  Ties go by vertex ids.
+    edge of a face is split and both its faces use the same new vertex.  Ties go by vertex ids.  The
+    longest edge of the mesh is always split, so the loop ends.
     """
     verts, tris = vertices.select("mesh_id", "vid", "x", "y", "z"), faces.select("mesh_id", "fid", "a", "b", "c")
-    for _ in range(max_rounds):
+    while True:
         c = corners(verts, tris)
         edge = lambda p, q, s, t: F.struct(v.dist2(s, t).alias("d"), F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi"))
         best = settle(c.select("mesh_id", "fid", "a", "b", "c", F.greatest(edge("a", "b", A, B), edge("b", "c", B, C), edge("c", "a", C, A)).alias("e")))
         long = best.filter(F.col("e.d") > max_len * max_len)
         if is_empty(long):
-            return verts, tris, True
+            return verts, tris
         use = half_edges(tris).groupBy(F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).agg(F.count(F.lit(1)).alias("n"))
         votes = long.groupBy("mesh_id", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi")).agg(F.count(F.lit(1)).alias("votes"))
         agreed = settle(votes.join(use, ["lo", "hi"]).filter("votes = n").withColumn("key", F.concat_ws("-", F.lpad("lo", 20, "0"), F.lpad("hi", 20, "0"))))
@@ -534,7 +535,6 @@ def split_long_edges(vertices: DataFrame, faces: DataFrame, max_len: float, max_
         tris = settle(new.join(fresh.withColumnRenamed("old", "fid"), "fid", "left").select(
             "mesh_id", F.when(F.col("t.h") == 1, F.col("n_id") + 1 + F.lit(last)).otherwise(F.col("fid")).alias("fid"), "t.a", "t.b", "t.c"))
         verts = settle(verts.unionByName(mids))
-    return verts, tris, False
 
 
 def relax_tangential(vertices: DataFrame, faces: DataFrame, iterations: int) -> DataFrame:

@@ -147,13 +147,14 @@ def remove_outliers(points: DataFrame, k: int, percent: float, distance: float,
     return rank_cut(measured, [F.col("measure"), F.col("id")], keep).join(points, "id")
 
 
-def hierarchy_simplify(points: DataFrame, size: int, max_variation: float, max_rounds: int = 60) -> DataFrame:
+def hierarchy_simplify(points: DataFrame, size: int, max_variation: float) -> DataFrame:
     """Split clusters by their principal plane until they are small and flat; one point is kept
     per cluster, the one nearest its centroid.  Clusters that cannot be split (all points equal)
-    are final.  One level of the hierarchy per round; final clusters leave the loop."""
+    are final.  One level of the hierarchy per round until no cluster is open; every split leaves two
+    smaller clusters, so the loop ends."""
     open_ = points.select("id", "x", "y", "z").withColumn("cluster", F.lit("r"))
     kept: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         centre = open_.groupBy("cluster").agg(
             F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"])
         centred = open_.join(centre, "cluster")
@@ -273,18 +274,19 @@ def directional_extremes(points: DataFrame, directions: Sequence[Sequence[float]
 
 
 def bounding_ball(points: DataFrame, by: str, eps: float = 0.01, coords: Sequence[str] = ("x", "y", "z"),
-                  radius: str | None = None, max_rounds: int = 40) -> DataFrame:
+                  radius: str | None = None) -> DataFrame:
     """Smallest enclosing ball to (1+eps) per group: centre, lower and upper radius.
 
     Each round finds the point farthest from the current centre (one aggregation), adds it to the
-    group's core set, and solves the ball of that short set.  ``radius`` adds a per-point radius by
+    group's core set, and solves the ball of that short set; a core set of 2/eps points is enough, so
+    the rounds do not depend on the data.  ``radius`` adds a per-point radius by
     measuring distances to the far side of each small ball.
     """
     p = v.vec(*coords)
     grown = F.col(radius) if radius else F.lit(0.0)
     start = points.groupBy(by).agg(F.min(F.array(*coords)).alias("a"))
     state = start.select(by, F.array("a").alias("core"), F.col("a").alias("centre"), F.lit(0.0).alias("lower"))
-    for _ in range(max_rounds):
+    while True:
         c = tuple(F.element_at("centre", i + 1) for i in range(len(coords)))
         away = F.sqrt(v.dist2(p, c)) + grown
         # The far side of a small ball, seen from the centre.

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import is_empty, settle
 from .ordering import global_running_sum, grouped_rank
 
-FLAT_HASH_FILES = 100_000
 
 
 # -- store ------------------------------------------------------------------------------------
@@ -57,18 +60,27 @@ def reuse_plan(requests: DataFrame, cache: DataFrame) -> DataFrame:
 def tree_hash(files: DataFrame, by: str) -> DataFrame:
     """Order-independent digest of each file set: SHA-256 over ``path NUL hash LF`` in path order.
 
-    Sets above ``FLAT_HASH_FILES`` files would not fit one row; they get a digest of digests over
-    65,536 buckets by path hash instead, marked ``bucketed``.
+    One definition for sets of every size: the rows of a set stream through the digest in order, and
+    nothing but its state is held.
     """
-    entry = F.concat(F.col("path"), F.lit("\0"), F.col("sha256"), F.lit("\n"))
-    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
-    sizes = files.groupBy(by).agg(F.count(F.lit(1)).alias("files"))
-    sized = files.join(sizes, by)
-    flat = sized.filter(F.col("files") <= FLAT_HASH_FILES).groupBy(by, "files").agg(joined(entry).alias("digest"))
-    big = sized.filter(F.col("files") > FLAT_HASH_FILES).withColumn("_b", F.left(F.sha2("path", 256), F.lit(4)))
-    fine = big.groupBy(by, "files", "_b").agg(joined(entry).alias("d")).groupBy(by, "files", F.left("_b", F.lit(2)).alias("_b")).agg(
-        joined(F.concat("_b", "d")).alias("d")).groupBy(by, "files").agg(joined(F.concat("_b", "d")).alias("digest"))
-    return flat.withColumn("bucketed", F.lit(False)).unionByName(fine.withColumn("bucketed", F.lit(True)))
+    kind = files.schema[by].dataType.simpleString()
+    ordered = files.select(F.col(by).alias("_set"), F.encode(F.concat("path", F.lit("\0"), "sha256", F.lit("\n")), "UTF-8").alias("_entry"), "path") \
+        .repartition("_set").sortWithinPartitions("_set", "path", "_entry").select("_set", "_entry")
+    def run(batches):
+        current, digest, n, started = None, None, 0, False
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([current], column.type), pa.array([n]), pa.array([digest.hexdigest()])], names=["_set", "files", "digest"])
+        for batch in batches:
+            column = batch.column(0)
+            for owner, entry in zip(column.to_pylist(), batch.column(1)):
+                if not started or owner != current:
+                    if started:
+                        yield row()
+                    current, digest, n, started = owner, hashlib.sha256(), 0, True
+                digest.update(entry.as_buffer() if entry.is_valid else b"")
+                n += 1
+        if started:
+            yield row()
+    return ordered.mapInArrow(run, f"_set {kind}, files bigint, digest string").withColumnRenamed("_set", by)
 
 
 def retain_lru(entries: DataFrame, max_entries: int, max_bytes: int) -> DataFrame:
@@ -151,7 +163,7 @@ def split_publish(df: DataFrame, rules: Mapping[str, Column], good: str, rejecte
 
 
 # -- lineage ----------------------------------------------------------------------------------
-def lineage_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def lineage_closure(edges: DataFrame) -> DataFrame:
     """``output, input, depth`` of all upstream inputs, from one-hop ``output, input`` rows.
 
     Semi-naive rounds: only pairs found in the last round are extended, and pairs already known are
@@ -160,16 +172,15 @@ def lineage_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     hops = edges.select("output", "input").distinct()
     frontier = known = settle(hops.withColumn("depth", F.lit(1)))
     step = hops.select(F.col("output").alias("input"), F.col("input").alias("next"))
-    for _ in range(max_rounds):
+    while True:
         reached = frontier.join(step, "input").select("output", F.col("next").alias("input"), (F.col("depth") + 1).alias("depth")).distinct()
         frontier = settle(reached.join(known.select("output", "input"), ["output", "input"], "left_anti"))
         if is_empty(frontier):
             return known
         known = known.unionByName(frontier)
-    raise RuntimeError("lineage did not close within the allowed rounds")
 
 
-def dag_levels(steps: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def dag_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """``plan_id, step_id, level, problem`` for steps (``plan_id, step_id``) and their
     ``plan_id, step_id, depends_on`` rows.  Problems: duplicate_id, dangling, cycle."""
     keys = ["plan_id", "step_id"]
@@ -179,7 +190,7 @@ def dag_levels(steps: DataFrame, edges: DataFrame, max_rounds: int = 10_000) ->
     open_ = settle(counted.join(dangling, keys, "left").select(*keys, "n", F.coalesce("_bad", F.lit(False)).alias("dangling")))
     links = settle(edges.join(known, ["plan_id", "depends_on"], "left_semi").select(*keys, "depends_on").distinct())
     out: DataFrame | None = None
-    for level in range(max_rounds):
+    for level in itertools.count():
         ready = settle(open_.join(links.select(*keys).distinct(), keys, "left_anti"))
         if is_empty(ready):
             break
@@ -308,21 +319,23 @@ def gate_candidates(operations: DataFrame, constraints: DataFrame) -> DataFrame:
 
 
 def match_input_types(offers: DataFrame, slots: DataFrame) -> DataFrame:
-    """Is there a one-to-one assignment of offers to slots (at most four)?  Hall's condition: the
-    counts agree and every subset of slots is accepted by at least as many offers.
+    """Is there a one-to-one assignment of offers to slots?  Hall's condition: the counts agree and
+    every subset of slots is accepted by at least as many offers.
 
-    ``offers``: ``request_id, kind``; ``slots``: ``request_id, slot`` (0-3) and ``types``.
+    ``offers``: ``request_id, kind``; ``slots``: ``request_id, slot`` (from 0) and ``types``.  All subsets
+    of a request's slots are tried, so the work doubles with each slot.
     """
-    # A kind's mask says which slots take it; a set of at most 16 masks with counts replaces the offers.
+    # A kind's mask says which slots take it; the distinct masks with counts replace the offers.
     n_slots = slots.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_slots"))
     n_offers = offers.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_offers"))
-    wide = slots.select("request_id", F.explode("types").alias("kind"), F.expr("shiftleft(1, slot)").alias("bit")).distinct()
+    wide = slots.select("request_id", F.explode("types").alias("kind"), F.expr("shiftleft(1L, CAST(slot AS INT))").alias("bit")).distinct()
     masks = offers.groupBy("request_id", "kind").agg(F.count(F.lit(1)).alias("n")).join(
         wide.groupBy("request_id", "kind").agg(F.sum("bit").alias("mask")), ["request_id", "kind"], "left")
-    subsets = masks.select("request_id", "n", F.coalesce("mask", F.lit(0)).alias("mask"), F.explode(F.sequence(F.lit(1), F.lit(15))).alias("subset"))
+    width = F.expr("shiftleft(1L, CAST(n_slots AS INT)) - 1")
+    subsets = masks.join(n_slots, "request_id").select("request_id", "n", F.coalesce("mask", F.lit(0)).alias("mask"), F.explode(F.sequence(F.lit(1).cast("bigint"), width)).alias("subset"))
     reach = subsets.groupBy("request_id", "subset").agg(F.sum(F.when(F.col("mask").bitwiseAND(F.col("subset")) > 0, F.col("n")).otherwise(0)).alias("reach"))
     checked = n_slots.join(n_offers, "request_id", "left").join(reach, "request_id", "left")
-    inside = F.col("subset") < F.expr("shiftleft(1, CAST(n_slots AS INT))")
+    inside = F.col("subset").isNotNull()
     ok = F.coalesce(F.col("reach"), F.lit(0)) >= F.bit_count("subset")
     return checked.groupBy("request_id").agg(
         ((F.first("n_slots") == F.coalesce(F.first("n_offers"), F.lit(0))) & F.coalesce(F.min(F.when(inside, ok)), F.lit(False))).alias("compatible"))

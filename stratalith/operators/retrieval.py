@@ -25,15 +25,25 @@ def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return plain.select(key, F.explode(t.tokens(F.col("_n"))).alias("token"))
 
 
-def gram_rows(df: DataFrame, key: str, text: str, longest: int) -> DataFrame:
-    """``key, form``: distinct word runs.  The word array is a column of its own, because an
-    expression captured by a lambda would be evaluated again for every element."""
+def form_rows(df: DataFrame, forms: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` with the columns of ``forms`` for every ``form`` (words joined by one blank, of any
+    length) that occurs in the text.
+
+    Only places where some form's first word stands are kept; there, runs of the lengths that forms
+    with this first word have are compared.  The word array is a column of its own, because an
+    expression captured by a lambda would be evaluated again for every element.
+    """
     worded = spread(df.select(key, text)).select(key, t.marked_words(t.normalize_text(F.col(text))).alias("_w"))
-    return worded.select(key, F.explode(t.ngrams(F.col("_w"), longest)).alias("form"))
+    spaced = forms.select(F.split("form", " ").alias("_f"))
+    starts = settle(spaced.groupBy(F.get("_f", F.lit(0)).alias("_first")).agg(F.array_sort(F.collect_set(F.size("_f"))).alias("_lengths")))
+    most = starts.agg(F.max(F.array_max("_lengths"))).first()[0] or 1
+    places = worded.select(key, "_w", F.posexplode("_w").alias("_at", "_first")).select(key, "_first", F.slice("_w", F.col("_at") + 1, F.lit(most)).alias("_run"))
+    runs = places.join(small(starts), "_first").select(key, "_run", F.explode(F.filter("_lengths", lambda n: n <= F.size("_run"))).alias("_n"))
+    return runs.select(key, F.array_join(F.slice("_run", F.lit(1), F.col("_n")), " ").alias("form")).distinct().join(small(forms), "form")
 
 
 # -- concepts ---------------------------------------------------------------------------------
-def tag_concepts(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:
+def tag_concepts(docs: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
     """``key, concept, phrase``: vocabulary phrases found in the text; a phrase that lies inside a
     longer matched phrase of another concept is dropped.
 
@@ -45,7 +55,7 @@ def tag_concepts(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, lo
     plural = F.col("phrase").rlike("[a-rt-z]$")
     forms = phrases.withColumn("form", F.explode(F.when(
         plural, F.array(form, F.concat(form, F.lit("s")))).otherwise(F.array(form))))
-    found = gram_rows(docs, key, text, longest).join(small(forms), "form").select(key, "concept", "phrase").distinct()
+    found = form_rows(docs, forms, key, text).select(key, "concept", "phrase").distinct()
     lengths = [r[0] for r in phrases.select(F.length("phrase")).distinct().collect()]  # a few small integers
     inside = phrases.select(F.col("concept").alias("other"), F.col("phrase").alias("longer"),
                             F.explode(F.array_distinct(t.pieces(F.col("phrase"), lengths))).alias("phrase")) \
@@ -55,9 +65,9 @@ def tag_concepts(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, lo
     return found.join(covered, [key, "concept", "phrase"], "left_anti")
 
 
-def enrich_aliases(docs: DataFrame, vocabulary: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:
+def enrich_aliases(docs: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
     """Append every alias phrase of the matched concepts, in concept and phrase order."""
-    concepts = tag_concepts(docs, vocabulary, key, text, longest).select(key, "concept").distinct()
+    concepts = tag_concepts(docs, vocabulary, key, text).select(key, "concept").distinct()
     extra = concepts.join(small(vocabulary.select("concept", "phrase").distinct()), "concept").groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("concept", "phrase"))), lambda s: s["phrase"]), " ").alias("extra"))
     return docs.select(key, text).join(extra, key, "left").select(
@@ -142,18 +152,19 @@ def snippet(rows: DataFrame, text: str, terms: str, width: int = 14) -> DataFram
 
 
 # -- evidence -----------------------------------------------------------------------------------
-def idf_table(tokens: DataFrame, key: str) -> DataFrame:
-    """``token, df, idf`` from distinct ``key, token`` rows; idf = ln((N + 1) / (df + 0.5))."""
-    n = tokens.agg(F.countDistinct(key).alias("n_docs")).withColumn("_one", F.lit(1))
+def idf_table(tokens: DataFrame, key: str, n_docs: int) -> DataFrame:
+    """``token, df, idf`` from distinct ``key, token`` rows; idf = ln((N + 1) / (df + 0.5)) with N all
+    documents, those without a token included."""
+    n = tokens.sparkSession.range(1).select(F.lit(n_docs).alias("n_docs"), F.lit(1).alias("_one"))
     df = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("_one", F.lit(1))
     return df.join(F.broadcast(n), "_one").select(
         "token", "df", F.log((F.col("n_docs") + 1) / (F.col("df") + 0.5)).alias("idf"), F.log(F.col("n_docs") + 1.0).alias("unknown_idf"))
 
 
-def query_coverage(query_tokens: DataFrame, doc_tokens: DataFrame, qid: str, key: str) -> DataFrame:
+def query_coverage(query_tokens: DataFrame, doc_tokens: DataFrame, qid: str, key: str, n_docs: int) -> DataFrame:
     """``qid, key, explained, total, unknown_share``: IDF mass of the query in every document that
     shares a token with it, and the share of its mass that no document knows."""
-    idf = idf_table(doc_tokens, key)
+    idf = idf_table(doc_tokens, key, n_docs)
     top = F.broadcast(idf.select("unknown_idf").limit(1).withColumn("_one", F.lit(1)))
     weighted = query_tokens.join(idf.select("token", "idf"), "token", "left").withColumn("_one", F.lit(1)).join(top, "_one") \
         .select(qid, "token", F.coalesce("idf", "unknown_idf").alias("weight"), F.col("idf").isNull().alias("unknown"))
@@ -248,11 +259,11 @@ def abstain(ranked: DataFrame, qid: str, key: str, threshold: float = ABSTAIN_TH
         (~refused & F.col("gap").isNotNull() & (F.col("gap") <= AMBIGUOUS_GAP)).alias("ambiguous"))
 
 
-def recognize_named(queries: DataFrame, names: DataFrame, qid: str, text: str, longest: int = 4) -> DataFrame:
+def recognize_named(queries: DataFrame, names: DataFrame, qid: str, text: str) -> DataFrame:
     """``qid, name_id, score``: names (``name_id, term``) whose words occur one after the other;
     9 points per distinct term, at most 8 terms."""
     terms = names.select("name_id", F.array_join(t.marked_words(t.normalize_text(F.col("term"))), " ").alias("form")).distinct()
-    return gram_rows(queries, qid, text, longest).join(small(terms), "form").groupBy(qid, "name_id").agg(
+    return form_rows(queries, terms, qid, text).groupBy(qid, "name_id").agg(
         (9.0 * F.least(F.countDistinct("form"), F.lit(8))).alias("score"))
 
 
@@ -269,13 +280,17 @@ def diversified_topk(scored: DataFrame, qid: str, diverse: str, key: str, limit:
 def classic_search(entries: DataFrame, queries: DataFrame, qid: str, key: str, k: int) -> DataFrame:
     """Whole-title match 100, contained alias 10, shared word 1; ties by id.
 
-    Candidates come from an equi-join on words: a title or alias can only match where a word does.
+    Candidates come from equi-joins on words and on titles: besides shared words, a title may lie inside
+    the query, also in the middle of its words, so queries are cut at the lengths that titles have.
     ``entries`` holds ``key, title, summary``; ``queries`` holds ``qid, text``.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
     left = queries.select(qid, F.explode(words(F.col("text"))).alias("word"))
     right = entries.select(key, F.explode(words(F.concat_ws(" ", "title", "summary"))).alias("word"))
-    shared = right.join(small(left), "word").groupBy(qid, key).agg(F.count(F.lit(1)).alias("shared"))
+    lengths = [r[0] for r in entries.select(F.length("title").alias("n")).filter("n > 0").distinct().collect()]  # small integers
+    inside = queries.select(qid, F.explode(F.array_distinct(t.pieces(F.lower(F.trim("text")), lengths))).alias("title"))
+    named = entries.select(key, F.lower("title").alias("title")).join(small(inside), "title").select(qid, key, F.lit(0).alias("n"))
+    shared = right.join(small(left), "word").select(qid, key, F.lit(1).alias("n")).unionByName(named).groupBy(qid, key).agg(F.sum("n").alias("shared"))
     asked, title = F.lower(F.trim("text")), F.lower("title")
     full = shared.join(entries.select(key, "title"), key).join(small(queries.select(qid, "text")), qid)
     score = F.when(asked == title, 100).otherwise(0) + F.when(F.contains(asked, title), 10).otherwise(0) + F.col("shared")

@@ -4,45 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import settle
 
 #: Rows of one key that one task may still take without being split.
 HOT_ROWS = 100_000
-#: Upper bound on the number of keys that are treated as hot, hence on what is broadcast.
-MAX_HOT_KEYS = 10_000
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame | None:
-    """Keys with more than ``rows`` rows and the number of pieces to cut each into.
-
-    The limit rises with the table, so there are never more than ``MAX_HOT_KEYS`` of them.
-    """
-    total = df.count()
-    if total <= rows:
+#: Hot keys up to this number are broadcast; a longer list is joined like any table.
+BROADCAST_KEYS = 10_000
+
+
+def hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with more than ``rows`` rows on a side, and the number of pieces to cut each side into.
+    The limit is the same for tables of every size."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > rows)
+    pieces = lambda name: F.coalesce(F.ceil(F.col(name) / rows), F.lit(1)).cast("int")
+    hot = settle(count(left, "_nl").join(count(right, "_nr"), list(keys), "full_outer").select(*keys, pieces("_nl").alias("_left"), pieces("_nr").alias("_right")))
+    size = hot.limit(BROADCAST_KEYS + 1).count()
+    if not size:
         return None
-    limit = max(rows, -(-total // MAX_HOT_KEYS))
-    return (
-        df.groupBy(*keys).count().filter(F.col("count") > limit)
-        .select(*keys, F.ceil(F.col("count") / F.lit(limit)).cast("int").alias("_pieces"))
-    )
+    return F.broadcast(hot) if size <= BROADCAST_KEYS else hot
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str,
                 rows: int = HOT_ROWS) -> DataFrame:
-    """Inner equi-join where the hot keys of ``right`` are cut into pieces by a hash of ``spread``
-    and the matching ``left`` rows are repeated once per piece.  Same rows as a plain join."""
-    hot = hot_keys(right, keys, rows)
+    """Inner equi-join where the rows of a hot key are cut into pieces on whichever side is hot, by a
+    hash of ``spread`` (right) or of the whole row (left), and each side is repeated once per piece
+    of the other.  Same rows as a plain join."""
+    hot = hot_keys(left, right, keys, rows)
     if hot is None:
         return left.join(right, list(keys))
-    hot = F.broadcast(hot)
-    pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    cut = (
-        right.join(hot, list(keys), "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(spread), pieces).cast("int")).drop("_pieces")
-    )
-    repeated = (
-        left.join(hot, list(keys), "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("_pieces")
-    )
-    return repeated.join(cut, [*keys, "_salt"]).drop("_salt")
+    whole = [F.col(f.name) for f in left.schema if not isinstance(f.dataType, T.MapType)]
+    def cut(df: DataFrame, own: str, other: str, by: list[Column]) -> DataFrame:
+        marked = df.join(hot, list(keys), "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_left", "_right")})
+        salt = F.pmod(F.xxhash64(*by), F.col(f"_{own}")).cast("int")
+        return marked.withColumn(f"_salt{own}", salt).withColumn(f"_salt{other}", F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1))).drop("_left", "_right")
+    both = cut(left, "left", "right", whole).join(cut(right, "right", "left", [F.col(spread)]), [*keys, "_saltleft", "_saltright"])
+    return both.drop("_saltleft", "_saltright")

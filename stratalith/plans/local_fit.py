@@ -27,7 +27,7 @@ def f12a_register(spark, sf):
 
 @query("f13_interval_centers")
 def f13_interval_centers(spark, sf):
-    return lf.interval_centers(i.points2(spark, sf).select("label", "x"), 3, "label", rounds=14)
+    return lf.interval_centers(i.points2(spark, sf).select("label", "x"), 3, "label")
 
 
 @query("f14_local_linear_interpolation", "SELECT c_custkey AS query_id, round(2.0 + 3.0 * (c_nationkey * 2) - (900 + c_custkey % 100), 4) AS value FROM customer")

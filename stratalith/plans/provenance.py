@@ -240,7 +240,7 @@ def d19_plan_cost(spark, sf):
 
 
 @query("d20_tree_hash", r"""WITH f AS (SELECT lang, source || '/' || doc_id AS path, sha256(text) AS h FROM documents)
-  SELECT lang, count(*) AS files, sha256(string_agg(path || chr(0) || h || chr(10), '' ORDER BY path)) AS digest, false AS bucketed FROM f GROUP BY lang""")
+  SELECT lang, count(*) AS files, sha256(string_agg(path || chr(0) || h || chr(10), '' ORDER BY path)) AS digest FROM f GROUP BY lang""")
 def d20_tree_hash(spark, sf):
     files = _t(spark, sf, "documents").select("lang", F.concat("source", F.lit("/"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
     return pv.tree_hash(files, "lang")

@@ -57,15 +57,15 @@ def r2_tokens(spark, sf):
 
 
 def _vocabulary(spark, sf):
-    """Phrases of one, two and three words taken from every benchmark item."""
+    """Phrases of one, two and five words taken from every benchmark item that has them."""
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    rows = _bench(spark, sf).select(F.concat(F.lit("c"), "item_id").alias("concept"), words.alias("w")).filter(F.size("w") >= 9)
-    cut = [F.element_at("w", 1), F.array_join(F.slice("w", 3, 2), " "), F.array_join(F.slice("w", 6, 3), " ")]
-    return rows.select("concept", F.explode(F.array(*cut)).alias("phrase"))
+    rows = _bench(spark, sf).select(F.concat(F.lit("c"), "item_id").alias("concept"), words.alias("w"))
+    cut = [F.get("w", F.lit(0)), F.array_join(F.slice("w", 3, 2), " "), F.array_join(F.slice("w", 6, 5), " ")]
+    return rows.select("concept", F.explode(F.array(*cut)).alias("phrase")).filter("phrase <> ''")
 
 
 _VOCAB = """vw AS (SELECT 'c' || item_id AS concept, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
-  vocab AS (SELECT concept, unnest([w[1], array_to_string(w[3:4], ' '), array_to_string(w[6:8], ' ')]) AS phrase FROM vw WHERE len(w) >= 9)"""
+  vocab AS (SELECT * FROM (SELECT concept, unnest([w[1], array_to_string(w[3:4], ' '), array_to_string(w[6:10], ' ')]) AS phrase FROM vw) WHERE phrase <> '')"""
 _FOUND = _VOCAB + f""", nd AS (SELECT doc_id, regexp_replace(' ' || {_norm('text')} || ' ', '([^a-z0-9])', ' \\1 ', 'g') AS txt FROM documents),
   found AS (SELECT DISTINCT doc_id, concept, phrase FROM nd, (SELECT DISTINCT concept, phrase FROM vocab) v
     WHERE contains(txt, ' ' || replace(phrase, ' ', '   ') || ' ') OR (regexp_matches(phrase, '[a-rt-z]$') AND contains(txt, ' ' || replace(phrase, ' ', '   ') || 's '))),
@@ -75,14 +75,14 @@ _FOUND = _VOCAB + f""", nd AS (SELECT doc_id, regexp_replace(' ' || {_norm('text
 
 @query("r3_tag_concepts", f"WITH {_FOUND} SELECT * FROM tagged")
 def r3_tag_concepts(spark, sf):
-    return rt.tag_concepts(_docs(spark, sf), _vocabulary(spark, sf), "doc_id", "text", 3)
+    return rt.tag_concepts(_docs(spark, sf), _vocabulary(spark, sf), "doc_id", "text")
 
 
 @query("r4_enrich_aliases", f"""WITH {_FOUND}, e AS (SELECT doc_id, string_agg(phrase, ' ' ORDER BY concept, phrase) AS extra
     FROM (SELECT DISTINCT doc_id, v.concept, v.phrase FROM (SELECT DISTINCT doc_id, concept FROM tagged) x JOIN vocab v USING (concept)) GROUP BY doc_id)
   SELECT doc_id, md5(concat_ws(' ', text, extra)) AS enriched FROM documents LEFT JOIN e USING (doc_id)""")
 def r4_enrich_aliases(spark, sf):
-    return rt.enrich_aliases(_docs(spark, sf), _vocabulary(spark, sf), "doc_id", "text", 3).select("doc_id", F.md5("enriched").alias("enriched"))
+    return rt.enrich_aliases(_docs(spark, sf), _vocabulary(spark, sf), "doc_id", "text").select("doc_id", F.md5("enriched").alias("enriched"))
 
 
 _FIELDS = {"source": 10.0, "lang": 6.0, "text": 0.2}
@@ -139,16 +139,16 @@ def r7_snippet(spark, sf):
 
 
 _DT = f"{_tokens('documents', 'doc_id', 'text', 'd')}, dt AS (SELECT DISTINCT doc_id, token FROM d)"
-_IDF = "idf AS (SELECT token, count(*) AS df, ln(((SELECT count(DISTINCT doc_id) FROM dt) + 1) / (count(*) + 0.5)) AS idf FROM dt GROUP BY token)"
+_IDF = "idf AS (SELECT token, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 0.5)) AS idf FROM dt GROUP BY token)"
 _QT = f"{_tokens('benchmark', 'item_id', 'text', 'b')}, qt AS (SELECT DISTINCT item_id, token FROM b)"
 
 
 @query("r8_idf_table", f"WITH {_DT}, {_IDF} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def r8_idf_table(spark, sf):
-    return rt.idf_table(rt.token_rows(_docs(spark, sf), "doc_id", "text"), "doc_id").select("token", "df", F.round("idf", 6).alias("idf"))
+    return rt.idf_table(rt.token_rows(_docs(spark, sf), "doc_id", "text"), "doc_id", _docs(spark, sf).count()).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
-_COVER = f"""wq AS (SELECT item_id, token, coalesce(idf, ln((SELECT count(DISTINCT doc_id) FROM dt) + 1.0)) AS weight, idf IS NULL AS unknown FROM qt LEFT JOIN idf USING (token)),
+_COVER = f"""wq AS (SELECT item_id, token, coalesce(idf, ln((SELECT count(*) FROM documents) + 1.0)) AS weight, idf IS NULL AS unknown FROM qt LEFT JOIN idf USING (token)),
   tot AS (SELECT item_id, sum(weight) AS total, sum(CASE WHEN unknown THEN weight ELSE 0 END) AS lost FROM wq GROUP BY item_id),
   ex AS (SELECT item_id, doc_id, sum(weight) AS explained FROM wq JOIN dt USING (token) WHERE NOT unknown GROUP BY ALL)"""
 
@@ -157,13 +157,13 @@ _COVER = f"""wq AS (SELECT item_id, token, coalesce(idf, ln((SELECT count(DISTIN
   round(lost / total, 6) AS unknown_share FROM ex JOIN tot USING (item_id)""")
 def r9_query_coverage(spark, sf):
     docs, asked = rt.token_rows(_docs(spark, sf), "doc_id", "text"), rt.token_rows(_bench(spark, sf), "item_id", "text")
-    return rt.query_coverage(asked, docs, "item_id", "doc_id").select(
+    return rt.query_coverage(asked, docs, "item_id", "doc_id", _docs(spark, sf).count()).select(
         "item_id", "doc_id", F.round("explained", 5).alias("explained"), F.round("total", 5).alias("total"), F.round("unknown_share", 6).alias("unknown_share"))
 
 
 # Phrases: every conversation turn is an authored phrase of its conversation.
 _PT = f"{_tokens('conversations', 'conv_id, turn', 'text', 'p')}, pt AS (SELECT DISTINCT conv_id, turn, token FROM p)"
-_PIDF = "pidf AS (SELECT token, ln(((SELECT count(DISTINCT conv_id) FROM pt) + 1) / (count(DISTINCT conv_id) + 0.5)) AS idf FROM pt GROUP BY token)"
+_PIDF = "pidf AS (SELECT token, ln(((SELECT count(DISTINCT conv_id) FROM conversations) + 1) / (count(DISTINCT conv_id) + 0.5)) AS idf FROM pt GROUP BY token)"
 _BONUS = f"""{_PT}, {_PIDF}, {_QT}, pw AS (SELECT * FROM pt JOIN pidf USING (token)),
   ptot AS (SELECT conv_id, turn, sum(idf) AS total FROM pw GROUP BY ALL),
   pm AS (SELECT item_id, conv_id, turn, sum(idf) AS matched FROM pw JOIN qt USING (token) GROUP BY ALL HAVING sum(idf) >= 2.0),
@@ -175,7 +175,7 @@ _BONUS = f"""{_PT}, {_PIDF}, {_QT}, pw AS (SELECT * FROM pt JOIN pidf USING (tok
 def _bonus(spark, sf):
     talk = i.table(spark, sf, "conversations")
     words = talk.select("conv_id", F.col("turn").alias("phrase_id"), F.explode(t.tokens(t.normalize_text(F.col("text")))).alias("token")).distinct()
-    idf = rt.idf_table(words.select("conv_id", "token").distinct(), "conv_id")
+    idf = rt.idf_table(words.select("conv_id", "token").distinct(), "conv_id", i.table(spark, sf, "conversations").select("conv_id").distinct().count())
     return rt.phrase_bonus(rt.token_rows(_bench(spark, sf), "item_id", "text"), words, idf, "item_id", "conv_id")
 
 
@@ -265,7 +265,7 @@ def r13_abstain(spark, sf):
 def r14_recognize_named(spark, sf):
     asked = i.table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text")
     names = _vocabulary(spark, sf).select(F.col("concept").alias("name_id"), F.col("phrase").alias("term"))
-    return rt.recognize_named(asked, names, "query_id", "text", 3)
+    return rt.recognize_named(asked, names, "query_id", "text")
 
 
 @query("r15_retrieval_metrics", """WITH l AS (SELECT l_orderkey, l_partkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber) AS rn FROM lineitem),
@@ -316,7 +316,7 @@ def r18_structure_skeleton(spark, sf):
 @query("r19_tune_weights")
 def r19_tune_weights(spark, sf):
     docs, asked = rt.token_rows(_docs(spark, sf), "doc_id", "text"), rt.token_rows(_bench(spark, sf), "item_id", "text")
-    cover = rt.query_coverage(asked, docs, "item_id", "doc_id")
+    cover = rt.query_coverage(asked, docs, "item_id", "doc_id", _docs(spark, sf).count())
     share = F.col("explained") / F.col("total")
     features = cover.join(_docs(spark, sf).select("doc_id", "n_chars", "lang", F.crc32("source").alias("h")), "doc_id").select(
         "item_id", "doc_id", F.col("explained").alias("evidence_rest"), (F.col("h") % 30).cast("double").alias("phrase_bonus"),

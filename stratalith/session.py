@@ -8,6 +8,7 @@ and gives Catalyst real sizes for its next join choice.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -72,10 +73,29 @@ def working_dir(spark: SparkSession) -> str:
     return _local_dirs[key]
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{working_dir(spark)}/stratalith/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table that this application has settled.  Call it once the results are stored:
+    DataFrames returned before read from those tables."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster where it is not installed."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as place:
+        archive = shutil.make_archive(os.path.join(place, "stratalith"), "zip", os.path.dirname(package), os.path.basename(package))
+        spark.sparkContext.addPyFile(archive)
+
+
 def settle(df: DataFrame, *partition_hint: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a DataFrame that reads it back."""
     spark = df.sparkSession
-    path = f"{working_dir(spark)}/stratalith/{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
     if partition_hint:
         df = df.repartition(*partition_hint)
     df.write.mode("errorifexists").parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,13 +14,17 @@ _ROWS = "path string, kind string, seq bigint, x double, y double, z double, cor
 
 
 def _off(words: list[list[str]]) -> tuple[list, list]:
-    if not words or words[0] != ["OFF"]:
+    if not words or words[0][0] != "OFF":
         raise ValueError("header")
-    n, m = int(words[1][0]), int(words[1][1])
-    points = [tuple(map(float, w)) for w in words[2:2 + n]]
-    faces = [list(map(int, w[1:1 + int(w[0])])) for w in words[2 + n:2 + n + m]]
-    if len(points) != n or len(faces) != m:
+    # The counts may stand behind the word OFF.
+    counts, body = (words[0][1:], words[1:]) if len(words[0]) > 1 else (words[1], words[2:])
+    n, m = int(counts[0]), int(counts[1])
+    if len(body) != n + m:
         raise ValueError("counts")
+    points = [tuple(map(float, w)) for w in body[:n]]
+    faces = [list(map(int, w[1:1 + int(w[0])])) for w in body[n:]]
+    if any(len(f) != int(w[0]) for f, w in zip(faces, body[n:])):
+        raise ValueError("corners")
     return points, faces
 
 
@@ -34,7 +40,7 @@ def _mesh_rows(batches: Iterator[pd.DataFrame], form: str | None) -> Iterator[pd
             words = [w for w in (s.split("#")[0].split() for s in bytes(content).decode("utf-8", "replace").splitlines()) if w]
             try:
                 points, faces = (_obj if form == "obj" or path.lower().endswith(".obj") else _off)(words)
-                if any(len(p) != 3 for p in points) or any(len(f) < 3 or min(f) < 0 or max(f) >= len(points) for f in faces):
+                if any(len(p) != 3 or not all(map(math.isfinite, p)) for p in points) or any(len(f) < 3 or min(f) < 0 or max(f) >= len(points) for f in faces):
                     raise ValueError("indices")
                 rows = [(path, "vertex", i, *p, None, None) for i, p in enumerate(points)]
                 rows += [(path, "face", i, None, None, None, f, None) for i, f in enumerate(faces)]

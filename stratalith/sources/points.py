@@ -68,8 +68,9 @@ def _ply_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lines = head.decode("ascii", "replace").split("\n")
             fields = [s.split()[-1] for s in lines if s.startswith("property ")]
             count = next((int(s.split()[-1]) for s in lines if s.startswith("element vertex ")), -1)
-            table = [s.split() for s in body.decode("ascii", "replace").splitlines()[:max(count, 0)]]
-            bad = not lines[0].startswith("ply") or "format ascii 1.0" not in lines or not set(names) <= set(fields) or len(table) != count or any(len(r) < len(fields) for r in table)
+            table = [s.split() for s in body.decode("ascii", "replace").splitlines() if s.strip()]
+            others = any(s.startswith("element ") and not s.startswith("element vertex ") for s in lines)
+            bad = others or not lines[0].startswith("ply") or "format ascii 1.0" not in lines or not set(names) <= set(fields) or len(table) != count or any(len(r) != len(fields) for r in table)
             out = pd.DataFrame(columns=names, dtype=float)
             if not bad:
                 out = pd.DataFrame([r[:len(fields)] for r in table], columns=fields)[names].apply(pd.to_numeric, errors="coerce")

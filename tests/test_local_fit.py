@@ -18,7 +18,7 @@ def test_interval_centers_against_brute_force(spark):
             if x > cover:
                 count, cover = count + 1, x + 2 * r
         return count <= 3
-    got = {r.g: r.radius for r in lf.interval_centers(df, 3, "g", rounds=12).collect()}
+    got = {r.g: r.radius for r in lf.interval_centers(df, 3, "g").collect()}
     for g, row in xs.items():
         want = min(r for r in {abs(a - b) / 2 for a in row for b in row} if fits(row, r + 1e-12))
         assert got[g] == pytest.approx(want, abs=1e-9)
