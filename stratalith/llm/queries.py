@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import decontaminate, html_render, importance, language_id, packing, pii, robust_outliers, separator_scan, simhash, url_filter
+from . import decontaminate, html_render, importance, language_id, outlier_sql, packing, pii, robust_outliers, separator_scan, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("op3_robust_outliers")
+@query("op3_robust_outliers", outlier_sql.outliers())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the outlier verdict per language and source."""
     out = robust_outliers.judged(table(spark, sf_dir, "documents"))
