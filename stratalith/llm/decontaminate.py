@@ -35,12 +35,12 @@ def seed_hashes(word_hash: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
-    for k, at in enumerate(mask):
-        total = mix(total + word_hash[at:at + n] * np.uint64(2 * k + 1)) if k % 3 == 2 else total * np.uint64(0xD6E8FEB86659FD93) + word_hash[at:at + n]
+    for at in mask:
+        total = total * np.uint64(0xD6E8FEB86659FD93) + word_hash[at:at + n]
     return mix(total)
 
 
-def _seeds(piece: Words, mask: tuple[int, ...]) -> np.ndarray:
+def _seeds(piece: Words, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Seed hashes and a flag for those that stay within one row."""
     hashes = seed_hashes(piece.hash, mask)
     return hashes, piece.row[:len(hashes)] == piece.row[SPAN - 1:SPAN - 1 + len(hashes)]
