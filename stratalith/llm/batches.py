@@ -7,7 +7,7 @@ A single text longer than the slice is processed whole, never cut.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 # An odd 64-bit base for polynomial hashes and its inverse modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
@@ -45,6 +45,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+_kept: dict = {}
+
+
+def kept(key, build: Callable[[], object]):
+    """What this worker keeps between tasks.  Spark gives one worker to many operators in turn, so only
+    the last one's tables stay in memory."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values, so that any of their bits can serve as an address."""
     x = x ^ (x >> np.uint64(30))

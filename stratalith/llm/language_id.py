@@ -9,7 +9,7 @@ and their counts.  A text is scored by the product over its words.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,16 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .batches import LETTER, mix, powers, range_hash, prefix_hashes, words
+from .batches import LETTER, kept, mix, prefix_hashes, range_hash, words
 
 #: Longer runs of letters are cut into pieces of about this many bytes, between characters.
 RUN_BYTES = 36
-#: The mark that the vocabulary puts before a word, U+2581.
-MARK = "▁".encode()
 #: Words whose scores a worker remembers, and distinct words scored at a time.
-REMEMBERED, AT_ONCE = 1 << 19, 1 << 15
+REMEMBERED, AT_ONCE = 1 << 18, 1 << 13
 #: Words are summed up within a batch once so many are waiting.
-WAITING = 1 << 21
+WAITING = 1 << 19
 #: Scale per byte that keeps products of piece probabilities near one.
 _SCALE = 64.0
 
@@ -213,15 +211,28 @@ class Model:
     key: str
 
 
-_vocabularies: dict[int, Vocabulary] = {}
-_scores: dict[str, tuple[dict[int, int], np.ndarray]] = {}
+class _Scorer:
+    """What a worker keeps for one model: the vocabulary and the scores of words it has met."""
 
+    def __init__(self, model: Model) -> None:
+        self.vocabulary = Vocabulary(model.pieces)
+        self.weight = scaled(model.probability, np.array([len(p) for p in model.pieces]))
+        self.known: dict[int, int] = {}
+        self.table = np.zeros((0, len(model.languages)))
 
-def _vocabulary(pieces: list[bytes]) -> Vocabulary:
-    key = hash(tuple(pieces))
-    if key not in _vocabularies:
-        _vocabularies[key] = Vocabulary(pieces)
-    return _vocabularies[key]
+    def scores(self, hashes: np.ndarray, spell: Callable[[int], bytes]) -> np.ndarray:
+        """Log probability of each distinct word and language; ``spell(k)`` gives the bytes of word ``k``."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+            self.table = self.table[:0]
+        place = np.fromiter((self.known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            fresh = [Lattice.of(self.vocabulary, [spell(k) for k in new[low:low + AT_ONCE].tolist()]).log_probability(self.weight) for low in range(0, len(new), AT_ONCE)]
+            place[new] = len(self.table) + np.arange(len(new))
+            self.known.update(zip(hashes[new].tolist(), place[new].tolist()))
+            self.table = np.concatenate((self.table, *fresh))
+        return self.table[place]
 
 
 def fit(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", rounds: int = 2, smoothing: float = 0.01) -> Model:
@@ -231,14 +242,14 @@ def fit(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str
     every piece over all segmentations.  Only one number per piece and language reaches the driver.
     """
     pieces = read_pieces(model_path)
-    sizes = np.array([len(p) for p in pieces])
+    sizes, key = np.array([len(p) for p in pieces]), uuid.uuid4().hex
     counted = settle(word_counts(docs, text_col, lang_col))
     languages = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]
     probability = np.full((len(pieces), len(languages)), 1 / len(pieces))
     for _ in range(rounds if languages else 0):
         weight = scaled(probability, sizes)
         def run(batches: Iterator[pa.RecordBatch], weight=weight) -> Iterator[pa.RecordBatch]:
-            vocabulary, used = _vocabulary(pieces), np.zeros(weight.T.shape)
+            vocabulary, used = kept(("pieces", key), lambda: Vocabulary(pieces)), np.zeros(weight.T.shape)
             for batch in batches:
                 lang = np.searchsorted(languages, batch.column(0).to_numpy(zero_copy_only=False).astype(str))
                 for code in np.unique(lang):
@@ -254,35 +265,13 @@ def fit(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str
                         used[code] += np.bincount(lattice.piece, use, len(pieces))
             code, piece = np.nonzero(used)
             yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(piece, pa.int32()), pa.array(used[code, piece])], names=["lang", "piece", "used"])
-        sums = counted.mapInArrow(run, "lang int, piece int, used double").groupBy("lang", "piece").agg(F.sum("used").alias("used")).collect()
+        sums = counted.mapInArrow(run, "lang int, piece int, used double").groupBy("lang", "piece").agg(F.sum("used").alias("used")).toArrow()
         probability = np.full_like(probability, smoothing)
-        for r in sums:
-            probability[r["piece"], r["lang"]] += r["used"]
+        probability[sums["piece"].to_numpy(), sums["lang"].to_numpy()] += sums["used"].to_numpy()
         probability /= probability.sum(axis=0)
     return Model(languages, pieces, probability, uuid.uuid4().hex)
 
 
-def _word_scores(model: Model, hashes: np.ndarray, spell) -> np.ndarray:
-    """Log probability of each distinct word and language; ``spell(k)`` gives the bytes of word ``k``."""
-    if model.key not in _scores:
-        _scores.clear()
-        _scores[model.key] = ({}, np.zeros((0, len(model.languages))))
-    known, table = _scores[model.key]
-    if len(known) > REMEMBERED:
-        known.clear()
-        table = table[:0]
-    place = np.fromiter((known.get(h, -1) for h in hashes.tolist()), np.int64, len(hashes))
-    new = np.flatnonzero(place < 0)
-    if len(new):
-        weight, vocabulary = scaled(model.probability, np.array([len(p) for p in model.pieces])), _vocabulary(model.pieces)
-        fresh = np.concatenate([Lattice.of(vocabulary, [spell(k) for k in new[low:low + AT_ONCE].tolist()]).log_probability(weight) for low in range(0, len(new), AT_ONCE)])
-        place[new] = len(table) + np.arange(len(new))
-        known.update(zip(hashes[new].tolist(), place[new].tolist()))
-        table = np.concatenate((table, fresh))
-        _scores[model.key] = (known, table)
-    return table[place]
-
-
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score`` for every row of ``docs``, from the whole text alone.
 
@@ -292,7 +281,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array([*model.languages, "und"])
+        names, scorer = pa.array([*model.languages, "und"]), kept(("scores", model.key), lambda: _Scorer(model))
         for batch in batches:
             text = batch.column(1)
             total = np.zeros((batch.num_rows, len(model.languages)))
@@ -300,7 +289,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 distinct, at, back = np.unique(piece.hash, return_index=True, return_inverse=True)
                 raw = piece.data.tobytes()
                 spell = lambda k: raw[piece.start[at[k]]:piece.end[at[k]]]  # noqa: B023, E731
-                scores = _word_scores(model, distinct, spell)[back]
+                scores = scorer.scores(distinct, spell)[back]
                 for k in range(total.shape[1]):
                     total[piece.first_row:piece.first_row + piece.rows, k] += np.bincount(piece.row, scores[:, k], piece.rows)
             letters = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False)

@@ -15,15 +15,17 @@ import sys
 
 import tiktoken
 
+from .batches import kept
+
 #: Units a worker remembers; later ones are encoded each time.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Units longer than this many characters are encoded but not remembered.
 LONG_UNIT = 64
 
 #: White space other than the blank.  Next to a blank it moves the vocabulary's own split.
 _OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c != " "]
 #: ASCII marks that stand apart from letters and digits before them.
-_MARKS = "".join(c for c in string.punctuation)
+_MARKS = string.punctuation
 _PLAIN = re.compile(r"[A-Za-z0-9]\Z")
 
 
@@ -75,11 +77,6 @@ class Encoder:
         return self.first[head] + b"".join(map(self.later.__getitem__, rest))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, pattern: str) -> Encoder:
     """The encoder of this Python worker, built once."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = Encoder(path, pattern)
-    return _encoders[path, pattern]
+    return kept(("encoder", path, pattern), lambda: Encoder(path, pattern))
