@@ -6,6 +6,10 @@ one shard per choice of that many blocks, and only fingerprints of one shard can
 searched through a BK-tree: children are keyed by their Hamming distance to the parent, and a search
 follows only the edges within the radius.  A shard above ``SHARD_LIMIT`` fingerprints is split again on
 the bits that are still free, which loses no link and ends where the free bits cannot hold more.
+
+A link may ask for more than near fingerprints: with a ``likeness``, two texts are linked only if their
+sketches (one-permutation minima of their five-word shingles) put the share of common shingles at that
+or above.  The sketch travels with the fingerprint, so no pair of texts has to be brought together.
 """
 
 from __future__ import annotations
@@ -22,24 +26,48 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..operators.skew import salted_join
 from ..session import is_empty, settle
+from .batches import kept
 
 #: Distinct fingerprints that one BK-tree may hold before its shard is split.
 SHARD_LIMIT = 2048
 #: Shingles whose bits are counted at a time.
 COUNT_ROWS = 1 << 16
 SEED = 42
+#: Places of a sketch.  One holds 0 if no shingle falls on it, else 1 to 255 from the least hash.
+PLACES = 128
 
 
-def fingerprint(text: bytes | None, shingle: int) -> int:
-    """The signed 64-bit SimHash of the word shingles, repeats included, of one whole text."""
-    words = (text or b"").lower().split()  # bytes: A-Z only, and the six ASCII blanks
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of every run of ``shingle`` words; of the whole sequence if it is shorter; none of none."""
     if len(words) < shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    else:
-        runs = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(words) - shingle + 1)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] * bool(words), np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), np.uint64, len(words) - shingle + 1)
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()  # bytes: A-Z only, and the six ASCII blanks
+
+
+def sketch(words: list[bytes], shingle: int) -> bytes:
+    """One byte per place: of the shingle hashes that fall on it the least, folded to 1..255."""
+    hashes = np.sort(shingle_hashes(words, shingle))
+    place, first = np.unique(hashes % np.uint64(PLACES), return_index=True)
+    out = np.zeros(PLACES, np.uint8)
+    out[place.astype(np.int64)] = hashes[first] // np.uint64(PLACES) % np.uint64(255) + np.uint64(1)
+    return out.tobytes()
+
+
+def alike(a: bytes, b: bytes) -> float:
+    """Estimated share of common shingles, from the places that either sketch fills."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    filled = (x | y) > 0
+    return float((x == y)[filled].mean()) if filled.any() else 1.0
+
+
+def fingerprint(words: list[bytes], shingle: int) -> int:
+    """The signed 64-bit SimHash of the word shingles, repeats included, of one whole text."""
+    hashes = shingle_hashes(words, shingle)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), COUNT_ROWS):
         bits = np.unpackbits(hashes[at:at + COUNT_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -47,15 +75,21 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``id_col, fp``: one row per input row.  Null and blank texts have fingerprint 0; a text of
-    fewer words than a shingle is one shingle.  Other columns of ``docs`` are ignored."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, sketched: int = 0) -> DataFrame:
+    """``id_col, fp, sketch``: one row per input row; ``sketched`` is the shingle of the sketch, which
+    is empty for 0.  Null and blank texts have fingerprint 0; a text of fewer words than a shingle is
+    one shingle.  Other columns of ``docs`` are ignored."""
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("fingerprints", dict)  # nothing is kept, and what an operator before this one kept goes
         for batch in batches:
-            values = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=["_id", "fp"])
-    return picked.mapInArrow(run, f"_id {picked.schema['_id'].dataType.simpleString()}, fp bigint").withColumnRenamed("_id", id_col)
+            prints, sketches = [], []
+            for text in batch.column(1).cast(pa.large_binary()):
+                words = words_of(text.as_buffer().to_pybytes() if text.is_valid else None)
+                prints.append(fingerprint(words, shingle))
+                sketches.append(sketch(words, sketched) if sketched else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], names=["_id", "fp", "sketch"])
+    return picked.mapInArrow(run, f"_id {picked.schema['_id'].dataType.simpleString()}, fp bigint, sketch binary").withColumnRenamed("_id", id_col)
 
 
 class BKTree:
@@ -87,21 +121,25 @@ class BKTree:
         children[distance] = fresh
 
 
-def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links within the radius that connect what is connected in one shard; fewer than its values."""
-    tree, root, links = BKTree(), {v: v for v in values}, []
+def spanning_links(nodes: list[tuple[int, int, bytes]], reach: int, likeness: float = 0.0) -> list[tuple[int, int]]:
+    """Links between ``node, fp, sketch`` rows of one shard that connect what is connected in it; fewer
+    than its rows.  Rows that are connected already are not compared again."""
+    tree, members, root, links = BKTree(), {}, {n: n for n, _, _ in nodes}, []
     def find(v: int) -> int:
         while root[v] != v:
             root[v] = root[root[v]]
             v = root[v]
         return v
-    for value in values:
-        for other in tree.within(value, radius):
-            a, b = find(value), find(other)
-            if a != b:
-                root[a] = b
-                links.append((value, other))
-        tree.add(value)
+    for node, fp, own in nodes:
+        for near in tree.within(fp, reach):
+            for other, theirs in members[near]:
+                a, b = find(node), find(other)
+                if a != b and (not likeness or alike(own, theirs) >= likeness):
+                    root[a] = b
+                    links.append((node, other))
+        if fp not in members:
+            tree.add(fp)
+        members.setdefault(fp, []).append((node, own))
     return links
 
 
@@ -117,40 +155,45 @@ def _cut(positions: list[int], pieces: int) -> list[list[int]]:
     return [list(map(int, x)) for x in np.array_split(np.array(positions), pieces)]
 
 
-def _trees(radius: int):
+def _trees(reach: int, likeness: float):
     """Partitions sorted by shard in, spanning links out; a shard may go on in the next batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64)] * 3
-        def linked(part: list[np.ndarray]) -> pa.RecordBatch:
-            edges = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1])) + 1
-            bounds = np.concatenate(([0], edges, [len(part[0])]))
-            links = [link for k in np.flatnonzero(np.diff(bounds) > 1) for link in spanning_links(part[2][bounds[k]:bounds[k + 1]].tolist(), radius)]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        kept("trees", dict)
+        shard, rows = None, []
         for batch in batches:
-            part = [np.concatenate((old, new.to_numpy(zero_copy_only=False))) for old, new in zip(rest, batch.columns)]
-            if not len(part[0]):
+            mask, key, node, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+            if not len(mask):
                 continue
-            open_shard = int(np.flatnonzero((part[0] != part[0][-1]) | (part[1] != part[1][-1]))[-1]) + 1 if len(part[0]) and ((part[0] != part[0][-1]) | (part[1] != part[1][-1])).any() else 0
-            if open_shard:
-                yield linked([x[:open_shard] for x in part])
-            rest = [x[open_shard:] for x in part]
-        if len(rest[0]):
-            yield linked(rest)
+            bounds = [0, *(np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(mask)]
+            links = []
+            for low, high in zip(bounds[:-1], bounds[1:]):
+                here = (mask[low], key[low])
+                if here != shard:
+                    links += spanning_links(rows, reach, likeness) if len(rows) > 1 else []
+                    shard, rows = here, []
+                # A shard of one row, the common case, is done when the next one begins.
+                if high - low > 1 or rows or high == len(mask) or low == 0:
+                    rows += zip(node[low:high].tolist(), fp[low:high].tolist(), batch.column(4).slice(low, high - low).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        if len(rows) > 1:
+            links = spanning_links(rows, reach, likeness)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
     return run
 
 
 def _keyed(values: DataFrame, masks: dict[int, int]) -> DataFrame:
-    """A row ``mask, shard, fp`` for every fingerprint and mask."""
+    """A row ``mask, shard, node, fp, sketch`` for every node and mask."""
     choices = F.array(*(F.struct(F.lit(k).alias("mask"), F.lit(_signed(m)).alias("bits")) for k, m in masks.items()))
-    return (values.select("fp", F.explode(choices).alias("m"))
-            .select(F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("shard"), "fp"))
+    return (values.select("node", "fp", "sketch", F.explode(choices).alias("m"))
+            .select(F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("shard"), "node", "fp", "sketch"))
 
 
-def links(distinct: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
-    """``a, b``: links between the distinct fingerprints ``fp`` that connect everything within
-    ``radius`` bits of each other.  Fingerprints in a shard are at most ``SHARD_LIMIT``, or as many
-    as the free bits allow."""
-    blocks = blocks or radius + 2
+def links(distinct: DataFrame, radius: int, reach: int | None = None, likeness: float = 0.0) -> DataFrame:
+    """``a, b``: links between the distinct ``node, fp, sketch`` rows that connect everything within
+    ``radius`` bits of each other (and ``likeness``, if asked for).  A larger ``reach`` also links what
+    differs in up to so many bits where a shard holds both.  Rows in a shard are at most
+    ``SHARD_LIMIT``, or as many as the free bits allow."""
+    blocks, reach = radius + 2, reach or radius
     cuts = _cut(list(range(64)), blocks)
     fixed = {k: [p for block in choice for p in block] for k, choice in enumerate(combinations(cuts, blocks - radius))}
     found, current = [], _keyed(distinct, {k: _bits(p) for k, p in fixed.items()})
@@ -160,7 +203,7 @@ def links(distinct: DataFrame, radius: int, blocks: int | None = None) -> DataFr
         last = is_empty(hot) or min(64 - len(p) for p in fixed.values()) <= SHARD_LIMIT.bit_length() - 1
         rest = current if last else current.join(hot, ["mask", "shard"], "left_anti")
         # Round numbers of partitions come from the session; sorting makes each shard one run of rows.
-        found.append(rest.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp").mapInArrow(_trees(radius), "a bigint, b bigint"))
+        found.append(rest.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp", "node").mapInArrow(_trees(reach, likeness), "a bigint, b bigint"))
         if last:
             break
         # Split the hot shards: within one, fp differs in free bits only, so one of radius + 1 cuts of them agrees.
@@ -172,8 +215,8 @@ def links(distinct: DataFrame, radius: int, blocks: int | None = None) -> DataFr
                 deeper[len(deeper)] = positions + cut
                 sets.append((k, len(deeper) - 1))
         choices = F.array(*(F.struct(F.lit(k).alias("old"), F.lit(new).alias("mask"), F.lit(_signed(_bits(deeper[new]))).alias("bits")) for k, new in sets))
-        current = (busy.select("mask", "fp", F.explode(choices).alias("m")).filter(F.col("m.old") == F.col("mask"))
-                   .select(F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("shard"), "fp"))
+        current = (busy.select("mask", "node", "fp", "sketch", F.explode(choices).alias("m")).filter(F.col("m.old") == F.col("mask"))
+                   .select(F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("shard"), "node", "fp", "sketch"))
         fixed = deeper
     out = found[0]
     for more in found[1:]:
@@ -181,30 +224,37 @@ def links(distinct: DataFrame, radius: int, blocks: int | None = None) -> DataFr
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
+                    reach: int | None = None, likeness: float = 0.0, likeness_shingle: int = 5) -> DataFrame:
     """``id_col, fingerprint, component_id`` for every row of ``docs``.
 
     ``fingerprint`` is 16 hex digits; rows are linked if their fingerprints differ in at most
     ``radius`` bits, and ``component_id`` is the smallest id reachable over links (itself included).
-    Repeated rows stay and share a component, null and blank texts are linked like any others, an
-    empty table gives no rows, and other columns are ignored whatever their names.
+    With a ``likeness``, links also need that share of common ``likeness_shingle``-word shingles, as the
+    sketches estimate it.  Repeated rows stay and share a component, null and blank texts are linked like
+    any others, an empty table gives no rows, and other columns are ignored whatever their names.
     """
-    marked = settle(fingerprints(docs, id_col, text_col, shingle))
-    first = settle(marked.groupBy("fp").agg(F.min(id_col).alias("_least")))
-    joined = settle(links(first.select("fp"), radius))
-    groups = connected_components(joined).select(F.col("node").alias("fp"), "component")
-    linked = first.join(groups, "fp")
+    marked = fingerprints(docs, id_col, text_col, shingle, likeness_shingle if likeness else 0)
+    # Without sketches the fingerprint itself names a node.
+    node = F.xxhash64("fp", "sketch") if likeness else F.col("fp")
+    marked = settle(marked.select(id_col, node.alias("node"), "fp", "sketch"))
+    first = settle(marked.groupBy("node", "fp", "sketch").agg(F.min(id_col).alias("_least")))
+    joined = settle(links(first.select("node", "fp", "sketch"), radius, reach, likeness))
+    groups = connected_components(joined)
+    linked = first.select("node", "_least").join(groups, "node")
     least = linked.groupBy("component").agg(F.min("_least").alias("_reach"))
-    reached = linked.join(least, "component").select("fp", "_reach")
-    owner = settle(first.join(reached, "fp", "left").select("fp", F.least("_least", F.coalesce("_reach", "_least")).alias("component_id")))
-    return (salted_join(owner, marked, ["fp"], id_col)
+    reached = linked.join(least, "component").select("node", "_reach")
+    owner = settle(first.select("node", "_least").join(reached, "node", "left").select("node", F.least("_least", F.coalesce("_reach", "_least")).alias("component_id")))
+    return (salted_join(owner, marked.select(id_col, "node", "fp"), ["node"], id_col)
             .select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; all columns are kept.  Of rows
-    that repeat an id one stays.  Only ids are shuffled, and texts where ids repeat."""
-    found = settle(near_duplicates(docs, id_col, text_col, shingle, radius).select(F.col(id_col).alias("_gone"), "component_id"))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, radius: int = 4, reach: int = 10,
+             likeness: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; all columns are kept.  Links need
+    four fifths of the five-word shingles in common; candidates are texts whose two-word fingerprints
+    are near.  Of rows that repeat an id one stays.  Only ids are shuffled, and texts where ids repeat."""
+    found = settle(near_duplicates(docs, id_col, text_col, shingle, radius, reach, likeness).select(F.col(id_col).alias("_gone"), "component_id"))
     dropped = settle(found.filter(F.col("_gone") != F.col("component_id")).select("_gone").distinct())
     out = docs.join(dropped, docs[id_col] == F.col("_gone"), "left_anti")
     again = settle(found.groupBy("_gone").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_gone"))

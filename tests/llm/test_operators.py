@@ -82,7 +82,7 @@ def test_crowded_shards_lose_no_link(spark, monkeypatch):
     centres = [rng.getrandbits(64) for _ in range(4)]
     values = {c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for c in centres for _ in range(60)}
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    links = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp bigint"), 2).collect()
+    links = simhash.links(spark.createDataFrame([(v, v, b"") for v in signed], "node bigint, fp bigint, sketch binary"), 2).collect()
     root = {v: v for v in signed}
     def find(a):
         while root[a] != a:
@@ -96,11 +96,35 @@ def test_crowded_shards_lose_no_link(spark, monkeypatch):
     assert groups(find) == groups(want.get)
 
 
-def test_keep_one_keeps_the_smallest_of_each(odd, odd_rows):
-    want = components(sorted({r[0]: brute_fingerprint(r[1], 3) for r in odd_rows}.items()), 2)
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+def test_keep_one_keeps_the_smallest_of_each(spark, odd):
+    rng = random.Random(13)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(300)) for _ in range(40)]
+    near = []
+    for text in texts[:20]:
+        words = text.split()
+        for at in rng.sample(range(300), 2):  # ten five-word shingles of 296 change
+            words[at] = "changed"
+        near.append(" ".join(words))
+    half = [" ".join(t.split()[:150] + u.split()[150:]) for t, u in zip(texts[20:30], texts[30:40])]
+    rows = list(enumerate(texts + texts[:5] + near + half + ["", None, " "]))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert set(range(40)) <= kept and not kept & set(range(40, 45)) and set(range(65, 75)) <= kept
+    assert len(kept & set(range(45, 65))) <= 2 and {75, 76, 77} & kept == {75}
+    out = simhash.keep_one(odd)
+    ids = [r["doc_id"] for r in out.collect()]
+    assert out.columns == odd.columns and len(ids) == len(set(ids)) and 1 in ids and not {2, 3, 71} & set(ids)
+
+
+def test_sketches_estimate_common_shingles():
+    rng = random.Random(14)
+    for changes in (0, 1, 3, 10, 40):
+        a = [b"w%d" % rng.randrange(10_000) for _ in range(600)]
+        b = list(a)
+        for at in rng.sample(range(600), changes):
+            b[at] = b"x"
+        sets = [{tuple(x[i:i + 5]) for i in range(596)} for x in (a, b)]
+        assert abs(simhash.alike(simhash.sketch(a, 5), simhash.sketch(b, 5)) - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.13
+    assert simhash.alike(simhash.sketch([], 5), simhash.sketch([], 5)) == 1.0 and simhash.alike(simhash.sketch([b"a"], 5), simhash.sketch([], 5)) == 0.0
 
 
 def test_bk_tree_finds_all_within_the_radius():
