@@ -100,12 +100,12 @@ def _in(low: int, high: int, value: Column) -> Column:
     return F.length(_digits(value)).between(low, high)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs`` the arrays of base spans, one per base kind, and of further candidates."""
-    picked = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+def candidates(picked: DataFrame) -> DataFrame:
+    """The columns of ``picked`` (one is ``_text``) with the arrays of base spans, one per base kind, and
+    of further candidates."""
     text, has_digits = F.col("_text"), F.col("_text").rlike("[0-9][ -]?[0-9][ -]?[0-9]")
     arrays = picked.select(
-        "_id",
+        "*",
         _matches(text, "email", EMAIL, text.contains("@")).alias("email"),
         F.filter(_matches(text, "ip", IP, text.rlike(r"[0-9]\.[0-9]")), lambda x: x["value"].rlike(_OCTETS)).alias("ip"),
         F.filter(_matches(text, "card", DIGITS, has_digits), lambda x: _in(13, 19, x["value"])).alias("_runs"),
@@ -116,7 +116,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                  _matches(text, "social", SOCIAL, has_digits), _matches(text, "iban", IBAN, has_digits)).alias("_wide"))
     arrays = arrays.withColumn("_checked", F.transform("_runs", lambda x: _luhn(x["value"])))
     card = F.filter("_runs", lambda x, i: F.get(F.col("_checked"), i))
-    return arrays.select("_id", "email", "ip", card.alias("card"), "phone", F.concat(F.filter("_runs", lambda x, i: ~F.get(F.col("_checked"), i)), F.col("_wide")).alias("wide"))
+    return arrays.select(*picked.columns, "email", "ip", card.alias("card"), "phone", F.concat(F.filter("_runs", lambda x, i: ~F.get(F.col("_checked"), i)), F.col("_wide")).alias("wide"))
 
 
 def _votes(x: Column) -> list[Column]:
@@ -183,18 +183,24 @@ def _weights(counted: list, belief: dict[tuple, float]) -> dict[str, float]:
     return out
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_email, n_ip, n_card, n_phone, base, spans`` for every row of ``docs``.
+def _detail(x: Column) -> Column:
+    return F.struct(x["kind"], x["start"], x["stop"], *_votes(x), *_features(x))
 
-    ``base`` and ``spans`` are arrays of ``kind, start, stop`` in code points, by kind, then start;
-    ``spans`` holds the base spans and those the classifier accepts.  A null text counts as empty and
-    has none; repeated rows are each searched; an empty table gives no rows; other columns are ignored.
-    """
+
+def _place(x: Column) -> Column:
+    return F.struct(x["kind"], x["start"], x["stop"])
+
+
+def _detailed(picked: DataFrame) -> DataFrame:
+    """The columns of ``picked`` but its text, counts per base kind, and both candidate arrays with votes
+    and features."""
     wanted = ["email", "ip", "card", "phone"]
-    found = candidates(docs, id_col, text_col)
-    place = lambda x: F.struct(x["kind"], x["start"], x["stop"])
-    detail = lambda x: F.struct(x["kind"], x["start"], x["stop"], *_votes(x), *_features(x))
-    found = settle(found.select("_id", *(F.size(k).cast("bigint").alias(f"n_{k}") for k in wanted), F.transform(F.concat(*wanted), detail).alias("base"), F.transform("wide", detail).alias("wide")))
+    return candidates(picked).select(*picked.columns, *(F.size(k).cast("bigint").alias(f"n_{k}") for k in wanted),
+                                     F.transform(F.concat(*wanted), _detail).alias("base"), F.transform("wide", _detail).alias("wide"))
+
+
+def fit(found: DataFrame) -> dict[str, float]:
+    """The classifier's weights from all candidates of ``base`` and ``wide`` arrays."""
     each = found.select(F.explode(F.concat("base", "wide")).alias("x")).select("x.*")
     keys = ["kind", *(f"v_{v}" for v in LABELERS), *(f"f_{f}" for f in FEATURES)]
     counted = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -202,17 +208,32 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for r in counted:
         totals[r["kind"], tuple(r[f"v_{v}"] for v in LABELERS)] += r["n"]
     _, belief = reliabilities([(k, v, n) for (k, v), n in sorted(totals.items())])
-    weights = _weights(counted, belief)
+    return _weights(counted, belief)
+
+
+def _accepted(weights: dict[str, float]) -> Column:
+    """The candidates of ``wide`` that the classifier takes for personal data."""
     table = F.create_map(*(F.lit(y) for item in sorted(weights.items()) for y in item)) if weights else F.lit(None).cast("map<string,double>")
     def score(x: Column) -> Column:
         parts = [F.concat_ws("|", x["kind"], F.lit(f), x[f"f_{f}"]) for f in FEATURES]
         return reduce(lambda a, b: a + b, (F.coalesce(F.try_element_at(table, k), F.lit(0.0)) for k in [x["kind"], *parts]))
-    rank = {k: i for i, k in enumerate(KINDS)}
-    order = F.create_map(*(F.lit(y) for item in rank.items() for y in item))
-    extra = F.transform(F.filter("wide", lambda x: score(x) > 0), place)
-    ranked = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(order[x["kind"]].alias("o"), x["start"], x["stop"], x["kind"]))), place)
-    return found.select(F.col("_id").alias(id_col), *(f"n_{k}" for k in wanted), F.transform("base", place).alias("base"),
-                        F.when(F.size("wide") == 0, F.transform("base", place)).otherwise(ranked(F.concat(F.transform("base", place), extra))).alias("spans"))
+    return F.transform(F.filter("wide", lambda x: score(x) > 0), _place)
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, n_email, n_ip, n_card, n_phone, base, spans`` for every row of ``docs``.
+
+    ``base`` and ``spans`` are arrays of ``kind, start, stop`` in code points, by kind, then start;
+    ``spans`` holds the base spans and those the classifier accepts.  A null text counts as empty and
+    has none; repeated rows are each searched; an empty table gives no rows; other columns are ignored.
+    """
+    picked = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    found = settle(_detailed(picked).drop("_text"))
+    order = F.create_map(*(F.lit(y) for item in {k: i for i, k in enumerate(KINDS)}.items() for y in item))
+    ranked = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(order[x["kind"]].alias("o"), x["start"], x["stop"], x["kind"]))), _place)
+    base = F.transform("base", _place)
+    return found.select(F.col("_id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", base.alias("base"),
+                        F.when(F.size("wide") == 0, base).otherwise(ranked(F.concat(base, _accepted(fit(found))))).alias("spans"))
 
 
 def joined(spans: str) -> Column:
@@ -221,14 +242,17 @@ def joined(spans: str) -> Column:
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets; the other columns stay.
+    """``docs`` with every span replaced by its kind in angle brackets; the other columns stay, rows
+    that repeat stay repeated, and a null text stays null.
 
-    Rows are matched by id and text, so repeated rows stay as they are repeated; a null text stays null.
+    The texts are searched twice, once to fit the classifier and once to replace, so that no text moves
+    between tasks.
     """
-    spans = find(docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("_text")), "_key", "_text")
-    placed = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"], x["stop"], x["kind"])))
-    some = settle(spans.filter(F.size("spans") > 0).select("_key", placed.alias("_spans")).dropDuplicates(["_key"]))
-    marked = docs.withColumn("_row_key", F.xxhash64(F.col(id_col), F.col(text_col))).join(some, F.col("_row_key") == F.col("_key"), "left")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")
+    weights = fit(settle(_detailed(docs.select(text)).select("base", "wide")))
+    whole = F.struct(*docs.columns).alias("_whole")
+    found = _detailed(docs.select(whole, text))
+    spans = F.array_sort(F.transform(F.concat(F.transform("base", _place), _accepted(weights)), lambda x: F.struct(x["start"], x["stop"], x["kind"])))
     # Spans may overlap: each starts where those before it have ended.
     def cut(s: Column) -> Column:
         ends = F.transform(s["spans"], lambda x, i: F.greatest(F.lit(0), F.array_max(F.transform(F.slice(s["spans"], F.lit(1), i), lambda y: y["stop"]))))
@@ -238,5 +262,6 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             last = F.array_max(F.transform(s["spans"], lambda x: x["stop"]))
             return F.concat(F.array_join(head, ""), F.substring(s["text"], (last + 1).cast("int"), F.length(s["text"])))
         return _let(ends, parts)
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(_let(F.struct(F.col(text_col).alias("text"), F.col("_spans").alias("spans")), cut))
-    return marked.withColumn(text_col, text).select(*docs.columns)
+    placed = found.select("_whole", "_text", spans.alias("_spans"))
+    replaced = F.when(F.size("_spans") == 0, F.col(f"_whole.{text_col}")).otherwise(_let(F.struct(F.col("_text").alias("text"), F.col("_spans").alias("spans")), cut))
+    return placed.select(*(replaced.alias(c) if c == text_col else F.col(f"_whole.{c}") for c in docs.columns))
