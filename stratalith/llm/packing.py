@@ -75,7 +75,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     """
     spark, half = items.sparkSession, capacity // 2
     items, inside = _chained(items, max(1, capacity // 32))
-    items = settle(items)
+    items, chains = settle(items), [inside]
     # No two items above half the capacity share a sequence, so each opens one.
     placed = [items.filter(F.col("length") > half).select("n", F.col("n").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     state = (items.filter(F.col("length") > half).select(F.lit(0).alias("item"), F.col("n").alias("id"), (capacity - F.col("length")).alias("size"), F.col("length").alias("at"))
@@ -94,6 +94,11 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
         short = sum(s * n for s, n in wanted.items()) - sum(s * n for s, n in free.items())
         over = sum(s * n for s, n in wanted.items() if s > max(free, default=0))
         fresh = max(-(-short // capacity), -(-over // capacity), 0)
+        if over and not any(s <= max(free, default=0) for s in wanted):
+            # Nothing fits any more: what is left goes to new sequences, in chains so that these fill in few rounds.
+            left, inside = _chained(state.filter("item = 1").select(F.col("id").alias("n"), F.col("size").alias("length")), capacity // 8)
+            chains.append(inside)
+            state = left.select(F.lit(1).alias("item"), F.col("n").alias("id"), F.col("length").alias("size"), F.lit(0).cast("bigint").alias("at"))
         # New sequences have negative numbers, so they cannot meet an item's.
         new = spark.range(fresh).select(F.lit(0).alias("item"), (F.lit(opened) - F.col("id")).alias("id"), F.lit(capacity).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("at"))
         opened -= fresh
@@ -105,8 +110,10 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     out = placed[0]
     for more in placed[1:]:
         out = out.unionByName(more)
-    chained = inside.join(out.withColumnRenamed("n", "chain"), "chain").select("n", "sequence_id", (F.col("offset") + F.col("inside")).alias("offset"))
-    return out.join(inside, "n", "left_anti").unionByName(chained)
+    for inside in reversed(chains):
+        members = inside.join(out.withColumnRenamed("n", "chain"), "chain").select("n", "sequence_id", (F.col("offset") + F.col("inside")).alias("offset"))
+        out = settle(out.join(inside, "n", "left_anti").unionByName(members))
+    return out
 
 
 def packed_documents(docs: DataFrame, ranks: str, pattern: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
