@@ -45,11 +45,13 @@ def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int, id_col: str
     return picked.mapInArrow(run, schema).withColumnRenamed("_id", id_col)
 
 
-def _chained(items: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Items of at most ``least`` become chains of less than twice that, so that a sequence takes a
-    bounded number of rounds.  Returns the items to place and ``n, chain, inside`` of the chained ones."""
+def _chained(items: DataFrame, least: int, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Items of at most ``least`` become chains of less than ``least + width`` (``width`` is ``least``
+    unless given), so that a sequence takes a bounded number of rounds.  Returns the items to place and
+    ``n, chain, inside`` of the chained ones."""
+    width = width or least
     tiny = global_running_sum(items.filter(F.col("length") <= least), [F.col("length").desc(), F.col("n")], F.col("length"), "reached")
-    tiny = tiny.withColumn("_chain", F.floor((F.col("reached") - F.col("length")) / least))
+    tiny = tiny.withColumn("_chain", F.floor((F.col("reached") - F.col("length")) / width))
     order = Window.partitionBy("_chain").orderBy("reached")
     inside = settle(tiny.select("n", "length", (F.sum("length").over(order) - F.col("length")).alias("inside"), F.first("n").over(order).alias("chain")))
     chains = inside.groupBy(F.col("chain").alias("n")).agg(F.sum("length").alias("length"))
@@ -80,25 +82,32 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     placed = [items.filter(F.col("length") > half).select("n", F.col("n").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     state = (items.filter(F.col("length") > half).select(F.lit(0).alias("item"), F.col("n").alias("id"), (capacity - F.col("length")).alias("size"), F.col("length").alias("at"))
              .unionByName(items.filter(F.col("length") <= half).select(F.lit(1).alias("item"), F.col("n").alias("id"), F.col("length").alias("size"), F.lit(0).cast("bigint").alias("at"))))
-    opened = -1
+    opened, whole = -1, 0
     while True:
         # At most two rows per size up to the capacity come to the driver.
         sizes = [(r["item"], r["size"], r["n"]) for r in state.groupBy("item", "size").agg(F.count(F.lit(1)).alias("n")).collect()]
         wanted = {size: n for item, size, n in sizes if item == 1}
+        whole = whole or sum(n * (size if item else capacity - size) for item, size, n in sizes)
         if not wanted:
             break
         least = min(wanted)
         free = {size: n for item, size, n in sizes if item == 0 and size >= least}
         state = state.filter((F.col("item") == 1) | (F.col("size") >= least))
         # What no open gap can hold, and what all of them together cannot, needs new sequences.
-        short = sum(s * n for s, n in wanted.items()) - sum(s * n for s, n in free.items())
+        left, room = (sum(s * n for s, n in x.items()) for x in (wanted, free))
+        short = left - room
         over = sum(s * n for s, n in wanted.items() if s > max(free, default=0))
         fresh = max(-(-short // capacity), -(-over // capacity), 0)
-        if over and not any(s <= max(free, default=0) for s in wanted):
-            # Nothing fits any more: what is left goes to new sequences, in chains so that these fill in few rounds.
-            left, inside = _chained(state.filter("item = 1").select(F.col("id").alias("n"), F.col("size").alias("length")), capacity // 8)
+        # A tail below a 256th of the whole that mostly needs new sequences goes in longer chains, of about
+        # a quarter of a sequence; what these leave unused is a small part of that tail.
+        tail = 256 * left < whole and 2 * room < left and 4 * max(wanted) <= capacity
+        if tail or over and not any(s <= max(free, default=0) for s in wanted):
+            # What is left goes to new sequences, in chains so that these fill in few rounds.
+            least, width = (max(wanted), (capacity - max(wanted)) // 4) if tail else (capacity // 8, None)
+            rest, inside = _chained(state.filter("item = 1").select(F.col("id").alias("n"), F.col("size").alias("length")), least, width)
             chains.append(inside)
-            state = left.select(F.lit(1).alias("item"), F.col("n").alias("id"), F.col("length").alias("size"), F.lit(0).cast("bigint").alias("at"))
+            gaps = state.filter("item = 0") if tail else state.limit(0)
+            state = gaps.unionByName(rest.select(F.lit(1).alias("item"), F.col("n").alias("id"), F.col("length").alias("size"), F.lit(0).cast("bigint").alias("at")))
         # New sequences have negative numbers, so they cannot meet an item's.
         new = spark.range(fresh).select(F.lit(0).alias("item"), (F.lit(opened) - F.col("id")).alias("id"), F.lit(capacity).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("at"))
         opened -= fresh
