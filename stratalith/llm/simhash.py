@@ -7,9 +7,10 @@ searched through a BK-tree: children are keyed by their Hamming distance to the
 follows only the edges within the radius.  A shard above ``SHARD_LIMIT`` fingerprints is split again on
 the bits that are still free, which loses no link and ends where the free bits cannot hold more.
 
-A link may ask for more than near fingerprints: with a ``likeness``, two texts are linked only if their
-sketches (one-permutation minima of their five-word shingles) put the share of common shingles at that
-or above.  The sketch travels with the fingerprint, so no pair of texts has to be brought together.
+Near fingerprints do not follow from a share of common shingles.  So where a ``likeness`` is asked for,
+candidates come from the sketches (one-permutation minima of the five-word shingles) alone: texts that
+agree on one of ``BANDS`` bands of places, a rule that is the same for tables of every size.  A link
+needs sketches that put the share of common shingles at the likeness or above.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..operators.skew import salted_join
 from ..session import is_empty, settle
-from .batches import kept
+from .batches import kept, mix
 
 #: Distinct fingerprints that one BK-tree may hold before its shard is split.
 SHARD_LIMIT = 2048
@@ -35,6 +36,11 @@ COUNT_ROWS = 1 << 16
 SEED = 42
 #: Places of a sketch.  One holds 0 if no shingle falls on it, else 1 to 255 from the least hash.
 PLACES = 128
+#: Bands of a sketch, of ``BAND`` places each: of texts with four fifths of their shingles in common,
+#: (1 - 0.8**5)**25 or five in 100,000 agree on none.
+BANDS, BAND = 25, 5
+#: Distinct sketches that are compared at a time.
+GROUP_LIMIT = 1024
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -65,6 +71,39 @@ def alike(a: bytes, b: bytes) -> float:
     return float((x == y)[filled].mean()) if filled.any() else 1.0
 
 
+# Where an empty place looks for its value, itself first, then all others.
+_ORDER = mix(np.arange(1, PLACES * PLACES + 1, dtype=np.uint64)).reshape(PLACES, PLACES)
+np.fill_diagonal(_ORDER, 0)
+_ORDER = np.argsort(_ORDER, axis=1)
+
+
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """A key per row and band for rows of sketches that are not empty.  Empty places take the value of
+    the first filled one in their order, so that texts of few shingles have keys as telling as theirs."""
+    places = BANDS * BAND
+    donor = np.repeat(np.arange(PLACES)[None, :places], len(sketches), axis=0)
+    for step in range(1, PLACES):
+        row, place = np.nonzero(np.take_along_axis(sketches, donor, axis=1) == 0)
+        if not len(row):
+            break
+        donor[row, place] = _ORDER[place, step]
+    value = (donor * 256 + np.take_along_axis(sketches, donor, axis=1)).astype(np.uint64).reshape(-1, BANDS, BAND)
+    total = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], len(sketches), axis=0)
+    for at in range(BAND):
+        total = mix(total * np.uint64(0xD6E8FEB86659FD93) + value[:, :, at])
+    return total.view(np.int64)
+
+
+def stacked(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, PLACES)
+
+
+def likenesses(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``alike`` of rows of sketches."""
+    filled = ((a | b) > 0).sum(axis=1)
+    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(filled, 1)
+
+
 def fingerprint(words: list[bytes], shingle: int) -> int:
     """The signed 64-bit SimHash of the word shingles, repeats included, of one whole text."""
     hashes = shingle_hashes(words, shingle)
@@ -121,25 +160,22 @@ class BKTree:
         children[distance] = fresh
 
 
-def spanning_links(nodes: list[tuple[int, int, bytes]], reach: int, likeness: float = 0.0) -> list[tuple[int, int]]:
-    """Links between ``node, fp, sketch`` rows of one shard that connect what is connected in it; fewer
-    than its rows.  Rows that are connected already are not compared again."""
-    tree, members, root, links = BKTree(), {}, {n: n for n, _, _ in nodes}, []
+def spanning_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links between the distinct fingerprints of one shard that connect what is connected in it; fewer
+    than its rows."""
+    tree, root, links = BKTree(), {v: v for v in values}, []
     def find(v: int) -> int:
         while root[v] != v:
             root[v] = root[root[v]]
             v = root[v]
         return v
-    for node, fp, own in nodes:
-        for near in tree.within(fp, reach):
-            for other, theirs in members[near]:
-                a, b = find(node), find(other)
-                if a != b and (not likeness or alike(own, theirs) >= likeness):
-                    root[a] = b
-                    links.append((node, other))
-        if fp not in members:
-            tree.add(fp)
-        members.setdefault(fp, []).append((node, own))
+    for value in values:
+        for near in tree.within(value, radius):
+            a, b = find(value), find(near)
+            if a != b:
+                root[a] = b
+                links.append((value, near))
+        tree.add(value)
     return links
 
 
@@ -155,13 +191,13 @@ def _cut(positions: list[int], pieces: int) -> list[list[int]]:
     return [list(map(int, x)) for x in np.array_split(np.array(positions), pieces)]
 
 
-def _trees(reach: int, likeness: float):
+def _trees(radius: int):
     """Partitions sorted by shard in, spanning links out; a shard may go on in the next batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("trees", dict)
         shard, rows = None, []
         for batch in batches:
-            mask, key, node, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:4])
+            mask, key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if not len(mask):
                 continue
             bounds = [0, *(np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1).tolist(), len(mask)]
@@ -169,31 +205,32 @@ def _trees(reach: int, likeness: float):
             for low, high in zip(bounds[:-1], bounds[1:]):
                 here = (mask[low], key[low])
                 if here != shard:
-                    links += spanning_links(rows, reach, likeness) if len(rows) > 1 else []
+                    links += spanning_links(rows, radius) if len(rows) > 1 else []
                     shard, rows = here, []
                 # A shard of one row, the common case, is done when the next one begins.
                 if high - low > 1 or rows or high == len(mask) or low == 0:
-                    rows += zip(node[low:high].tolist(), fp[low:high].tolist(), batch.column(4).slice(low, high - low).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                    rows += fp[low:high].tolist()
+            yield _pairs(links)
         if len(rows) > 1:
-            links = spanning_links(rows, reach, likeness)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            yield _pairs(spanning_links(rows, radius))
     return run
 
 
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def _keyed(values: DataFrame, masks: dict[int, int]) -> DataFrame:
-    """A row ``mask, shard, node, fp, sketch`` for every node and mask."""
+    """A row ``mask, shard, fp`` for every fingerprint and mask."""
     choices = F.array(*(F.struct(F.lit(k).alias("mask"), F.lit(_signed(m)).alias("bits")) for k, m in masks.items()))
-    return (values.select("node", "fp", "sketch", F.explode(choices).alias("m"))
-            .select(F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("shard"), "node", "fp", "sketch"))
+    return (values.select("fp", F.explode(choices).alias("m"))
+            .select(F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("shard"), "fp"))
 
 
-def links(distinct: DataFrame, radius: int, reach: int | None = None, likeness: float = 0.0) -> DataFrame:
-    """``a, b``: links between the distinct ``node, fp, sketch`` rows that connect everything within
-    ``radius`` bits of each other (and ``likeness``, if asked for).  A larger ``reach`` also links what
-    differs in up to so many bits where a shard holds both.  Rows in a shard are at most
-    ``SHARD_LIMIT``, or as many as the free bits allow."""
-    blocks, reach = radius + 2, reach or radius
+def links(distinct: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: links between the distinct fingerprints ``fp`` that connect everything within ``radius``
+    bits of each other.  Rows in a shard are at most ``SHARD_LIMIT``, or as many as the free bits allow."""
+    blocks = radius + 2
     cuts = _cut(list(range(64)), blocks)
     fixed = {k: [p for block in choice for p in block] for k, choice in enumerate(combinations(cuts, blocks - radius))}
     found, current = [], _keyed(distinct, {k: _bits(p) for k, p in fixed.items()})
@@ -203,7 +240,7 @@ def links(distinct: DataFrame, radius: int, reach: int | None = None, likeness:
         last = is_empty(hot) or min(64 - len(p) for p in fixed.values()) <= SHARD_LIMIT.bit_length() - 1
         rest = current if last else current.join(hot, ["mask", "shard"], "left_anti")
         # Round numbers of partitions come from the session; sorting makes each shard one run of rows.
-        found.append(rest.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp", "node").mapInArrow(_trees(reach, likeness), "a bigint, b bigint"))
+        found.append(rest.repartition("mask", "shard").sortWithinPartitions("mask", "shard", "fp").mapInArrow(_trees(radius), "a bigint, b bigint"))
         if last:
             break
         # Split the hot shards: within one, fp differs in free bits only, so one of radius + 1 cuts of them agrees.
@@ -215,8 +252,9 @@ def links(distinct: DataFrame, radius: int, reach: int | None = None, likeness:
                 deeper[len(deeper)] = positions + cut
                 sets.append((k, len(deeper) - 1))
         choices = F.array(*(F.struct(F.lit(k).alias("old"), F.lit(new).alias("mask"), F.lit(_signed(_bits(deeper[new]))).alias("bits")) for k, new in sets))
-        current = (busy.select("mask", "node", "fp", "sketch", F.explode(choices).alias("m")).filter(F.col("m.old") == F.col("mask"))
-                   .select(F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("shard"), "node", "fp", "sketch"))
+        own = F.filter(choices, lambda m: m["old"] == F.col("mask"))
+        current = (busy.select("fp", F.explode(own).alias("m"))
+                   .select(F.col("m.mask").alias("mask"), F.col("fp").bitwiseAND(F.col("m.bits")).alias("shard"), "fp"))
         fixed = deeper
     out = found[0]
     for more in found[1:]:
@@ -224,22 +262,109 @@ def links(distinct: DataFrame, radius: int, reach: int | None = None, likeness:
     return out
 
 
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept("bands", dict)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            own = stacked(part.column(1))
+            filled = own.any(axis=1)
+            keys = band_keys(own[filled])
+            node = part.column(0).to_numpy(zero_copy_only=False)[filled]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(node, BANDS), pa.int64())], names=["key", "node"])
+
+
+def _compared(likeness: float):
+    """``a, b, x, y`` with sketches x and y in, the pairs that are alike out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("compared", dict)
+        for batch in batches:
+            alike = likenesses(stacked(batch.column(2)), stacked(batch.column(3))) >= likeness
+            yield batch.select([0, 1]).filter(pa.array(alike))
+    return run
+
+
+def joining_links(nodes: list[int], components: list[int], sketches: np.ndarray, likeness: float) -> list[tuple[int, int]]:
+    """Links between rows of different components that connect all that are alike; every such pair is
+    compared until its rows are connected."""
+    _, root = np.unique(np.array(components), return_inverse=True)
+    links = []
+    for k in range(1, len(nodes)):
+        others = np.flatnonzero(root[:k] != root[k])
+        near = others[likenesses(sketches[others], sketches[k:k + 1]) >= likeness] if len(others) else others
+        for at in near.tolist():
+            if root[at] != root[k]:
+                root[root == root[at]] = root[k]
+                links.append((nodes[k], nodes[at]))
+    return links
+
+
+def _blocks(likeness: float):
+    """Partitions sorted by block in, links out; a block may go on in the next batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("blocks", dict)
+        block, rows = None, []
+        def done() -> pa.RecordBatch:
+            node, component, own = zip(*rows)
+            return _pairs(joining_links(node, component, np.frombuffer(b"".join(own), np.uint8).reshape(-1, PLACES), likeness))
+        for batch in batches:
+            for *here, node, component, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if here != block:
+                    if len(rows) > 1:
+                        yield done()
+                    block, rows = here, []
+                rows.append((node, component, own))
+        if len(rows) > 1:
+            yield done()
+    return run
+
+
+def likeness_links(distinct: DataFrame, likeness: float) -> DataFrame:
+    """``a, b``: links between the distinct ``node, sketch`` rows that connect all that share a band and
+    are alike.
+
+    First every row of a group (the rows of one band key) is compared with the group's first row, one
+    pair per row, which settles a group of copies of one text whatever its size.  What is left are
+    groups that still hold several components.  All their pairs across components are compared: groups
+    above ``GROUP_LIMIT`` in pieces, each pair of pieces a block of its own, so no task grows with a group.
+    """
+    keyed = settle(distinct.select("node", "sketch").mapInArrow(_banded, "key bigint, node bigint"))
+    groups = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).filter("n > 1"))
+    members = settle(salted_join(groups, keyed, ["key"], "node"))
+    stars = settle(members.filter(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
+    left, right = (distinct.select(F.col("node").alias(c), F.col("sketch").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    both = salted_join(left, stars, ["a"], "b").join(right, "b").select("a", "b", "x", "y")
+    found = settle(both.mapInArrow(_compared(likeness), "a bigint, b bigint"))
+    # A group of two is done.
+    owned = members.filter("n > 2").select("key", "n", "node").join(connected_components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    owned = settle(owned)
+    mixed = settle(owned.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"))
+    pieces = F.ceil(F.col("n") / GROUP_LIMIT).cast("int")
+    cut = (salted_join(mixed, owned, ["key"], "node").withColumn("pieces", pieces)
+           .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+           .select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "node", "component"))
+    rows = salted_join(distinct.select("node", "sketch"), cut, ["node"], "key").select("key", "i", "j", "node", "component", "sketch")
+    more = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_blocks(likeness), "a bigint, b bigint")
+    return found.unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
-                    reach: int | None = None, likeness: float = 0.0, likeness_shingle: int = 5) -> DataFrame:
+                    likeness: float = 0.0, likeness_shingle: int = 5) -> DataFrame:
     """``id_col, fingerprint, component_id`` for every row of ``docs``.
 
     ``fingerprint`` is 16 hex digits; rows are linked if their fingerprints differ in at most
     ``radius`` bits, and ``component_id`` is the smallest id reachable over links (itself included).
-    With a ``likeness``, links also need that share of common ``likeness_shingle``-word shingles, as the
-    sketches estimate it.  Repeated rows stay and share a component, null and blank texts are linked like
-    any others, an empty table gives no rows, and other columns are ignored whatever their names.
+    With a ``likeness``, rows are linked instead by that share of common ``likeness_shingle``-word
+    shingles, as the sketches estimate it.  Repeated rows stay and share a component, null and blank
+    texts are linked like any others, an empty table gives no rows, and other columns are ignored
+    whatever their names.
     """
     marked = fingerprints(docs, id_col, text_col, shingle, likeness_shingle if likeness else 0)
     # Without sketches the fingerprint itself names a node.
-    node = F.xxhash64("fp", "sketch") if likeness else F.col("fp")
+    node = F.xxhash64("sketch") if likeness else F.col("fp")
     marked = settle(marked.select(id_col, node.alias("node"), "fp", "sketch"))
-    first = settle(marked.groupBy("node", "fp", "sketch").agg(F.min(id_col).alias("_least")))
-    joined = settle(links(first.select("node", "fp", "sketch"), radius, reach, likeness))
+    first = settle(marked.groupBy("node", "sketch").agg(F.min(id_col).alias("_least")))
+    joined = settle(likeness_links(first, likeness) if likeness else links(first.select(F.col("node").alias("fp")), radius))
     groups = connected_components(joined)
     linked = first.select("node", "_least").join(groups, "node")
     least = linked.groupBy("component").agg(F.min("_least").alias("_reach"))
@@ -249,12 +374,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, radius: int = 4, reach: int = 10,
-             likeness: float = 0.8) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; all columns are kept.  Links need
-    four fifths of the five-word shingles in common; candidates are texts whose two-word fingerprints
-    are near.  Of rows that repeat an id one stays.  Only ids are shuffled, and texts where ids repeat."""
-    found = settle(near_duplicates(docs, id_col, text_col, shingle, radius, reach, likeness).select(F.col(id_col).alias("_gone"), "component_id"))
+    four fifths of the five-word shingles in common.  Of rows that repeat an id one stays.  Only ids are
+    shuffled, and texts where ids repeat."""
+    found = settle(near_duplicates(docs, id_col, text_col, likeness=likeness).select(F.col(id_col).alias("_gone"), "component_id"))
     dropped = settle(found.filter(F.col("_gone") != F.col("component_id")).select("_gone").distinct())
     out = docs.join(dropped, docs[id_col] == F.col("_gone"), "left_anti")
     again = settle(found.groupBy("_gone").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_gone"))

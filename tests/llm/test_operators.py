@@ -115,6 +115,55 @@ def test_keep_one_keeps_the_smallest_of_each(spark, odd):
     assert out.columns == odd.columns and len(ids) == len(set(ids)) and 1 in ids and not {2, 3, 71} & set(ids)
 
 
+def varied(rng, words, changes):
+    out = list(words)
+    for at in rng.sample(range(len(words)), changes):
+        out[at] = f"x{rng.randrange(10**9)}"
+    return " ".join(out)
+
+
+def test_pairs_above_four_fifths_are_candidates():
+    rng = random.Random(15)
+    for n in (9, 12, 30, 100, 600):
+        for _ in range(60):
+            a = [b"w%d" % rng.randrange(10_000) for _ in range(n)]
+            b = [*a[:-1], b"x"] if n < 30 else a[:n - n // 8]
+            sets = [{tuple(x[i:i + 5]) for i in range(len(x) - 4)} for x in (a, b)]
+            if 5 * len(sets[0] & sets[1]) < 4 * len(sets[0] | sets[1]):
+                continue
+            keys = simhash.band_keys(np.stack([np.frombuffer(simhash.sketch(x, 5), np.uint8) for x in (a, b)]))
+            assert (keys[0] == keys[1]).any(), n
+
+
+def test_likeness_links_do_not_depend_on_the_size(spark, monkeypatch):
+    """Two texts that are alike in sketch are linked, whatever else is in the table."""
+    rng = random.Random(16)
+    pairs = []
+    for k in range(150):
+        words = [f"p{k}w{rng.randrange(900)}" for _ in range(300)]
+        pairs += [" ".join(words), varied(rng, words, 4)]
+    core = [f"c{rng.randrange(900)}" for _ in range(300)]
+    crowd = [varied(rng, core, 20) for _ in range(300)]  # half alike, so their groups hold many components
+    rows = list(enumerate(pairs + crowd))
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), likeness=0.8).collect()
+    got = {r["doc_id"]: r["component_id"] for r in found}
+    monkeypatch.setattr(simhash, "GROUP_LIMIT", 16)
+    monkeypatch.setattr(simhash, "SHARD_LIMIT", 8)
+    again = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), likeness=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in again} == got
+    own = {k: simhash.sketch(simhash.words_of(t.encode()), 5) for k, t in rows}
+    root = {k: k for k in own}
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+    for a, b in [(2 * k, 2 * k + 1) for k in range(150)] + list(itertools.combinations(range(300, 600), 2)):
+        if simhash.alike(own[a], own[b]) >= 0.8:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    assert got == {k: find(k) for k in own}
+
+
 def test_sketches_estimate_common_shingles():
     rng = random.Random(14)
     for changes in (0, 1, 3, 10, 40):
