@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .batches import ALNUM, Words, mix, words
 
-# With these two masks, every window of 13 words with at most two of them changed has a
-# place where one mask meets unchanged words only (found by search; the tests check it).
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
-SPAN = 8
+# In every stretch of 13 words or more, and in every whole item of 8 to 12, of which four
+# fifths are equal, one mask meets equal words only.  Stretches of 26 words or more hold a shorter one
+# with that share, as halves do, so lengths 8 to 25 decide (the tests go through all of them).
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4))
+#: Words that the widest mask spans.
+SPAN = 5
+#: Words of the shortest item that is looked for.
+LEAST_ITEM = 8
 #: Bytes of benchmark text that one pass over the documents looks for.
 BLOCK_BYTES = 32 << 20
 _FILTER_BITS = 22
@@ -30,8 +34,8 @@ _HITS_AT_ONCE = 1 << 20
 
 
 def seed_hashes(word_hash: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    """The seed that starts at each word with ``SPAN`` words from it on."""
-    n = len(word_hash) - SPAN + 1
+    """The seed that starts at each word with as many words from it on as the mask spans."""
+    n = len(word_hash) - mask[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
@@ -43,7 +47,7 @@ def seed_hashes(word_hash: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 def _seeds(piece: Words, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Seed hashes and a flag for those that stay within one row."""
     hashes = seed_hashes(piece.hash, mask)
-    return hashes, piece.row[:len(hashes)] == piece.row[SPAN - 1:SPAN - 1 + len(hashes)]
+    return hashes, piece.row[:len(hashes)] == piece.row[mask[-1]:mask[-1] + len(hashes)]
 
 
 @dataclass
@@ -60,10 +64,11 @@ class SeedIndex:
         parts = list(words(pa.array(texts, pa.string()), ALNUM))
         item = np.concatenate([p.row + p.first_row for p in parts] or [np.zeros(0, np.int64)])
         hashes = np.concatenate([p.hash for p in parts] or [np.zeros(0, np.uint64)])
+        long = np.bincount(item, minlength=len(texts)) >= LEAST_ITEM
         seeds = []
         for mask in MASKS:
             keys = seed_hashes(hashes, mask)
-            at = np.flatnonzero(item[:len(keys)] == item[SPAN - 1:SPAN - 1 + len(keys)])
+            at = np.flatnonzero((item[:len(keys)] == item[mask[-1]:mask[-1] + len(keys)]) & long[item[:len(keys)]])
             at = at[np.argsort(keys[at], kind="stable")]
             present = np.zeros(1 << _FILTER_BITS, bool)
             present[keys[at] >> np.uint64(64 - _FILTER_BITS)] = True
@@ -128,10 +133,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
              item_text_col: str = "text", least: int = 13, share: tuple[int, int] = (4, 5)) -> DataFrame:
     """``id_col, item_col, doc_word, item_word, n_words, n_equal``: the best overlap of each row of
     ``docs`` with each benchmark item that it shares at least ``least`` aligned words with (or a whole
-    item of ``SPAN`` words or more), at least ``share`` of them equal.
+    item of ``LEAST_ITEM`` words or more), at least ``share`` of them equal.
 
     Words are lower-case runs of letters and digits.  Null and empty texts and items of fewer than
-    ``SPAN`` words match nothing; repeated rows and items are each reported; an empty table on either
+    ``LEAST_ITEM`` words match nothing; repeated rows and items are each reported; an empty table on either
     side gives no rows; other columns are ignored whatever their names.
     """
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))

@@ -230,6 +230,27 @@ def test_masks_tolerate_two_changes():
         assert any(not {at + p for p in mask} & set(changed) for mask in decontaminate.MASKS for at in range(13 - decontaminate.SPAN + 1))
 
 
+def test_masks_meet_every_overlap_of_four_fifths():
+    for n in range(decontaminate.LEAST_ITEM, 26):
+        places = np.array([sum(1 << (at + k) for k in mask) for mask in decontaminate.MASKS for at in range(n - mask[-1])])
+        changed = np.array([sum(1 << k for k in c) for c in itertools.combinations(range(n), n // 5)])
+        assert ((changed[:, None] & places) == 0).any(axis=1).all(), n
+
+
+def test_overlaps_of_items_with_a_fifth_changed_equal_brute_force(spark):
+    rng = random.Random(18)
+    items = [" ".join(f"i{n}w{k}" for k in range(n)) for n in (8, 9, 10, 11, 12, 13, 15, 16, 17, 20, 25, 33)]
+    docs = [" ".join(f"i15w{k}" if k not in (3, 7, 11) else "x" for k in range(15))]
+    for item in items * 12:
+        words = item.split()
+        for at in rng.sample(range(len(words)), len(words) // 5 + rng.randrange(2)):
+            words[at] = "x"
+        docs.append(" ".join([*["y"] * rng.randrange(6), *words, *["y"] * rng.randrange(6)]))
+    got = decontaminate.overlaps(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")).collect()
+    want = {(d, i): best[0] for (d, doc), (i, item) in itertools.product(enumerate(docs), enumerate(items)) if (best := brute_overlap(doc, item))}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(want) and (0, 6) in want
+
+
 def brute_overlap(doc, item, least=13):
     best = None
     a, b = (re.findall(r"[^\W_]+|[^\x00-\x7f]+", x.lower()) for x in (doc, item))
