@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -176,6 +177,17 @@ def test_sketches_estimate_common_shingles():
     assert simhash.alike(simhash.sketch([], 5), simhash.sketch([], 5)) == 1.0 and simhash.alike(simhash.sketch([b"a"], 5), simhash.sketch([], 5)) == 0.0
 
 
+def test_near_copies_of_one_fingerprint_stay_linear(spark):
+    """Many sketches under one fingerprint: rows to compare do not grow with the square of the group."""
+    rng = random.Random(17)
+    core = [f"c{k}" for k in range(2000)]
+    texts = [varied(rng, core, 1) for _ in range(2500)]
+    began = time.monotonic()
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), likeness=0.8).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 2500
+    assert time.monotonic() - began < 120
+
+
 def test_bk_tree_finds_all_within_the_radius():
     rng, tree = random.Random(1), simhash.BKTree()
     values = [rng.getrandbits(12) for _ in range(300)]
