@@ -102,6 +102,21 @@ def settle(df: DataFrame, *partition_hint: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Ledger:
+    """A table that grows from round to round: each part is written once, and a read sees all parts so
+    far as one scan, so a plan does not grow with the number of rounds."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.schema = spark, f"{_tables_dir(spark)}/{uuid.uuid4().hex}", None
+
+    def add(self, part: DataFrame) -> None:
+        part.write.mode("append").parquet(self.path)
+        self.schema = part.schema
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
