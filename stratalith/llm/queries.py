@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import decontaminate, html_render, importance, language_id, outlier_sql, packing, pii, robust_outliers, separator_scan, simhash, url_filter
+from . import decontaminate, html_render, importance, language_id, outlier_sql, packing, periodic, pii, prefix_trie, robust_outliers, separator_scan, simhash, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,3 +116,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every overlap of a document with a benchmark item, at 13 words and four fifths of them equal."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_conversation_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix that rebuilt conversations have, with what its subtree holds and saves."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def planted_seed(doc_id: str = "doc_id"):
+    """What a tenth of the documents are rewritten by before runs are sought; null for the others."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    return F.when(h % 10 == 0, F.floor(h / 10))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words in every whole text, and the text without their repeats."""
+    return periodic.described(periodic.periodic_runs(table(spark, sf_dir, "documents"), seed=planted_seed()))
