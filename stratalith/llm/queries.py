@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
-from . import decontaminate, html_render, importance, language_id, outlier_sql, packing, periodic, pii, prefix_trie, robust_outliers, separator_scan, simhash, url_filter
+from . import decontaminate, html_render, importance, language_id, outlier_sql, packing, periodic, pii, prefix_trie, robust_outliers, separator_scan, simhash, suffix_dedup, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,6 +124,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_deep_shallow_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the strings of 100 bytes that also start earlier."""
+    out = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("remaining", 256).alias("kept_sha256"))
+
+
 def planted_seed(doc_id: str = "doc_id"):
     """What a tenth of the documents are rewritten by before runs are sought; null for the others."""
     h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
