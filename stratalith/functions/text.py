@@ -23,6 +23,7 @@ STEM_RULES = [("ies", 6, 3, "y"), ("ing", 7, 3, ""), ("ated", 7, 1, ""), ("ited"
 # Suffix and its replacement; at least four letters must stay in front.
 CANONICAL_RULES = [("ification", "if"), ("ify", "if"), ("ation", "at"), ("ions", ""), ("ion", "")]
 
+# What a word is, the range of Chinese and Japanese characters, the spellings of "2d".
 WORD = "[a-z][a-z0-9]*|[23]d"
 CJK_RUN = "[\\u3040-\\u30ff\\u3400-\\u9fff\\uff66-\\uff9f]+"
 # Particles that separate segments, and request phrases that carry no content.
@@ -34,6 +35,9 @@ CJK_BOILERPLATE = """
 """.split()
 TWO_D = ("(?<![a-z0-9])(?:2\\s*[-‐‑–—]?\\s*d|2\\s*[-‐‑–—]?\\s*dimensional|two\\s*[-‐‑–—]?\\s*dimensional"
          "|2\\s*次元|二次元)(?![a-z0-9])")
+#: Words of any language, and what ends a word in running text.
+ANY_WORD = "[\\p{L}\\p{M}\\p{N}_]+"
+WORD_ENDS = "[\\s\u3000\u3001\u3002\uff01\uff0c\uff1f]+"
 
 
 @F.pandas_udf(T.StringType())
@@ -115,6 +119,15 @@ def tokens(normalized: Column, cjk: bool = True) -> Column:
     return F.array_distinct(words)
 
 
+def search_terms(normalized: Column) -> Column:
+    """Terms to look for inside texts of any language: content words, words with other than ASCII letters,
+    and the character trigrams of CJK runs.  Terms have three characters or more."""
+    other = F.filter(F.regexp_extract_all(normalized, F.lit(ANY_WORD), F.lit(0)), lambda w: w.rlike("[^\\x00-\\x7f]") & ~w.rlike(CJK_RUN))
+    runs = F.filter(F.regexp_extract_all(normalized, F.lit(CJK_RUN), F.lit(0)), lambda r: F.length(r) >= 3)
+    grams = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 2), lambda n: r.substr(n, F.lit(3)))))
+    return F.array_distinct(F.filter(F.concat(content_words(normalized), other, grams), lambda w: F.length(w) >= 3))
+
+
 def ngrams(words: Column, longest: int) -> Column:
     """All runs of 1..longest consecutive words, joined by one blank."""
     def of(n: int) -> Column:

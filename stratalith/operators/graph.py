@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import is_empty, settle
+from ..session import Ledger, is_empty, settle
 
 #: Pointer doubling passes any loop of a table within so many rounds: it would need 2**64 nodes.
 DOUBLINGS = 64
@@ -84,6 +84,39 @@ def loop_order(links: DataFrame, loops: DataFrame) -> DataFrame:
     raise RuntimeError("links do not form closed loops")
 
 
+def chain_order(links: DataFrame) -> DataFrame:
+    """``chain, node, position, closed`` of disjoint chains ``node, next``: each node has at most one
+    successor and one predecessor, and ``next`` is null at the end of an open chain.
+
+    A chain is named by its smallest node.  An open one is numbered from its first node; a closed one
+    from its smallest.  Pointer doubling towards the start: a chain of n nodes needs log n joins, and
+    nodes that have arrived take no part in later ones.
+    """
+    links = settle(links)
+    pairs = links.filter("next IS NOT NULL").select(F.col("node").alias("a"), F.col("next").alias("b"))
+    owner = settle(connected_components(pairs, links.select("node")))
+    ends = owner.join(links, "node").groupBy("component").agg((F.count(F.lit(1)) == F.count("next")).alias("closed"))
+    back = pairs.select(F.col("b").alias("node"), F.col("a").alias("before"))
+    start = F.col("before").isNull() | (F.col("closed") & (F.col("node") == F.col("component")))
+    state = settle(owner.join(ends, "component").join(back, "node", "left").select(
+        F.col("component").alias("chain"), "node", "closed", F.when(start, F.col("node")).otherwise(F.col("before")).alias("far"),
+        F.when(start, 0).otherwise(1).cast("bigint").alias("position")))
+    heads = state.filter("position = 0").select(F.col("node").alias("far"))
+    done = Ledger(links.sparkSession)
+    done.add(state.filter("position = 0"))
+    state = state.filter("position > 0")
+    for _ in range(DOUBLINGS):
+        arrived = state.join(heads, "far", "left_semi")
+        done.add(arrived.select(done.schema.names))
+        state = settle(state.join(heads, "far", "left_anti"))
+        if is_empty(state):
+            return done.read().select("chain", "node", "position", "closed")
+        # A node jumps over one that is itself on the way, or takes the whole way of one that has arrived.
+        known = state.unionByName(done.read()).select(F.col("node").alias("far"), F.col("far").alias("far2"), F.col("position").alias("more"))
+        state = settle(state.join(known, "far").select("chain", "node", "closed", F.col("far2").alias("far"), (F.col("position") + F.col("more")).alias("position")))
+    raise RuntimeError("links are not disjoint chains")
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``node, distance, source`` from the nearest source (ties by source id) along undirected
     edges ``a, b, length``.  Only nodes whose distance improved in a round are relaxed in the next."""

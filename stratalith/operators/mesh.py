@@ -7,13 +7,14 @@ are unique over the table, so most steps need no mesh id in their keys.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as v
 from ..session import is_empty, settle
-from .graph import connected_components, loop_order, parity
+from .graph import chain_order, connected_components, loop_order, parity
 from .ordering import dense_ids
 
 A, B, C = v.named("ax", "ay", "az"), v.named("bx", "by", "bz"), v.named("cx", "cy", "cz")
@@ -383,12 +384,18 @@ def triangle_area(p: str = "p", q: str = "q", r: str = "r") -> Column:
     return v.norm(_cross(k)) / 2
 
 
-def slice_mesh(vertices: DataFrame, faces: DataFrame, heights: Sequence[float], axis: str = "z") -> DataFrame:
-    """``plane, fid, p, q``: intersection segments with planes across one axis.  A face is joined
-    only with the planes in its own range.  Faces lying in a plane are refused (flagged ``flat``).
-    Segment ends are named by the mesh edge they cut, so neighbours share them exactly."""
+def slice_mesh(vertices: DataFrame, faces: DataFrame, heights: Sequence[float], axis: str = "z", normal: Sequence[float] | None = None) -> DataFrame:
+    """``mesh_id, fid, plane, level, flat, p, q``: intersection segments with the planes n.p = d for the
+    given ``heights`` d, across one axis or for any ``normal``.  A face is joined only with the planes in
+    its own range.  Faces lying in a plane are refused (flagged ``flat``).  Segment ends are named by the
+    mesh edge they cut, so neighbours share them exactly."""
+    n = normal or [float(c == axis) for c in "xyz"]
+    if not any(n):
+        raise ValueError("the normal of a plane cannot be zero")
     c = corners(vertices, faces)
-    h = {k: F.col(f"{k}{axis}") for k in "abc"}
+    height = {k: reduce(lambda x, y: x + y, (F.col(f"{k}{x}") if w == 1 else F.col(f"{k}{x}") * F.lit(float(w)) for x, w in zip("xyz", n) if w)) for k in "abc"}
+    c = c.withColumns({f"_h{k}": e for k, e in height.items()})
+    h = {k: F.col(f"_h{k}") for k in "abc"}
     lo, hi = F.least(*h.values()), F.greatest(*h.values())
     levels = F.array(*[F.struct(F.lit(i).alias("plane"), F.lit(float(x)).alias("level")) for i, x in enumerate(heights)])
     c = c.withColumn("lv", F.explode(F.filter(levels, lambda s: (s["level"] >= lo) & (s["level"] <= hi)))).select("*", "lv.plane", "lv.level").drop("lv")
@@ -397,9 +404,10 @@ def slice_mesh(vertices: DataFrame, faces: DataFrame, heights: Sequence[float],
 
     def cut(s: str, t: str) -> Column:
         swap = F.col(s) < F.col(t)
-        a = {x: F.when(swap, F.col(s + x)).otherwise(F.col(t + x)) for x in "xyz"}
-        b = {x: F.when(swap, F.col(t + x)).otherwise(F.col(s + x)) for x in "xyz"}
-        share = F.try_divide(level - a[axis], b[axis] - a[axis])
+        a = {x: F.when(swap, F.col(f"{s}{x}")).otherwise(F.col(f"{t}{x}")) for x in "xyz"}
+        b = {x: F.when(swap, F.col(f"{t}{x}")).otherwise(F.col(f"{s}{x}")) for x in "xyz"}
+        ha, hb = F.when(swap, h[s]).otherwise(h[t]), F.when(swap, h[t]).otherwise(h[s])
+        share = F.try_divide(level - ha, hb - ha)
         point = [(a[x] + (b[x] - a[x]) * share).alias(x) for x in "xyz"]
         return F.when(above[s] != above[t], F.struct(F.least(s, t).alias("lo"), F.greatest(s, t).alias("hi"), *point))
 
@@ -409,6 +417,45 @@ def slice_mesh(vertices: DataFrame, faces: DataFrame, heights: Sequence[float],
     return out.filter((F.size("cuts") == 2) | F.col("flat")).select("mesh_id", "fid", "plane", "level", "flat", F.get("cuts", 0).alias("p"), F.get("cuts", 1).alias("q"))
 
 
+def segment_chains(segments: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``*by, start, second, position, closed, end`` of polylines from undirected ``segments``: their ends
+    ``p`` and ``q`` are structs whose equality joins them, within each group ``by``.
+
+    A row per point.  A place where other than two segments meet ends its chains.  Every segment is walked
+    in both directions; of the two copies of a chain the one stays that starts at the smaller end, or, if
+    the chain is closed, goes from its smallest end to the smaller of that end's neighbours; a closed chain
+    repeats its first point at the end.
+    """
+    numbered = settle(segments.select(*by, "p", "q").withColumn("sid", F.monotonically_increasing_id()))
+    ways = F.array(F.struct((F.col("sid") * 2).alias("node"), F.col("p").alias("s"), F.col("q").alias("t")), F.struct((F.col("sid") * 2 + 1).alias("node"), F.col("q").alias("s"), F.col("p").alias("t")))
+    arcs = settle(numbered.select(*by, F.explode(ways).alias("w")).select(*by, "w.*"))
+    # Where two segments meet, each way in has one way out that does not turn back.
+    out = arcs.groupBy(*by, F.col("s").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("one"), F.max("node").alias("two")).filter("n = 2")
+    back = F.col("node").bitwiseXOR(F.lit(1))
+    follow = arcs.join(out, [*by, "t"], "left").select("node", F.when(F.col("one") == back, F.col("two")).otherwise(F.col("one")).alias("next"))
+    placed = settle(chain_order(follow).join(arcs, "node"))
+    # Closed chains are numbered from their smallest arc; here they begin at their smallest end.
+    chains = placed.groupBy("chain").agg(F.count(F.lit(1)).alias("size"), F.min_by("position", F.struct("s", "position")).alias("shift"))
+    placed = placed.join(chains, "chain").withColumn("position", F.when(F.col("closed"), F.pmod(F.col("position") - F.col("shift"), F.col("size"))).otherwise(F.col("position")))
+    at = lambda c, n: F.max(F.when(F.col("position") == n, F.col(c)))
+    named = placed.groupBy("chain").agg(at("s", F.lit(0)).alias("start"), at("t", F.lit(0)).alias("second"), at("s", F.col("size") - 1).alias("last"), at("t", F.col("size") - 1).alias("stop"))
+    # Of one segment's two copies the first end decides; of others the end, or the neighbour of the start.
+    chosen = named.filter((F.col("start") < F.col("stop")) | (F.col("start") == F.col("stop")) & (F.col("second") <= F.col("last")))
+    points = placed.drop("closed").join(chosen.select("chain", "start", "second", (F.col("start") == F.col("stop")).alias("closed")), "chain")
+    tail = points.filter(F.col("position") == F.col("size") - 1).select(*by, "start", "second", F.col("size").alias("position"), "closed", F.col("t").alias("end"))
+    return points.select(*by, "start", "second", "position", "closed", F.col("s").alias("end")).unionByName(tail)
+
+
+def slice_polylines(vertices: DataFrame, faces: DataFrame, heights: Sequence[float], normal: Sequence[float] = (0.0, 0.0, 1.0)) -> DataFrame:
+    """``mesh_id, plane, start_lo, start_hi, position, closed, lo, hi, x, y, z``: the polylines in which
+    planes n.p = d cut each mesh, a row per point.  ``lo, hi`` is the mesh edge that holds the point, and
+    the edge of its first point names a polyline.  Faces in a plane bring no segment."""
+    cut = slice_mesh(vertices, faces, heights, normal=normal).filter(~F.col("flat") & F.col("p").isNotNull())
+    # Neighbouring faces cut their common edge at the same point, so equal edges have equal structs.
+    rows = segment_chains(cut, ["mesh_id", "plane"])
+    return rows.select("mesh_id", "plane", F.col("start.lo").alias("start_lo"), F.col("start.hi").alias("start_hi"), "position", "closed", "end.lo", "end.hi", "end.x", "end.y", "end.z")
+
+
 # -- subdivision, sampling, smoothing ------------------------------------------------------------
 def _edge_table(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """``lo, hi`` with end coordinates, opposite corners' coordinate sum and number of faces."""

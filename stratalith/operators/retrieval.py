@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..session import settle, spread
+from ..session import settle, spread, stored_bytes
+from .skew import salted_join
+from .substrings import best_of, term_hits
 
-#: Rows up to which a side may be broadcast; always counted first.
-BROADCAST_ROWS = 200_000
+#: Bytes on disk up to which a side may be broadcast; always measured on a written table.
+BROADCAST_BYTES = 8 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """Broadcast ``df`` if it is proven to be short, else leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df``, written once, and broadcast if its files are small; else the choice is left to Spark."""
+    stored = settle(df)
+    return F.broadcast(stored) if stored_bytes(stored) <= BROADCAST_BYTES else stored
 
 
 def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -92,63 +95,82 @@ def document_sizes(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFram
     return docs.select(key, size.cast("double").alias("size"))
 
 
-def word_postings(docs: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """``field, word, key, hits`` over maximal runs of letters and digits."""
-    named = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(f, F.lit(""))).alias("body")) for f in fields]))
-    return spread(docs.select(key, *fields)).select(key, named.alias("n")).select(
-        key, "n.field", F.explode(F.regexp_extract_all("n.body", F.lit("[a-z0-9]+"), F.lit(0))).alias("word")) \
-        .groupBy("field", "word", key).agg(F.count(F.lit(1)).alias("hits"))
-
-
 # Fixed values of the BM25 formula.
 K1, B = 1.2, 0.75
 
 
-def bm25_search(docs: DataFrame, queries: DataFrame, key: str, qid: str, terms: str,
-                weights: Mapping[str, float], k: int) -> DataFrame:
-    """Best ``k`` documents per query for an OR of substring terms (array column ``terms`` of words
-    made of letters and digits).
-
-    Terms are matched against the distinct words of the corpus rather than against the texts: a
-    term's hits in a document are the sum over its words of word count times occurrences inside it.
-    """
-    postings = settle(word_postings(docs, key, list(weights)))
-    wanted = queries.select(qid, F.explode(terms).alias("term")).filter(F.length("term") >= 3).distinct()
-    phrases = wanted.select("term").distinct()
-    lengths = [r[0] for r in phrases.select(F.length("term")).distinct().collect()]  # a few small integers
-    inside = postings.select("word").distinct().select("word", F.explode(t.pieces(F.col("word"), lengths)).alias("term")) \
-        .join(small(phrases), "term").groupBy("word", "term").agg(F.count(F.lit(1)).alias("times"))
+def term_gains(docs: DataFrame, wanted: DataFrame, key: str, weights: Mapping[str, float]) -> DataFrame:
+    """``term, key, gain``: what each wanted term adds to the score of each document that holds it."""
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
-    hits = settle(postings.join(inside, "word").groupBy("term", key).agg(
-        F.sum(F.col("hits") * F.col("times") * table[F.col("field")]).alias("f")))
+    hits = settle(term_hits(docs, wanted, key, list(weights)).groupBy("term", key).agg(F.sum(F.col("hits") * table[F.col("field")]).alias("f")))
     sizes = document_sizes(docs, key, list(weights))
     whole = sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("size").alias("avg_size"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    known = df.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one").select("term", idf.alias("idf"), "avg_size")
     gain = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
-    scored = (
-        hits.join(small(df.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one")
-                        .select("term", idf.alias("idf"), "avg_size")), "term")
-        .join(sizes, key).select("term", key, gain.alias("gain"))
-        .join(small(wanted), "term").groupBy(qid, key).agg(F.sum("gain").alias("score"), F.collect_set("term").alias("matched"))
-    )
-    order = Window.partitionBy(qid).orderBy(F.round("score", 6).desc(), key)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return hits.join(small(known), "term").join(sizes, key).select("term", key, gain.alias("gain"))
+
+
+#: Scores are ranked after rounding to six places, so a bound holds up to this much.
+SLACK = 1e-6
+
+
+def bounded_candidates(gains: DataFrame, wanted: DataFrame, qid: str, key: str, k: int) -> DataFrame:
+    """``qid, key``: documents that can be among the best ``k`` of a query.
+
+    The best gain of a term bounds what it can add.  First the ``k`` best documents of every single term
+    are scored in full; the k-th of a query's scores is a floor under its result.  Terms whose bounds
+    together stay below the floor bring no candidate of their own, so the long lists of common terms are
+    not read for candidates, and of the others' documents only those stay that the floor allows.
+    """
+    ask = wanted.join(small(gains.groupBy("term").agg(F.max("gain").alias("most"))), "term")
+    lead = best_of(gains, "term", key, F.col("gain"), k).select("term", key)
+    first = full_scores(ask.join(lead, "term").select(qid, key).distinct(), gains, wanted, qid, key)
+    floor = best_of(first, qid, key, F.round("score", 6), k).filter(F.col("rank") == k).select(qid, (F.round("score", 6) - SLACK).alias("floor"))
+    rising = Window.partitionBy(qid).orderBy("most", "term")
+    bounded = ask.join(small(floor), qid, "left").withColumn("_sum", F.sum("most").over(rising.rowsBetween(Window.unboundedPreceding, 0)))
+    bounded = bounded.withColumn("needed", F.col("floor").isNull() | (F.col("_sum") >= F.col("floor")))
+    rest = F.sum(F.when(~F.col("needed"), F.col("most")).otherwise(0.0)).over(Window.partitionBy(qid))
+    bounded = settle(bounded.withColumn("rest", rest).filter("needed").select(qid, "term", "floor", "rest"))
+    part = salted_join(bounded, gains, ["term"], key).groupBy(qid, key).agg(F.sum("gain").alias("part"), F.first("floor").alias("floor"), F.first("rest").alias("rest"))
+    return part.filter(F.col("floor").isNull() | (F.col("part") + F.col("rest") >= F.col("floor") - SLACK)).select(qid, key)
+
+
+def full_scores(pairs: DataFrame, gains: DataFrame, wanted: DataFrame, qid: str, key: str) -> DataFrame:
+    """``qid, key, score, matched`` of given pairs, over all terms of their queries."""
+    asked = pairs.join(small(wanted), qid)
+    return asked.join(gains, ["term", key]).groupBy(qid, key).agg(F.sum("gain").alias("score"), F.collect_set("term").alias("matched"))
+
+
+def bm25_search(docs: DataFrame, queries: DataFrame, key: str, qid: str, terms: str,
+                weights: Mapping[str, float], k: int | None) -> DataFrame:
+    """Best ``k`` documents per query (all for None) for an OR of substring terms in any language (array
+    column ``terms``, lower case); terms of fewer than three characters are left out, as the trigram index
+    has none of them.  Ties by ``key``."""
+    wanted = settle(queries.select(qid, F.explode(terms).alias("term")).filter(F.length("term") >= 3).distinct())
+    gains = settle(term_gains(docs, wanted, key, weights))
+    if k is None:
+        scored = salted_join(wanted, gains, ["term"], key).groupBy(qid, key).agg(F.sum("gain").alias("score"), F.collect_set("term").alias("matched"))
+        return scored.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(F.round("score", 6).desc(), key)))
+    return best_of(full_scores(bounded_candidates(gains, wanted, qid, key, k), gains, wanted, qid, key), qid, key, F.round("score", 6), k)
 
 
 def snippet(rows: DataFrame, text: str, terms: str, width: int = 14) -> DataFrame:
-    """The ``width``-word window that holds the most distinct terms (earliest on ties), with the
-    matching words in brackets; ``terms`` is an array column."""
-    words = F.split(F.trim(F.regexp_replace(F.col(text), "\\s+", " ")), " ")
-    bare = F.transform(words, lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", ""))
-    ready = rows.withColumn("_w", words).withColumn("_b", bare)
-    ready = ready.withColumn("_at", F.filter(F.sequence(F.lit(1), F.size("_w")), lambda p: F.array_contains(F.col(terms), F.element_at("_b", p))))
-    scored = F.transform("_at", lambda p: F.struct(
-        F.size(F.array_intersect(F.slice("_b", p, F.lit(width)), F.col(terms))).alias("n"), (-p).alias("p")))
-    start = F.coalesce(-F.array_max(scored)["p"], F.lit(1))
-    marked = F.transform("_w", lambda w, n: F.when(
-        F.array_contains(F.col(terms), F.element_at("_b", n + 1)), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
-    return ready.withColumn("snippet", F.array_join(F.slice(marked, start, F.lit(width)), " ")).drop("_w", "_b", "_at")
+    """The ``width``-word window that holds the most distinct terms (earliest on ties), with the words that
+    hold a term in brackets; ``terms`` is an array column of lower-case terms.
+
+    Words end at white space and at ideographic punctuation; a term may stand anywhere inside one.
+    """
+    words = F.filter(F.split(F.col(text), t.WORD_ENDS), lambda w: w != "")
+    ready = rows.withColumn("_w", words).withColumn("_low", F.transform("_w", F.lower))
+    # The terms of each word, worked out once; most words hold none.
+    ready = ready.withColumn("_t", F.transform("_low", lambda w: F.filter(terms, lambda x: F.contains(w, x))))
+    ready = ready.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda p: F.size(F.get("_t", p)) > 0))
+    scored = F.transform("_at", lambda p: F.struct(F.size(F.array_distinct(F.flatten(F.slice("_t", p + 1, F.lit(width))))).alias("n"), (-p).alias("p")))
+    start = F.coalesce(-F.array_max(scored)["p"], F.lit(0)) + 1
+    marked = F.transform(F.arrays_zip("_w", "_t"), lambda x: F.when(F.size(x["_t"]) > 0, F.concat(F.lit("["), x["_w"], F.lit("]"))).otherwise(x["_w"]))
+    return ready.withColumn("snippet", F.array_join(F.slice(marked, start, F.lit(width)), " ")).drop("_w", "_low", "_t", "_at")
 
 
 # -- evidence -----------------------------------------------------------------------------------
@@ -284,7 +306,7 @@ def classic_search(entries: DataFrame, queries: DataFrame, qid: str, key: str, k
     the query, also in the middle of its words, so queries are cut at the lengths that titles have.
     ``entries`` holds ``key, title, summary``; ``queries`` holds ``qid, text``.
     """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0)))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(t.ANY_WORD), F.lit(0)))
     left = queries.select(qid, F.explode(words(F.col("text"))).alias("word"))
     right = entries.select(key, F.explode(words(F.concat_ws(" ", "title", "summary"))).alias("word"))
     lengths = [r[0] for r in entries.select(F.length("title").alias("n")).filter("n > 0").distinct().collect()]  # small integers

@@ -167,6 +167,39 @@ POLY = f"""pg AS (SELECT s_suppkey AS poly_id, ring, seq, 2 * s_nationkey + 1 +
   FROM supplier, (VALUES {_CORNER_ROWS}) t(ring, seq, u, w))"""
 
 
+# For suppliers by number modulo 8, where the square holes of rings 1 and 2 stand, in units of
+# the size: both well inside; ring 1 outside; ring 1 across the outer ring; ring 1 touching a corner of it;
+# ring 2 within ring 1; ring 2 across ring 1; ring 2 equal to ring 1; ring 1 inside, its corners crossed.
+HOLE_PLACES = [(0.0, 0.0, 2.5, 0.0), (9.0, 0.0, 2.5, 0.0), (4.0, 0.0, -2.0, 0.0), (0.0, 2.0, 2.5, 0.0), (0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.75, 0.5), (0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 2.5, 0.0)]
+# Half the side of ring 2 in the same units.
+SECOND_HOLE = [0.25, 0.25, 0.25, 0.25, 0.25, 0.5, 1.0, 0.25]
+
+
+def holed_polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """Hexagons with two square holes each, which stand in the outer ring and to each other in all ways."""
+    key = F.col("s_suppkey")
+    case = F.pmod(key, F.lit(8))
+    base = polygons(spark, sf)
+    at = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), (case + 1).cast("int"))
+    frame = table(spark, sf, "supplier").select(key.alias("poly_id"), case.alias("case"), (1 + F.pmod(key, F.lit(3))).cast("double").alias("size"), (2 * F.col("s_nationkey") + 1).cast("double").alias("cx"),
+                                                (F.pmod(key * 11, F.lit(100)) + 900).cast("double").alias("cy"), *[at([p[k] for p in HOLE_PLACES]).alias(f"h{k}") for k in range(4)], at(SECOND_HOLE).alias("half"))
+    outer = base.filter("ring = 0")
+    square = [(s, u, w) for r, s, u, w in POLYGON_CORNERS if r == 1]
+    rows = [F.struct(F.lit(r).alias("ring"), F.when((F.col("case") == 7) & F.lit(r == 1) & F.lit(s in (1, 2)), 3 - s).otherwise(s).alias("seq"),
+                     (F.col("cx") + F.col("size") * (F.col(f"h{2 * r - 2}") + u * (F.lit(1.0) if r == 1 else F.col("half")))).alias("x"),
+                     (F.col("cy") + F.col("size") * (F.col(f"h{2 * r - 1}") + w * (F.lit(1.0) if r == 1 else F.col("half")))).alias("y")) for r in (1, 2) for s, u, w in square]
+    return outer.unionByName(frame.select("poly_id", F.explode(F.array(*rows)).alias("k")).select("poly_id", "k.*"))
+
+
+_SQUARE = ", ".join(f"({s}, {u}, {w})" for r, s, u, w in POLYGON_CORNERS if r == 1)
+_PLACES = ", ".join(f"({k}, {', '.join(f'{x}::DOUBLE' for x in p)}, {half}::DOUBLE)" for k, (p, half) in enumerate(zip(HOLE_PLACES, SECOND_HOLE)))
+HOLED = f"""hq AS (SELECT s_suppkey AS poly_id, k, 1 + s_suppkey % 3 AS size, 2 * s_nationkey + 1 AS cx, s_suppkey * 11 % 100 + 900 AS cy, h0, h1, h2, h3, half
+    FROM supplier JOIN (VALUES {_PLACES}) p(k, h0, h1, h2, h3, half) ON k = s_suppkey % 8),
+  hp AS (SELECT * FROM pg WHERE ring = 0 UNION ALL
+    SELECT poly_id, 1, CASE WHEN k = 7 AND seq IN (1, 2) THEN 3 - seq ELSE seq END, cx + size * (h0 + u), cy + size * (h1 + w) FROM hq, (VALUES {_SQUARE}) t(seq, u, w) UNION ALL
+    SELECT poly_id, 2, seq, cx + size * (h2 + u * half), cy + size * (h3 + w * half) FROM hq, (VALUES {_SQUARE}) t(seq, u, w))"""
+
+
 # -- segments, one per order -----------------------------------------------------------------------
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """Short integer segments on a map whose size grows with the table, so crossings stay local."""

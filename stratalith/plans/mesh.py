@@ -224,6 +224,36 @@ def g7_slice_mesh(spark, sf):
     return s.select("plane", "fid", F.round(gap, 5).alias("length"))
 
 
+_POLYLINES = f"""WITH RECURSIVE {i.MESH}, {_K}, l(plane, level) AS (VALUES (0, 10.5::DOUBLE), (1, 25.5), (2, 40.5)),
+  kh AS (SELECT k.*, plane, level, {{n0}} * ax + {{n1}} * ay + {{n2}} * az AS ha, {{n0}} * bx + {{n1}} * by_ + {{n2}} * bz AS hb, {{n0}} * cx + {{n1}} * cy + {{n2}} * cz AS hc FROM k, l),
+  ct AS (SELECT plane, fid, least(u, v) AS lo, greatest(u, v) AS hi, level FROM (SELECT plane, level, fid, a AS u, b AS v FROM kh WHERE (ha >= level) <> (hb >= level) UNION ALL
+    SELECT plane, level, fid, b, c FROM kh WHERE (hb >= level) <> (hc >= level) UNION ALL SELECT plane, level, fid, c, a FROM kh WHERE (hc >= level) <> (ha >= level))),
+  sg AS (SELECT plane, fid, min({{{{'lo': lo, 'hi': hi}}}}) AS p, max({{{{'lo': lo, 'hi': hi}}}}) AS q FROM ct GROUP BY ALL),
+  nb AS (SELECT plane, p AS s, q AS t FROM sg UNION ALL SELECT plane, q, p FROM sg),
+  dg AS (SELECT plane, s, count(*) AS n FROM nb GROUP BY ALL),
+  wk(plane, start, second, prev, here, step) AS (SELECT plane, s, t, s, t, 1 FROM nb
+    UNION ALL SELECT w.plane, start, second, w.here, nb.t, step + 1 FROM wk w JOIN nb ON nb.plane = w.plane AND nb.s = w.here AND nb.t <> w.prev WHERE w.here <> start),
+  fin AS (SELECT plane, start, second, max(step) AS size, arg_max(here, step) AS stop, arg_max(prev, step) AS last, min(here) AS low FROM wk GROUP BY ALL),
+  ok AS (SELECT f.*, start = stop AS closed FROM fin f JOIN dg ON dg.plane = f.plane AND dg.s = start WHERE (start = stop AND start <= low AND second <= last) OR (start <> stop AND n = 1 AND start < stop)),
+  pt AS (SELECT plane, start, closed, CAST(0 AS BIGINT) AS position, start AS e FROM ok UNION ALL SELECT w.plane, w.start, closed, w.step, w.here FROM wk w JOIN ok ON w.plane = ok.plane AND w.start = ok.start AND w.second = ok.second)
+  SELECT plane, start.lo AS start_lo, start.hi AS start_hi, CAST(position AS BIGINT) AS position, closed, e.lo AS lo, e.hi AS hi, round(p.x + (q.x - p.x) * sh, 5) + 0.0 AS x, round(p.y + (q.y - p.y) * sh, 5) + 0.0 AS y, round(p.z + (q.z - p.z) * sh, 5) + 0.0 AS z
+  FROM (SELECT pt.*, (level - ({{n0}} * p.x + {{n1}} * p.y + {{n2}} * p.z)) / ({{n0}} * q.x + {{n1}} * q.y + {{n2}} * q.z - ({{n0}} * p.x + {{n1}} * p.y + {{n2}} * p.z)) AS sh, p, q FROM pt JOIN l USING (plane) JOIN mv p ON p.vid = e.lo JOIN mv q ON q.vid = e.hi)"""
+
+
+@query("g7_slice_polylines", _POLYLINES.format(n0=0.0, n1=0.0, n2=1.0))
+def g7_slice_polylines(spark, sf):
+    """Every point of every polyline in which three level planes cut the height field."""
+    out = ms.slice_polylines(*i.mesh(spark, sf), [10.5, 25.5, 40.5])
+    return out.drop("mesh_id").withColumns({c: F.round(c, 5) + 0.0 for c in "xyz"})
+
+
+@query("g7_slice_polylines_slanted", _POLYLINES.format(n0=0.5, n1=0.25, n2=1.0))
+def g7_slice_polylines_slanted(spark, sf):
+    """The same with slanted planes."""
+    out = ms.slice_polylines(*i.mesh(spark, sf), [10.5, 25.5, 40.5], normal=(0.5, 0.25, 1.0))
+    return out.drop("mesh_id").withColumns({c: F.round(c, 5) + 0.0 for c in "xyz"})
+
+
 @query("g8_subdivide_loop", f"""WITH {i.MESH}, {_H}, u AS (SELECT least(u, v) AS lo, greatest(u, v) AS hi, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz FROM h JOIN mv ON vid = w GROUP BY ALL),
   e AS (SELECT u.*, p.x AS px, p.y AS py, p.z AS pz, q.x AS qx, q.y AS qy, q.z AS qz FROM u JOIN mv p ON p.vid = lo JOIN mv q ON q.vid = hi),
   m AS (SELECT CASE WHEN n = 2 THEN (px+qx)*0.375 + sx*0.125 ELSE (px+qx)/2 END AS x, CASE WHEN n = 2 THEN (py+qy)*0.375 + sy*0.125 ELSE (py+qy)/2 END AS y, CASE WHEN n = 2 THEN (pz+qz)*0.375 + sz*0.125 ELSE (pz+qz)/2 END AS z FROM e),

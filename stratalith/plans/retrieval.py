@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import evaluation as ev
 from ..operators import retrieval as rt
+from ..operators.substrings import substring_search, term_hits
 from ..session import settle
 from . import inputs as i
 from .registry import query
@@ -96,12 +97,15 @@ def r5_trigram_index(spark, sf):
     return rt.trigram_index(_docs(spark, sf), "doc_id", list(_FIELDS))
 
 
-_BM25 = f"""{_tokens('benchmark', 'item_id', 'text', 'q')},
-  wanted AS (SELECT DISTINCT item_id, stem AS term FROM q WHERE length(stem) >= 3),
+def _bm25_sql(wanted: str, word: str) -> str:
+    """CTEs that end in ``ranked(item_id, doc_id, score, rank)``; a term's hits in a document are the sum over
+    its distinct words of word count times occurrences inside the word."""
+    return f"""{_tokens('benchmark', 'item_id', 'text', 'q')},
+  wanted AS ({wanted}),
   post AS (SELECT doc_id, f, word, count(*) AS hits FROM (
-    SELECT doc_id, 10.0 AS f, unnest(regexp_extract_all(lower(source), '[a-z0-9]+')) AS word FROM documents UNION ALL
-    SELECT doc_id, 6.0, unnest(regexp_extract_all(lower(lang), '[a-z0-9]+')) FROM documents UNION ALL
-    SELECT doc_id, 0.2, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM documents) GROUP BY ALL),
+    SELECT doc_id, 10.0 AS f, unnest(regexp_extract_all(lower(source), '{word}')) AS word FROM documents UNION ALL
+    SELECT doc_id, 6.0, unnest(regexp_extract_all(lower(lang), '{word}')) FROM documents UNION ALL
+    SELECT doc_id, 0.2, unnest(regexp_extract_all(lower(text), '{word}')) FROM documents) GROUP BY ALL),
   ins AS (SELECT word, term, len(list_filter(range(1, length(word) - length(term) + 2), lambda p: substring(word, p, length(term)) = term)) AS times
     FROM (SELECT DISTINCT word FROM post), (SELECT DISTINCT term FROM wanted) WHERE contains(word, term)),
   h AS (SELECT term, doc_id, sum(hits * times * f::DOUBLE) AS f FROM post JOIN ins USING (word) GROUP BY ALL),
@@ -112,12 +116,28 @@ _BM25 = f"""{_tokens('benchmark', 'item_id', 'text', 'q')},
   ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM sc)"""
 
 
+_STEMS = "SELECT DISTINCT item_id, stem AS term FROM q WHERE length(stem) >= 3"
+_BM25 = _bm25_sql(_STEMS, "[a-z0-9]+")
+_ANY = r"[\p{L}\p{M}\p{N}_]+"
+_CJK = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{ff66}-\x{ff9f}]"
+_ANY_TERMS = rf"""{_STEMS} UNION SELECT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all({_norm('text')}, '{_ANY}')) AS w FROM benchmark)
+    WHERE length(w) >= 3 AND regexp_matches(w, '[^\x00-\x7f]') AND NOT regexp_matches(w, '{_CJK}')
+    UNION SELECT item_id, substring(r, p, 3) FROM (SELECT item_id, r, unnest(range(1, length(r) - 1)) AS p FROM (
+      SELECT item_id, unnest(regexp_extract_all({_norm('text')}, '{_CJK}+')) AS r FROM benchmark) WHERE length(r) >= 3)"""
+_BM25_ANY = _bm25_sql(_ANY_TERMS, _ANY)
+
+
 def _terms(spark, sf):
     return _bench(spark, sf).select("item_id", t.content_words(t.normalize_text(F.col("text"))).alias("terms"))
 
 
-def _bm25(spark, sf, k):
-    return rt.bm25_search(_docs(spark, sf), _terms(spark, sf), "doc_id", "item_id", "terms", _FIELDS, k)
+def _any_terms(spark, sf):
+    """Search terms of every benchmark item, German, French, Spanish or of any other script."""
+    return _bench(spark, sf).select("item_id", t.search_terms(t.normalize_text(F.col("text"))).alias("terms"))
+
+
+def _bm25(spark, sf, k, terms=_terms):
+    return rt.bm25_search(_docs(spark, sf), terms(spark, sf), "doc_id", "item_id", "terms", _FIELDS, k)
 
 
 @query("r6_bm25_search", f"WITH {_BM25} SELECT item_id, doc_id, rank, round(score, 4) AS score FROM ranked WHERE rank <= 10")
@@ -125,17 +145,33 @@ def r6_bm25_search(spark, sf):
     return _bm25(spark, sf, 10).select("item_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
-@query("r7_snippet", f"""WITH {_tokens('benchmark', 'item_id', 'text', 'q')}, tm AS (SELECT list(DISTINCT stem) AS terms FROM q WHERE item_id < 5),
-  d AS (SELECT doc_id, terms, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents, tm),
-  b AS (SELECT *, list_transform(w, lambda x: regexp_replace(lower(x), '[^a-z0-9]', '', 'g')) AS bare FROM d),
-  m AS (SELECT *, list_filter(range(1, len(w) + 1), lambda p: list_contains(terms, bare[p])) AS ats FROM b),
-  s AS (SELECT *, list_transform(ats, lambda p: {{'n': len(list_distinct(list_filter(bare[p:p + 13], lambda x: list_contains(terms, x)))), 'p': -p}}) AS sc FROM m),
+@query("r6_bm25_search_any_language", f"WITH {_BM25_ANY} SELECT item_id, doc_id, rank, round(score, 4) AS score FROM ranked WHERE rank <= 10")
+def r6_bm25_search_any_language(spark, sf):
+    return _bm25(spark, sf, 10, _any_terms).select("item_id", "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
+@query("r6_term_hits", rf"""WITH {_tokens('benchmark', 'item_id', 'text', 'q')}, wanted AS (SELECT DISTINCT term FROM ({_ANY_TERMS})),
+  post AS (SELECT doc_id, word, count(*) AS hits FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_ANY}')) AS word FROM documents) GROUP BY ALL),
+  ins AS (SELECT word, term, len(list_filter(range(1, length(word) - length(term) + 2), lambda p: substring(word, p, length(term)) = term)) AS times
+    FROM (SELECT DISTINCT word FROM post), wanted WHERE contains(word, term))
+  SELECT 'text' AS field, doc_id, term, CAST(sum(hits * times) AS BIGINT) AS hits FROM post JOIN ins USING (word) GROUP BY ALL""")
+def r6_term_hits(spark, sf):
+    return term_hits(_docs(spark, sf), _any_terms(spark, sf).select(F.explode("terms").alias("term")), "doc_id", ["text"])
+
+
+@query("r7_snippet", rf"""WITH {_BM25_ANY}, tm AS (SELECT item_id, list(DISTINCT term) AS terms FROM wanted GROUP BY item_id),
+  d AS (SELECT item_id, doc_id, terms, list_filter(regexp_split_to_array(text, '[\s\x{{3000}}\x{{3001}}\x{{3002}}\x{{ff01}}\x{{ff0c}}\x{{ff1f}}]+'), lambda w: w <> '') AS w
+    FROM ranked JOIN documents USING (doc_id) JOIN tm USING (item_id) WHERE rank <= 10),
+  b AS (SELECT *, list_transform(w, lambda x: list_filter(terms, lambda y: contains(lower(x), y))) AS held FROM d),
+  m AS (SELECT *, list_filter(range(1, len(w) + 1), lambda p: len(held[p]) > 0) AS ats FROM b),
+  s AS (SELECT *, list_transform(ats, lambda p: {{'n': len(list_distinct(flatten(held[p:p + 13]))), 'p': -p}}) AS sc FROM m),
   o AS (SELECT *, coalesce(-(list_reverse_sort(sc)[1]).p, 1) AS st FROM s)
-  SELECT doc_id, array_to_string(list_transform(range(st, least(st + 14, len(w) + 1)), lambda p: CASE WHEN list_contains(terms, bare[p]) THEN '[' || w[p] || ']' ELSE w[p] END), ' ') AS snippet FROM o""")
+  SELECT item_id, doc_id, array_to_string(list_transform(range(st, least(st + 14, len(w) + 1)), lambda p: CASE WHEN len(held[p]) > 0 THEN '[' || w[p] || ']' ELSE w[p] END), ' ') AS snippet FROM o""")
 def r7_snippet(spark, sf):
-    terms = _terms(spark, sf).filter("item_id < 5").select(F.explode("terms").alias("x")).agg(F.collect_set("x").alias("terms")).withColumn("one", F.lit(1))
-    rows = _docs(spark, sf).withColumn("one", F.lit(1)).join(F.broadcast(terms), "one")
-    return rt.snippet(rows, "text", "terms", 14).select("doc_id", "snippet")
+    """For every benchmark item a snippet of each of its ten best documents."""
+    best = _bm25(spark, sf, 10, _any_terms).select("item_id", "doc_id")
+    rows = best.join(_docs(spark, sf).select("doc_id", "text"), "doc_id").join(rt.small(_any_terms(spark, sf)), "item_id")
+    return rt.snippet(rows, "text", "terms", 14).select("item_id", "doc_id", "snippet")
 
 
 _DT = f"{_tokens('documents', 'doc_id', 'text', 'd')}, dt AS (SELECT DISTINCT doc_id, token FROM d)"
@@ -356,10 +392,10 @@ def r21_symbol_evidence(spark, sf):
     return ev.symbol_evidence(_docs(spark, sf), symbols, "doc_id", "text")
 
 
-@query("r22_classic_search", """WITH e AS (SELECT p_partkey AS id, p_name AS title, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[a-z0-9_]+')) AS words FROM part),
+@query("r22_classic_search", r"""WITH e AS (SELECT p_partkey AS id, p_name AS title, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type || ' ' || p_brand), '[\p{L}\p{M}\p{N}_]+')) AS words FROM part),
   q AS (SELECT min(p_partkey) AS query_id, p_name || CASE WHEN min(p_partkey) % 2 = 0 THEN '' ELSE ' small' END AS text FROM part GROUP BY p_name),
   s AS (SELECT query_id, id, CASE WHEN lower(trim(text)) = lower(title) THEN 100 ELSE 0 END + CASE WHEN contains(lower(trim(text)), lower(title)) THEN 10 ELSE 0 END
-    + len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')), words)) AS score FROM q, e WHERE list_has_any(regexp_extract_all(lower(text), '[a-z0-9_]+'), words)),
+    + len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')), words)) AS score FROM q, e WHERE list_has_any(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+'), words)),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
   SELECT query_id, id, CAST(score AS BIGINT) AS score, rank FROM r WHERE rank <= 20""")
 def r22_classic_search(spark, sf):
@@ -370,11 +406,24 @@ def r22_classic_search(spark, sf):
     return rt.classic_search(entries, asked, "query_id", "id", 20)
 
 
+@query("r22_substring_search", """WITH e AS (SELECT doc_id AS id, replace(lower(source || ' ' || text), '_', ' ') AS body FROM documents),
+  q AS (SELECT item_id AS query_id, unnest(string_split(trim(regexp_replace(replace(lower(text[1:80]), '_', ' '), '\\s+', ' ', 'g')), ' ')) AS term FROM benchmark),
+  c AS (SELECT query_id, term, count(*) AS times FROM q WHERE term <> '' GROUP BY ALL),
+  s AS (SELECT query_id, id, sum(times) AS score FROM c JOIN e ON contains(body, term) GROUP BY ALL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+  SELECT query_id, id, CAST(score AS BIGINT) AS score, rank FROM r WHERE rank <= 5""")
+def r22_substring_search(spark, sf):
+    """The heads of all benchmark items as queries over all documents."""
+    entries = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.col("source").alias("title"), F.col("text").alias("summary"))
+    asked = _bench(spark, sf).select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("text"))
+    return substring_search(entries, asked, "query_id", "id", 5)
+
+
 @query("e6_diversified_topk", f"""WITH {_BM25}, x AS (SELECT item_id, doc_id, round(score, 4) AS score, lang FROM ranked JOIN documents USING (doc_id)),
   y AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY item_id, lang ORDER BY score DESC, doc_id) > 1 THEN 1 ELSE 0 END AS again FROM x),
   z AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY again, score DESC, lang, doc_id) AS rank FROM y)
   SELECT item_id, doc_id, score, lang, rank FROM z WHERE rank <= 8""")
 def e6_diversified_topk(spark, sf):
     docs = _docs(spark, sf)
-    scored = _bm25(spark, sf, 1 << 30).select("item_id", "doc_id", F.round("score", 4).alias("score")).join(docs.select("doc_id", "lang"), "doc_id")
+    scored = _bm25(spark, sf, None).select("item_id", "doc_id", F.round("score", 4).alias("score")).join(docs.select("doc_id", "lang"), "doc_id")
     return rt.diversified_topk(scored, "item_id", "lang", "doc_id", 8)

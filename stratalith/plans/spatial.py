@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import vectors as v
+from ..operators import mesh as ms
 from ..operators import planar as pl
 from ..operators import surface as sf_
+from ..session import settle
 from . import inputs as i
 from .mesh import _K, _r
 from .registry import query
@@ -57,6 +60,39 @@ def d4_polygon_summary(spark, sf):
     return pl.polygon_summary(i.polygons(spark, sf)).select("poly_id", "area", F.size("reasons").alias("n_reasons"))
 
 
+_MEET = """least(a.x1, a.x2) <= greatest(b.x1, b.x2) AND least(b.x1, b.x2) <= greatest(a.x1, a.x2) AND least(a.y1, a.y2) <= greatest(b.y1, b.y2) AND least(b.y1, b.y2) <= greatest(a.y1, a.y2)
+    AND sign((a.x2-a.x1)*(b.y1-a.y1)-(a.y2-a.y1)*(b.x1-a.x1)) * sign((a.x2-a.x1)*(b.y2-a.y1)-(a.y2-a.y1)*(b.x2-a.x1)) <= 0
+    AND sign((b.x2-b.x1)*(a.y1-b.y1)-(b.y2-b.y1)*(a.x1-b.x1)) * sign((b.x2-b.x1)*(a.y2-b.y1)-(b.y2-b.y1)*(a.x2-b.x1)) <= 0"""
+_CONFLICTS = f"""WITH {i.POLY}, {i.HOLED},
+  he AS (SELECT poly_id, ring, seq, count(*) OVER w AS n, x AS x1, y AS y1, coalesce(lead(x) OVER o, first_value(x) OVER o) AS x2, coalesce(lead(y) OVER o, first_value(y) OVER o) AS y2 FROM hp
+    WINDOW w AS (PARTITION BY poly_id, ring), o AS (PARTITION BY poly_id, ring ORDER BY seq)),
+  bad AS (SELECT DISTINCT a.poly_id, a.ring FROM he a JOIN he b ON a.poly_id = b.poly_id AND a.ring = b.ring AND a.seq < b.seq AND b.seq - a.seq NOT IN (1, a.n - 1) WHERE {_MEET}),
+  con AS (SELECT DISTINCT a.poly_id, a.ring, b.ring AS other FROM he a JOIN he b ON a.poly_id = b.poly_id AND a.ring < b.ring WHERE a.poly_id NOT IN (SELECT poly_id FROM bad) AND {_MEET}),
+  ins AS (SELECT v.poly_id, v.ring AS hole, e.ring FROM hp v JOIN he e ON v.poly_id = e.poly_id AND v.ring <> e.ring WHERE v.ring > 0 AND v.seq = 0
+    AND v.poly_id NOT IN (SELECT poly_id FROM bad UNION ALL SELECT poly_id FROM con) AND (y1 > v.y) <> (y2 > v.y)
+    AND CASE WHEN y2 > y1 THEN (x2-x1)*(v.y-y1)-(y2-y1)*(v.x-x1) > 0 ELSE (x2-x1)*(v.y-y1)-(y2-y1)*(v.x-x1) < 0 END GROUP BY ALL HAVING count(*) % 2 = 1),
+  conflict AS (SELECT poly_id, 0 AS o, 'not_simple' AS kind, ring, CAST(NULL AS INTEGER) AS other FROM bad UNION ALL SELECT poly_id, 1, 'contact', ring, other FROM con UNION ALL
+    SELECT poly_id, 2, 'outside', ring, NULL FROM (SELECT DISTINCT poly_id, ring FROM hp WHERE ring > 0 AND poly_id NOT IN (SELECT poly_id FROM bad UNION ALL SELECT poly_id FROM con)) h
+      WHERE NOT EXISTS (SELECT 1 FROM ins WHERE ins.poly_id = h.poly_id AND hole = h.ring AND ins.ring = 0) UNION ALL
+    SELECT poly_id, 3, 'nested', hole, ring FROM ins WHERE ring > 0)"""
+
+
+@query("d4_ring_conflicts", f"{_CONFLICTS} SELECT poly_id, kind, ring, other FROM conflict")
+def d4_ring_conflicts(spark, sf):
+    return pl.ring_conflicts(i.holed_polygons(spark, sf))
+
+
+@query("d4_polygon_report", f"""{_CONFLICTS}, rg AS (SELECT poly_id, ring, sum(x1*y2-x2*y1)/2 AS signed, sum((x1+x2)*(x1*y2-x2*y1))/6 AS mx, sum((y1+y2)*(x1*y2-x2*y1))/6 AS my, min(x1) AS x0, min(y1) AS y0, max(x1) AS xx, max(y1) AS yy FROM he GROUP BY ALL),
+  wh AS (SELECT poly_id, count(*) - 1 AS holes, bool_and(CASE WHEN ring = 0 THEN signed > 0 ELSE signed < 0 END) AS turned, sum(CASE WHEN ring = 0 THEN 1 ELSE -1 END * sign(signed) * signed) AS area,
+    sum(CASE WHEN ring = 0 THEN 1 ELSE -1 END * CASE WHEN signed > 0 THEN 1 ELSE -1 END * mx) AS mx, sum(CASE WHEN ring = 0 THEN 1 ELSE -1 END * CASE WHEN signed > 0 THEN 1 ELSE -1 END * my) AS my,
+    min(x0) AS min_x, min(y0) AS min_y, max(xx) AS max_x, max(yy) AS max_y FROM rg GROUP BY poly_id),
+  sa AS (SELECT poly_id, string_agg(kind || ':' || ring || coalesce(':' || other, ''), ',' ORDER BY o, ring, other) AS reasons FROM conflict GROUP BY poly_id)
+  SELECT poly_id, holes, reasons IS NULL AS valid, coalesce(reasons, '') AS reasons, reasons IS NULL AND turned AS canonical, round(CASE WHEN reasons IS NULL THEN area END, 6) AS area, round(CASE WHEN reasons IS NULL THEN mx / area END, 5) AS centroid_x,
+    round(CASE WHEN reasons IS NULL THEN my / area END, 5) AS centroid_y, min_x, min_y, max_x, max_y FROM wh LEFT JOIN sa USING (poly_id)""")
+def d4_polygon_report(spark, sf):
+    return pl.polygon_report(i.holed_polygons(spark, sf)).withColumn("reasons", F.array_join("reasons", ",")).withColumns({"area": F.round("area", 6), "centroid_x": F.round("centroid_x", 5), "centroid_y": F.round("centroid_y", 5)})
+
+
 _PAIRS = """pr AS (SELECT a.seg_id AS s, b.seg_id AS t, a.x1, a.y1, a.x2, a.y2, b.x1 AS u1, b.y1 AS v1, b.x2 AS u2, b.y2 AS v2 FROM sg a JOIN sg b ON {on}),
   oo AS (SELECT *, (x2-x1)*(v1-y1)-(y2-y1)*(u1-x1) AS o1, (x2-x1)*(v2-y1)-(y2-y1)*(u2-x1) AS o2, (u2-u1)*(y1-v1)-(v2-v1)*(x1-u1) AS o3, (u2-u1)*(y2-v1)-(v2-v1)*(x2-u1) AS o4 FROM pr
     WHERE least(x1, x2) <= greatest(u1, u2) AND least(u1, u2) <= greatest(x1, x2) AND least(y1, y2) <= greatest(v1, v2) AND least(v1, v2) <= greatest(y1, y2)),
@@ -156,15 +192,90 @@ def c7_ray_all_hits(spark, sf):
     return sf_.ray_all_hits(i.rays(spark, sf), *i.mesh(spark, sf))
 
 
-@query("c12_self_intersections")
+def _tri_pairs(left: tuple[str, str], right: tuple[str, str], where: str) -> str:
+    """CTEs that end in ``hit(fid, ofid, coplanar)``: all pairs of faces, not sharing a corner, that meet.
+    Coordinates are whole or half numbers, so every determinant is exact."""
+    at = lambda k: (f"{k}_x", f"{k}_y", f"{k}_z")
+    sub = lambda p, q: tuple(f"({a}-{b})" for a, b in zip(p, q))
+    def side(p, q, r, s):
+        u, w, t = sub(at(q), at(p)), sub(at(r), at(p)), sub(at(s), at(p))
+        return "sign(" + "+".join(f"({u[i]}*{w[j]}-{u[j]}*{w[i]})*{t[k]}" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1))) + ")"
+    def segment(s, t, tri):
+        a, b, c = tri
+        e = [side(s, t, a, b), side(s, t, b, c), side(s, t, c, a)]
+        return f"(s{s} * s{t} <= 0 AND (s{s} <> 0 OR s{t} <> 0) AND (least({', '.join(e)}) >= 0 OR greatest({', '.join(e)}) <= 0))"
+    one, two = ("a", "b", "c"), ("oa", "ob", "oc")
+    ring = ((0, 1), (1, 2), (2, 0))
+    cross = " OR ".join([segment(one[i], one[j], two) for i, j in ring] + [segment(two[i], two[j], one) for i, j in ring])
+    # In one plane: no edge line keeps the other triangle strictly off, seen along the normal.
+    flat = lambda p, q, r: "sign(" + "+".join(f"(({q}_{y}-{p}_{y})*({r}_{z}-{p}_{z})-({q}_{z}-{p}_{z})*({r}_{y}-{p}_{y}))*n{x}" for x, y, z in ("xyz", "yzx", "zxy")) + ")"
+    apart = " OR ".join(f"greatest({', '.join(f'{flat(t[i], t[j], r)} * {flat(t[i], t[j], t[3 - i - j])}' for r in o)}) < 0" for t, o in ((one, two), (two, one)) for i, j in ring)
+    corner = lambda f, v: f"SELECT f.mesh_id, fid, f.a AS ia, f.b AS ib, f.c AS ic, a.x AS a_x, a.y AS a_y, a.z AS a_z, b.x AS b_x, b.y AS b_y, b.z AS b_z, c.x AS c_x, c.y AS c_y, c.z AS c_z FROM {f} f JOIN {v} a ON a.vid = f.a JOIN {v} b ON b.vid = f.b JOIN {v} c ON c.vid = f.c"
+    names = [f"{k}_{c}" for k in "abc" for c in "xyz"]
+    meet = " AND ".join(f"least({', '.join(f'{p}.{k}_{c}' for k in one)}) <= greatest({', '.join(f'{q}.{k}_{c}' for k in one)})" for c in "xyz" for p, q in ("lr", "rl"))
+    return f"""tl AS ({corner(*left)}), tr AS ({corner(*right)}),
+  tp AS (SELECT l.fid, r.fid AS ofid, l.mesh_id, r.mesh_id AS omesh_id, {', '.join(f'l.{n}' for n in names)}, {', '.join(f'r.{n} AS o{n}' for n in names)} FROM tl l JOIN tr r ON {where} AND {meet}),
+  ts AS (SELECT *, {', '.join(f"{side(*two, k)} AS s{k}" for k in one)}, {', '.join(f"{side(*one, k)} AS s{k}" for k in two)},
+    {', '.join(f"(b_{y}-a_{y})*(c_{z}-a_{z})-(b_{z}-a_{z})*(c_{y}-a_{y}) AS n{x}" for x, y, z in ("xyz", "yzx", "zxy"))} FROM tp),
+  hit AS (SELECT fid, ofid, mesh_id, omesh_id, soa = 0 AND sob = 0 AND soc = 0 AS coplanar FROM ts WHERE CASE WHEN soa = 0 AND sob = 0 AND soc = 0 THEN NOT ({apart}) ELSE {cross} END)"""
+
+
+@query("c12_self_intersections", f"""WITH {i.BOXMESH}, {_tri_pairs(('bf', 'bv'), ('bf', 'bv'), 'l.fid < r.fid AND l.mesh_id <> r.mesh_id')}
+  SELECT fid, ofid, coplanar FROM hit""")
 def c12_self_intersections(spark, sf):
-    return sf_.self_intersections(*i.box_mesh(spark, sf))
-
-
-@query("c13_mesh_intersections")
+    """All boxes as one surface: faces that cross, touch or overlap in a plane.  Faces of one box share only
+    what neighbours share."""
+    found = sf_.self_intersections(*i.box_mesh(spark, sf))
+    tri = settle(ms.corners(*i.box_mesh(spark, sf)))
+    n = v.cross(v.sub(ms.B, ms.A), v.sub(ms.C, ms.A))
+    axis = tri.select("fid", F.when(n[0] != 0, "x").when(n[1] != 0, "y").otherwise("z").alias("axis"), F.when(n[0] != 0, F.col("ax")).when(n[1] != 0, F.col("ay")).otherwise(F.col("az")).alias("level"))
+    other = axis.select(F.col("fid").alias("ofid"), F.col("axis").alias("oaxis"), F.col("level").alias("olevel"))
+    flat = (F.col("axis") == F.col("oaxis")) & (F.col("level") == F.col("olevel"))
+    return found.join(axis, "fid").join(other, "ofid").select("fid", "ofid", flat.alias("coplanar"))
+
+
+@query("c12_coplanar_overlaps", f"""WITH {i.BOXMESH}, {_tri_pairs(('bf', 'bv'), ('bf', 'bv'), 'l.fid < r.fid AND l.mesh_id <> r.mesh_id')},
+  sd AS (SELECT mesh_id, k, axis, lo0, hi0, lo1, hi1, level FROM (SELECT mesh_id, unnest([{{'k': 0, 'axis': 'z', 'level': z0, 'lo0': x0, 'hi0': x0 + w, 'lo1': y0, 'hi1': y0 + h}}, {{'k': 1, 'axis': 'z', 'level': z0 + d, 'lo0': x0, 'hi0': x0 + w, 'lo1': y0, 'hi1': y0 + h}},
+    {{'k': 2, 'axis': 'y', 'level': y0, 'lo0': x0, 'hi0': x0 + w, 'lo1': z0, 'hi1': z0 + d}}, {{'k': 3, 'axis': 'y', 'level': y0 + h, 'lo0': x0, 'hi0': x0 + w, 'lo1': z0, 'hi1': z0 + d}},
+    {{'k': 4, 'axis': 'x', 'level': x0, 'lo0': y0, 'hi0': y0 + h, 'lo1': z0, 'hi1': z0 + d}}, {{'k': 5, 'axis': 'x', 'level': x0 + w, 'lo0': y0, 'hi0': y0 + h, 'lo1': z0, 'hi1': z0 + d}}], recursive := true) FROM bx)),
+  ov AS (SELECT a.mesh_id, b.mesh_id AS other_id, a.k AS side, b.k AS other_side, (least(a.hi0, b.hi0) - greatest(a.lo0, b.lo0)) * (least(a.hi1, b.hi1) - greatest(a.lo1, b.lo1)) AS area FROM sd a JOIN sd b ON a.mesh_id < b.mesh_id AND a.axis = b.axis AND a.level = b.level
+    WHERE least(a.hi0, b.hi0) > greatest(a.lo0, b.lo0) AND least(a.hi1, b.hi1) > greatest(a.lo1, b.lo1))
+  SELECT mesh_id, other_id, side, other_side, round(area, 6) AS area FROM ov""")
+def c12_coplanar_overlaps(spark, sf):
+    """Area in which sides of different boxes lie on each other, summed over the triangles of both sides."""
+    found = sf_.self_intersections(*i.box_mesh(spark, sf)).filter("kind = 'polygon'")
+    mesh = lambda c: F.floor(F.col(c) / 12).cast("bigint")
+    side = lambda c: F.floor(F.pmod(F.col(c), F.lit(12)) / 2).cast("int")
+    return found.groupBy(mesh("fid").alias("mesh_id"), mesh("ofid").alias("other_id"), side("fid").alias("side"), side("ofid").alias("other_side")).agg(F.round(F.sum("area"), 6).alias("area"))
+
+
+@query("c13_mesh_intersections", f"""WITH {i.BOXMESH}, {i.MESH}, {_tri_pairs(('bf', 'bv'), ('mf', 'mv'), 'true')} SELECT fid, ofid FROM hit""")
 def c13_mesh_intersections(spark, sf):
     """Where the boxes pierce the height field."""
-    return sf_.mesh_intersections(i.box_mesh(spark, sf), i.mesh(spark, sf))
+    return sf_.mesh_intersections(i.box_mesh(spark, sf), i.mesh(spark, sf)).select("fid", "ofid")
+
+
+_BOX_RELATIONS = f"""WITH {i.BOX}, sh AS (SELECT mesh_id, x0 + 0.5 AS x0, y0 + 1 AS y0, z0 + 0.5 AS z0, w * 0.5 AS w, h, d * 2 AS d FROM bx),
+  pr AS (SELECT a.mesh_id, b.mesh_id AS other_id, a.x0 > b.x0 AND a.x0 + a.w < b.x0 + b.w AND a.y0 > b.y0 AND a.y0 + a.h < b.y0 + b.h AND a.z0 > b.z0 AND a.z0 + a.d < b.z0 + b.d AS ins,
+    b.x0 > a.x0 AND b.x0 + b.w < a.x0 + a.w AND b.y0 > a.y0 AND b.y0 + b.h < a.y0 + a.h AND b.z0 > a.z0 AND b.z0 + b.d < a.z0 + a.d AS con FROM bx a JOIN sh b
+    ON a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.h AND b.y0 <= a.y0 + a.h AND a.z0 <= b.z0 + b.d AND b.z0 <= a.z0 + a.d)
+  SELECT mesh_id, other_id, CASE WHEN ins THEN 'inside' WHEN con THEN 'contains' ELSE 'meets' END AS relation FROM pr"""
+
+
+@query("c13_mesh_relations", _BOX_RELATIONS)
+def c13_mesh_relations(spark, sf):
+    """Boxes against the same boxes moved and stretched: touching, crossing, or one inside the other."""
+    vertices, faces = i.box_mesh(spark, sf)
+    b = i.boxes(spark, sf).select("mesh_id", "x0", "z0")
+    moved = vertices.join(b, "mesh_id").select("mesh_id", "vid", (F.col("x0") + 0.5 + (F.col("x") - F.col("x0")) * 0.5).alias("x"), (F.col("y") + 1).alias("y"), (F.col("z0") + 0.5 + (F.col("z") - F.col("z0")) * 2).alias("z"))
+    return sf_.mesh_relations((vertices, faces), (moved, faces))
+
+
+@query("c13_intersection_polylines")
+def c13_intersection_polylines(spark, sf):
+    """The curves in which the boxes pierce the height field, point by point."""
+    lines, _ = sf_.intersection_polylines(i.box_mesh(spark, sf), i.mesh(spark, sf))
+    return lines.select(*[F.col(f"start.{c}").alias(f"start_{c}") for c in "xyz"], *[F.col(f"second.{c}").alias(f"second_{c}") for c in "xyz"], "position", "closed", "x", "y", "z")
 
 
 @query("d12_hausdorff")

@@ -102,6 +102,11 @@ def settle(df: DataFrame, *partition_hint: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """What Spark knows of the size of a settled table: the bytes of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 class Ledger:
     """A table that grows from round to round: each part is written once, and a read sees all parts so
     far as one scan, so a plan does not grow with the number of rounds."""
