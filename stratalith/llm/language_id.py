@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .batches import LETTER, kept, mix, prefix_hashes, range_hash, words
+from .batches import LETTER, kept, mix, prefix_hashes, range_hash, trimmed, words
 
 #: Longer runs of letters are cut into pieces of about this many bytes, between characters.
 RUN_BYTES = 36
@@ -29,6 +29,8 @@ REMEMBERED, AT_ONCE = 1 << 18, 1 << 13
 WAITING = 1 << 19
 #: Scale per byte that keeps products of piece probabilities near one.
 _SCALE = 64.0
+#: Probabilities below this are worked out again: a double ends not far below.
+_TINY = 1e-250
 
 
 def read_pieces(model_path: str) -> list[bytes]:
@@ -130,7 +132,7 @@ class Lattice:
 
     def forward(self, weight: np.ndarray) -> np.ndarray:
         """``alpha[word, position, language]``; ``weight`` is scaled, ``[piece, language]``."""
-        alpha = np.zeros((len(self.lengths), int(self.lengths.max(initial=0)) + 1, weight.shape[1]))
+        alpha = np.zeros((len(self.lengths), int(self.lengths.max(initial=0)) + 1, weight.shape[1]), weight.dtype)
         alpha[:, 0] = 1
         for low, high in self._steps():
             w, s, e = self.word[low:high], self.start[low], self.end[low]
@@ -138,16 +140,40 @@ class Lattice:
         return alpha
 
     def backward(self, weight: np.ndarray) -> np.ndarray:
-        beta = np.zeros((len(self.lengths), int(self.lengths.max(initial=0)) + 1, weight.shape[1]))
+        beta = np.zeros((len(self.lengths), int(self.lengths.max(initial=0)) + 1, weight.shape[1]), weight.dtype)
         beta[np.arange(len(self.lengths)), self.lengths] = 1
         for low, high in reversed(self._steps()):
             w, s, e = self.word[low:high], self.start[low], self.end[low]
             beta[w, s] += beta[w, e] * weight[self.piece[low:high]]
         return beta
 
+    def of_words(self, chosen: np.ndarray) -> Lattice:
+        """The part of the lattice that belongs to the words flagged in ``chosen``."""
+        edges = chosen[self.word]
+        number = np.cumsum(chosen) - 1
+        return Lattice(number[self.word[edges]], self.start[edges], self.end[edges], self.piece[edges], self.lengths[chosen])
+
+    def totals(self, weight: np.ndarray) -> np.ndarray:
+        return self.forward(weight)[np.arange(len(self.lengths)), self.lengths]
+
     def log_probability(self, weight: np.ndarray) -> np.ndarray:
-        total = self.forward(weight)[np.arange(len(self.lengths)), self.lengths]
-        return np.log(total) - self.lengths[:, None] * np.log(_SCALE)
+        """Of every word and language.  Words whose probability a double cannot hold are summed again in
+        numbers with a wider exponent."""
+        total = self.totals(weight)
+        out = np.log(np.maximum(total, _TINY))
+        faint = (total < _TINY).any(axis=1)
+        if faint.any():
+            out[faint] = np.log(self.of_words(faint).totals(weight.astype(np.longdouble)))
+        return out - self.lengths[:, None] * np.log(_SCALE)
+
+    def uses(self, weight: np.ndarray, n: np.ndarray, pieces: int) -> np.ndarray:
+        """Expected uses of every piece in ``n`` copies of each word, for one language's ``weight`` column."""
+        alpha, beta = self.forward(weight)[..., 0], self.backward(weight)[..., 0]
+        faint = beta[:, 0] < _TINY
+        if faint.any() and weight.dtype != np.longdouble:
+            return (self.of_words(~faint).uses(weight, n[~faint], pieces) if not faint.all() else 0) + self.of_words(faint).uses(weight.astype(np.longdouble), n[faint], pieces)
+        use = alpha[self.word, self.start] * weight[self.piece, 0] * beta[self.word, self.end] * (n / beta[:, 0])[self.word]
+        return np.bincount(self.piece, use.astype(float), pieces)
 
 
 def scaled(probability: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -178,6 +204,7 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """``lang, word, n`` of all letter runs of the rows with a text and a language; each task adds up
     what it has before the shuffle."""
     picked = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("_text")).filter("lang IS NOT NULL AND _text IS NOT NULL")
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []
         def summed() -> pa.Table:
@@ -248,6 +275,7 @@ def fit(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str
     probability = np.full((len(pieces), len(languages)), 1 / len(pieces))
     for _ in range(rounds if languages else 0):
         weight = scaled(probability, sizes)
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch], weight=weight) -> Iterator[pa.RecordBatch]:
             vocabulary, used = kept(("pieces", key), lambda: Vocabulary(pieces)), np.zeros(weight.T.shape)
             for batch in batches:
@@ -258,11 +286,7 @@ def fit(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str
                         some = pa.array(mine[low:low + AT_ONCE])
                         lattice = Lattice.of(vocabulary, batch.column(1).take(some).to_pylist())
                         n = batch.column(2).take(some).to_numpy()
-                        own = weight[:, code:code + 1]
-                        alpha, beta = lattice.forward(own)[..., 0], lattice.backward(own)[..., 0]
-                        share = n / beta[:, 0]
-                        use = alpha[lattice.word, lattice.start] * own[lattice.piece, 0] * beta[lattice.word, lattice.end] * share[lattice.word]
-                        used[code] += np.bincount(lattice.piece, use, len(pieces))
+                        used[code] += lattice.uses(weight[:, code:code + 1], n, len(pieces))
             code, piece = np.nonzero(used)
             yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), pa.array(piece, pa.int32()), pa.array(used[code, piece])], names=["lang", "piece", "used"])
         sums = counted.mapInArrow(run, "lang int, piece int, used double").groupBy("lang", "piece").agg(F.sum("used").alias("used")).toArrow()
@@ -280,6 +304,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     Repeated rows are each predicted, an empty table gives no rows, other columns are ignored.
     """
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, scorer = pa.array([*model.languages, "und"]), kept(("scores", model.key), lambda: _Scorer(model))
         for batch in batches:
