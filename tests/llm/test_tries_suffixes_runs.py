@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratalith.llm import periodic, prefix_trie, queries, suffix_dedup
+import corpus_pipeline
+from stratalith.llm import language_id, periodic, prefix_trie, queries, suffix_dedup
 
 CLASHES = ("id", "th", "gram", "lo", "number", "code", "place", "depth", "a", "b", "_n", "runs", "_id", "_seed", "ranges", "conv", "size", "arc")
 
@@ -243,3 +244,30 @@ def test_selected_positions_do_not_depend_on_the_place():
     at = periodic.selected(periodic._Equal(twice), 8, none, none)
     inside = lambda low: {int(k) - low for k in at if low <= k <= low + 200 - 16}
     assert inside(0) == inside(201) and len(inside(0)) > 10
+
+
+def test_words_beyond_a_double_have_finite_scores():
+    pieces = sorted([bytes([b]) for b in range(256)])
+    vocabulary = language_id.Vocabulary(pieces)
+    probability = np.full((256, 2), 1e-17)
+    probability[97] = [0.5, 0.25]
+    weight = language_id.scaled(probability, np.ones(256))
+    lattice = language_id.Lattice.of(vocabulary, ["ሀ".encode() * 12, b"aaa"])
+    got = lattice.log_probability(weight)
+    assert np.isfinite(got).all() and got[0] == pytest.approx([36 * math.log(1e-17)] * 2) and got[1] == pytest.approx([3 * math.log(0.5), 3 * math.log(0.25)])
+    used = lattice.uses(weight[:, :1], np.array([2, 5]), 256)
+    assert np.isfinite(used).all() and used[97] == pytest.approx(15) and used.sum() == pytest.approx(2 * 36 + 15)
+
+
+def test_stages_take_clashing_columns_and_odd_rows(spark, sf):
+    rows = [(1, None), (2, ""), (None, None), (None, "the other thing and the rest of it all in one place " * 3), (4, "the thing there and another one in the end of the line " * 4), (4, "the thing there and another one in the end of the line " * 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.length("text").cast("bigint")})
+    docs = docs.withColumns({c: F.lit(7) for c in ("_gone", "_bad", "_whole", "_text", "_id", "component_id", "score", "n")})
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0, name
+        kept[name] = sorted((r["doc_id"] or 0 for r in out.select("doc_id").collect()))
+    assert kept["benchmark_decontamination"] == kept["pii"] == [0, 0, 1, 2, 4, 4] and kept["simhash_near_dedup"].count(4) == 1 and kept["simhash_near_dedup"].count(0) == 2
+    assert 1 not in kept["language_id"] and 4 in kept["language_id"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(rows)
