@@ -7,6 +7,8 @@ A single text longer than the slice is processed whole, never cut.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -57,6 +59,22 @@ def kept(key, build: Callable[[], object]):
     return _kept[key]
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run``, which turns batches into batches, with the memory that its task no longer uses given back to
+    the system at its end.  Workers wait for the next task with what they hold, beside the executor's own heap."""
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+    return inner
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values, so that any of their bits can serve as an address."""
     x = x ^ (x >> np.uint64(30))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .batches import ALNUM, Words, mix, words
+from .batches import ALNUM, Words, kept, mix, trimmed, words
 
 # In every stretch of 13 words or more, and in every whole item of 8 to 12, of which four
 # fifths are equal, one mask meets equal words only.  Stretches of 26 words or more hold a shorter one
@@ -144,7 +144,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     schema = f"_id {picked.schema['_id'].dataType.simpleString()}, _item {item_type.simpleString()}, doc_word bigint, item_word bigint, n_words bigint, n_equal bigint"
     out = None
     for block in _blocks(benchmark, item_col, item_text_col):
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            kept("seeds", dict)  # what an operator before this one kept goes
             index = SeedIndex.of([text for _, text in block])
             names = pa.array([item for item, _ in block])
             for batch in batches:
@@ -161,5 +163,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def without_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id has no overlap; all columns stay, and rows with a null id too."""
-    bad = settle(overlaps(docs, benchmark, id_col, **options).select(F.col(id_col).alias("_bad")).distinct())
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+    return docs.join(settle(overlaps(docs, benchmark, id_col, **options).select(id_col).distinct()), id_col, "left_anti")

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import global_running_sum
-from ..session import settle
+from ..session import Ledger, settle
+from .batches import trimmed
 from .tokens import encoder
 
 
@@ -28,6 +29,7 @@ def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int, id_col: str
     text is ``end_id`` alone."""
     end = end_id.to_bytes(4, "little")
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks, pattern)
         for batch in batches:
@@ -79,7 +81,8 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     items, inside = _chained(items, max(1, capacity // 32))
     items, chains = settle(items), [inside]
     # No two items above half the capacity share a sequence, so each opens one.
-    placed = [items.filter(F.col("length") > half).select("n", F.col("n").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
+    placed = Ledger(spark)
+    placed.add(items.filter(F.col("length") > half).select("n", F.col("n").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")))
     state = (items.filter(F.col("length") > half).select(F.lit(0).alias("item"), F.col("n").alias("id"), (capacity - F.col("length")).alias("size"), F.col("length").alias("at"))
              .unionByName(items.filter(F.col("length") <= half).select(F.lit(1).alias("item"), F.col("n").alias("id"), F.col("length").alias("size"), F.lit(0).cast("bigint").alias("at"))))
     opened, whole = -1, 0
@@ -112,13 +115,11 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
         new = spark.range(fresh).select(F.lit(0).alias("item"), (F.lit(opened) - F.col("id")).alias("id"), F.lit(capacity).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("at"))
         opened -= fresh
         swept = settle(_sweep(state.unionByName(new)))
-        placed.append(swept.filter("item = 1 AND mate_id IS NOT NULL").select(F.col("id").alias("n"), F.col("mate_id").alias("sequence_id"), F.col("mate_at").alias("offset")))
+        placed.add(swept.filter("item = 1 AND mate_id IS NOT NULL").select(F.col("id").alias("n"), F.col("mate_id").alias("sequence_id"), F.col("mate_at").alias("offset")))
         state = swept.filter("item = 0 OR mate_id IS NULL").select(
             "item", "id", (F.col("size") - F.when(F.col("item") == 0, F.coalesce("mate_size", F.lit(0))).otherwise(0)).alias("size"),
             (F.col("at") + F.when(F.col("item") == 0, F.coalesce("mate_size", F.lit(0))).otherwise(0)).alias("at"))
-    out = placed[0]
-    for more in placed[1:]:
-        out = out.unionByName(more)
+    out = placed.read()
     for inside in reversed(chains):
         members = inside.join(out.withColumnRenamed("n", "chain"), "chain").select("n", "sequence_id", (F.col("offset") + F.col("inside")).alias("offset"))
         out = settle(out.join(inside, "n", "left_anti").unionByName(members))

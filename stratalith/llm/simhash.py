@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..operators.skew import salted_join
 from ..session import is_empty, settle
-from .batches import kept, mix
+from .batches import kept, mix, trimmed
 
 #: Distinct fingerprints that one BK-tree may hold before its shard is split.
 SHARD_LIMIT = 2048
@@ -119,6 +119,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is empty for 0.  Null and blank texts have fingerprint 0; a text of fewer words than a shingle is
     one shingle.  Other columns of ``docs`` are ignored."""
     picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("fingerprints", dict)  # nothing is kept, and what an operator before this one kept goes
         for batch in batches:
@@ -193,6 +194,7 @@ def _cut(positions: list[int], pieces: int) -> list[list[int]]:
 
 def _trees(radius: int):
     """Partitions sorted by shard in, spanning links out; a shard may go on in the next batch."""
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("trees", dict)
         shard, rows = None, []
@@ -262,6 +264,7 @@ def links(distinct: DataFrame, radius: int) -> DataFrame:
     return out
 
 
+@trimmed
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept("bands", dict)
     for batch in batches:
@@ -276,6 +279,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(likeness: float):
     """``a, b, x, y`` with sketches x and y in, the pairs that are alike out."""
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("compared", dict)
         for batch in batches:
@@ -301,6 +305,7 @@ def joining_links(nodes: list[int], components: list[int], sketches: np.ndarray,
 
 def _blocks(likeness: float):
     """Partitions sorted by block in, links out; a block may go on in the next batch."""
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("blocks", dict)
         block, rows = None, []
@@ -378,11 +383,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
     """The rows of ``docs`` whose id is the smallest of its component; all columns are kept.  Links need
     four fifths of the five-word shingles in common.  Of rows that repeat an id one stays.  Only ids are
     shuffled, and texts where ids repeat."""
-    found = settle(near_duplicates(docs, id_col, text_col, likeness=likeness).select(F.col(id_col).alias("_gone"), "component_id"))
-    dropped = settle(found.filter(F.col("_gone") != F.col("component_id")).select("_gone").distinct())
-    out = docs.join(dropped, docs[id_col] == F.col("_gone"), "left_anti")
-    again = settle(found.groupBy("_gone").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_gone"))
+    found = settle(near_duplicates(docs, id_col, text_col, likeness=likeness).select(id_col, "component_id"))
+    dropped = settle(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
+    out = docs.join(dropped, id_col, "left_anti")
+    again = settle(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col))
     if is_empty(again):
         return out
-    same = out[id_col] == F.col("_gone")
-    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col]))
+    return out.join(again, id_col, "left_anti").unionByName(out.join(again, id_col, "left_semi").dropDuplicates([id_col]))
