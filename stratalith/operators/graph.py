@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,22 +118,42 @@ def chain_order(links: DataFrame) -> DataFrame:
     raise RuntimeError("links are not disjoint chains")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, delta: float | None = None) -> DataFrame:
     """``node, distance, source`` from the nearest source (ties by source id) along undirected
-    edges ``a, b, length``.  Only nodes whose distance improved in a round are relaxed in the next."""
+    edges ``a, b, length`` of lengths not below zero.
+
+    Delta-stepping: nodes are taken up in buckets of ``delta`` (the mean length, unless given).  Within a
+    bucket only edges that can end in it are followed, until nothing improves; then the bucket is final,
+    written once, and all its other edges are followed once.  Only the nodes between the final ones and the
+    untouched ones are written again.
+    """
     arcs = settle(edges.select("a", "b", "length").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "length"))
                   .groupBy("a", "b").agg(F.min("length").alias("length")))
-    best = settle(sources.select(F.col("node"), F.struct(F.lit(0.0).alias("distance"), F.col("node").alias("source")).alias("best")))
-    active = best
-    while True:
-        tries = active.join(arcs, active["node"] == arcs["a"]).select(F.col("b").alias("node"), F.struct(
-            (F.col("best.distance") + F.col("length")).alias("distance"), F.col("best.source").alias("source")).alias("offer"))
-        offers = tries.groupBy("node").agg(F.min("offer").alias("offer"))
-        merged = best.join(offers, "node", "full_outer")
-        better = F.col("best").isNull() | (F.col("offer") < F.col("best"))
-        merged = settle(merged.select("node", F.when(better & F.col("offer").isNotNull(), F.col("offer")).otherwise(F.col("best")).alias("best"),
-                                      (F.col("offer").isNotNull() & better).alias("changed")))
-        active = merged.filter("changed").select("node", "best")
-        best = merged.select("node", "best")
-        if is_empty(active):
-            return best.select("node", "best.distance", "best.source")
+    delta = delta or arcs.agg(F.avg("length")).first()[0] or 1.0
+    final = Ledger(edges.sparkSession)
+    front = settle(sources.select("node", F.struct(F.lit(0.0).alias("distance"), F.col("node").alias("source")).alias("best")))
+    final.add(front.limit(0))
+
+    def offers(active: DataFrame) -> DataFrame:
+        reached = active.select(F.col("node").alias("a"), "best").join(arcs, "a")
+        return reached.select(F.col("b").alias("node"), F.struct((F.col("best.distance") + F.col("length")).alias("distance"), F.col("best.source").alias("source")).alias("best"))
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("node").agg(F.min("best").alias("best"))
+
+    while (nearest := front.agg(F.min("best.distance")).first()[0]) is not None:
+        limit = (nearest // delta + 1) * delta
+        if not nearest < limit:  # so far out that a bucket is less than the last place of a distance
+            limit = math.nextafter(nearest, math.inf)
+        inside = active = settle(front.filter(F.col("best.distance") < limit))
+        while True:
+            near = least(offers(active).filter(F.col("best.distance") < limit)).join(final.read().select("node"), "node", "left_anti")
+            known = inside.withColumnRenamed("best", "now")
+            active = settle(near.join(known, "node", "left").filter(F.col("now").isNull() | (F.col("best") < F.col("now"))).select("node", "best"))
+            if is_empty(active):
+                break
+            inside = settle(least(inside.unionByName(active)))
+        final.add(inside)
+        beyond = offers(inside).filter(F.col("best.distance") >= limit)
+        front = settle(least(front.filter(F.col("best.distance") >= limit).unionByName(beyond)).join(final.read().select("node"), "node", "left_anti"))
+    return final.read().select("node", "best.distance", "best.source")

@@ -93,7 +93,12 @@ def evaluate_intersections(primitives: DataFrame, queries: DataFrame) -> DataFra
     overlap = F.when(~same | (lo > hi), "empty").when(lo == hi, "point").otherwise("segment")
     flat = F.when(F.col("k0") == "Line_2", F.when(den != 0, "point").when(same, "line").otherwise("empty")).otherwise(
         F.when(den != 0, F.when(s.between(0, 1) & t.between(0, 1), "point").otherwise("empty")).otherwise(overlap))
-    at = F.when(den != 0, s).otherwise(lo)
+    # A segment without length is a point, which the other one holds or does not.
+    back = v.sub(a, c)
+    held = (v.cross2(w, back) == 0) & v.dot(back, w).between(F.lit(0.0), v.norm2(w)) & ((v.norm2(w) > 0) | (v.norm2(back) == 0))
+    alone = (F.col("k0") == "Segment_2") & (v.norm2(u) == 0)
+    flat = F.when(alone, F.when(held, "point").otherwise("empty")).otherwise(flat)
+    at = F.when(alone, 0.0).when(den != 0, s).otherwise(lo)
     p3, q3 = [_pt("x", i, 3) for i in range(3)], [_pt("y", i, 3) for i in range(3)]
     n = v.cross(v.sub(q3[1], q3[0]), v.sub(q3[2], q3[0]))
     e = v.sub(p3[1], p3[0])

@@ -131,6 +131,24 @@ def interval_centers(points: DataFrame, p: int, by: str) -> DataFrame:
     return state.select(by, F.col("hi").alias("radius"))
 
 
+def interval_assignment(points: DataFrame, p: int, by: str, ident: str = "id") -> DataFrame:
+    """``by, ident, x, centre_number, centre, radius``: every point with the interval that covers it at the
+    smallest radius that ``p`` intervals need, numbered along the line from 0.
+
+    The first interval starts at a group's smallest x, each next one at the first x beyond the last; a
+    group keeps at most ``p`` starts, which meet its points by a join on the group.
+    """
+    radii = settle(interval_centers(points.select(by, "x"), p, by))
+    starts = radii.join(points.groupBy(by).agg(F.min("x").alias("s")), by).select(by, "radius", F.array("s").alias("starts"))
+    for _ in range(p - 1):
+        last = F.element_at("starts", -1)
+        beyond = points.select(by, "x").join(starts.select(by, last.alias("s"), "radius"), by).filter(F.col("x") > F.col("s") + 2 * F.col("radius")).groupBy(by).agg(F.min("x").alias("n"))
+        starts = settle(starts.join(beyond, by, "left").select(by, "radius", F.when(F.col("n").isNull(), F.col("starts")).otherwise(F.concat("starts", F.array("n"))).alias("starts")))
+    number = F.size(F.filter("starts", lambda s: s <= F.col("x"))) - 1
+    placed = salted_join(starts, points.select(by, ident, "x"), [by], ident)
+    return placed.select(by, ident, "x", number.alias("centre_number"), (F.get("starts", number) + F.col("radius")).alias("centre"), "radius")
+
+
 def smooth_jet(points: DataFrame, k: int, degree: int = 2) -> DataFrame:
     """Move each point onto the polynomial of degree 1 or 2 fitted to its k neighbours in its own
     tangent frame."""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 
 from collections.abc import Mapping, Sequence
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import is_empty, settle
+from ..session import Ledger, is_empty, settle
 from .ordering import global_running_sum, grouped_rank
 
 
@@ -166,40 +165,81 @@ def split_publish(df: DataFrame, rules: Mapping[str, Column], good: str, rejecte
 def lineage_closure(edges: DataFrame) -> DataFrame:
     """``output, input, depth`` of all upstream inputs, from one-hop ``output, input`` rows.
 
-    Semi-naive rounds: only pairs found in the last round are extended, and pairs already known are
-    dropped, so cycles end too.  ``depth`` is the smallest number of hops.
+    Path doubling: with all pairs up to k hops known, those of more, up to 2k, go over a pair of exactly k
+    hops, so a chain of n hops takes log n rounds, and a pair is met once per middle of its shortest paths.
+    Pairs already known are dropped, so cycles end too.  ``depth`` is the smallest number of hops.
     """
-    hops = edges.select("output", "input").distinct()
-    frontier = known = settle(hops.withColumn("depth", F.lit(1)))
-    step = hops.select(F.col("output").alias("input"), F.col("input").alias("next"))
+    known, hops = Ledger(edges.sparkSession), 1
+    known.add(edges.select("output", "input").distinct().withColumn("depth", F.lit(1)))
     while True:
-        reached = frontier.join(step, "input").select("output", F.col("next").alias("input"), (F.col("depth") + 1).alias("depth")).distinct()
-        frontier = settle(reached.join(known.select("output", "input"), ["output", "input"], "left_anti"))
-        if is_empty(frontier):
-            return known
-        known = known.unionByName(frontier)
+        exact = known.read().filter(F.col("depth") == hops).select("output", F.col("input").alias("middle"))
+        onward = known.read().select(F.col("output").alias("middle"), "input", (F.col("depth") + hops).alias("depth"))
+        reached = exact.join(onward, "middle").groupBy("output", "input").agg(F.min("depth").alias("depth"))
+        fresh = settle(reached.join(known.read().select("output", "input"), ["output", "input"], "left_anti"))
+        if is_empty(fresh):
+            return known.read()
+        known.add(fresh)
+        hops *= 2
+
+
+def _jumped(single: DataFrame) -> DataFrame:
+    """``v, d, w, b`` with every ``d`` moved on along single steps as far as they go; what runs into a cycle
+    is left out.  A step means level(v) = max(b, level(d) + w), and so does a chain of steps."""
+    jump, heads = single, single.select(F.col("v").alias("d"))
+    for _ in range(single.count().bit_length() + 1):
+        ahead = jump.select(F.col("v").alias("d"), F.col("d").alias("d2"), F.col("w").alias("w2"), F.col("b").alias("b2"))
+        moved = jump.join(ahead, "d", "left")
+        more = F.col("d2").isNotNull()
+        jump = settle(moved.select("v", F.coalesce("d2", "d").alias("d"), F.when(more, F.col("w") + F.col("w2")).otherwise(F.col("w")).alias("w"),
+                                   F.when(more, F.greatest("b", F.col("b2") + F.col("w"))).otherwise(F.col("b")).alias("b")))
+        if is_empty(jump.join(heads, "d", "left_semi")):
+            return jump
+    return settle(jump.join(heads, "d", "left_anti"))
 
 
 def dag_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
     """``plan_id, step_id, level, problem`` for steps (``plan_id, step_id``) and their
-    ``plan_id, step_id, depends_on`` rows.  Problems: duplicate_id, dangling, cycle."""
-    keys = ["plan_id", "step_id"]
+    ``plan_id, step_id, depends_on`` rows.  Problems: duplicate_id, dangling, cycle.
+
+    A step with one open dependency is a function of it, and chains of such functions are folded by
+    pointer doubling; the steps with several dependencies then depend on each other directly, and those
+    whose dependencies have come to be one are folded in the next round.  So a chain takes rounds
+    logarithmic in its length, not one per level.
+    """
+    spark, keys = steps.sparkSession, ["plan_id", "step_id"]
     counted = steps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     known = counted.select("plan_id", F.col("step_id").alias("depends_on"))
     dangling = edges.join(known, ["plan_id", "depends_on"], "left_anti").select(*keys).distinct().withColumn("_bad", F.lit(True))
-    open_ = settle(counted.join(dangling, keys, "left").select(*keys, "n", F.coalesce("_bad", F.lit(False)).alias("dangling")))
-    links = settle(edges.join(known, ["plan_id", "depends_on"], "left_semi").select(*keys, "depends_on").distinct())
-    out: DataFrame | None = None
-    for level in itertools.count():
-        ready = settle(open_.join(links.select(*keys).distinct(), keys, "left_anti"))
-        if is_empty(ready):
+    every = settle(counted.join(dangling, keys, "left").select(*keys, "n", F.coalesce("_bad", F.lit(False)).alias("dangling")))
+    node = F.struct(*keys).alias("v")
+    links = settle(edges.join(known, ["plan_id", "depends_on"], "left_semi").select(node, F.struct("plan_id", F.col("depends_on").alias("step_id")).alias("d")).distinct().withColumn("w", F.lit(1)))
+    resolved = Ledger(spark)
+    base = settle(every.select(node).withColumn("b", F.lit(0)))
+    fresh = settle(base.limit(0).select("v", F.col("b").alias("level")))
+    hanging: list[DataFrame] = []
+    while True:
+        # What depends on steps whose level is known now has a level of at least that much more.
+        got = links.join(fresh.withColumnRenamed("v", "d"), "d").groupBy("v").agg(F.max(F.col("level") + F.col("w")).alias("got"))
+        links = settle(links.join(fresh.select(F.col("v").alias("d")), "d", "left_anti"))
+        open_ = links.groupBy("v").agg(F.count(F.lit(1)).alias("open"), F.max(F.struct("d", "w")).alias("only"))
+        state = settle(base.join(got, "v", "left").join(open_, "v", "left").select("v", F.greatest("b", F.coalesce("got", F.lit(0))).alias("b"), F.coalesce("open", F.lit(0)).alias("open"), "only"))
+        fresh = settle(state.filter("open = 0").select("v", F.col("b").alias("level")))
+        resolved.add(fresh)
+        single = settle(state.filter("open = 1").select("v", "only.d", "only.w", "b"))
+        moved = _jumped(single)
+        hanging.append(moved)
+        several = state.filter("open > 1").select("v", "b")
+        own = links.join(several.select("v"), "v", "left_semi")
+        over = own.join(moved.select(F.col("v").alias("d"), F.col("d").alias("d2"), F.col("w").alias("w2"), F.col("b").alias("b2")), "d", "left")
+        over = settle(over.select("v", F.coalesce("d2", "d").alias("d"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), (F.col("b2") + F.col("w")).alias("least")))
+        links = settle(over.groupBy("v", "d").agg(F.max("w").alias("w")))
+        raised = over.groupBy("v").agg(F.max("least").alias("least"))
+        base = settle(several.join(raised, "v", "left").select("v", F.greatest("b", F.coalesce("least", F.lit(0))).alias("b")))
+        if is_empty(fresh) and is_empty(moved):
             break
-        layer = ready.withColumn("level", F.lit(level))
-        out = layer if out is None else out.unionByName(layer)
-        open_ = settle(open_.join(ready.select(*keys), keys, "left_anti"))
-        links = settle(links.join(ready.select("plan_id", F.col("step_id").alias("depends_on")), ["plan_id", "depends_on"], "left_anti"))
-    rest = open_.withColumn("level", F.lit(None).cast("int"))
-    out = rest if out is None else out.unionByName(rest)
+    for part in reversed(hanging):
+        resolved.add(part.join(resolved.read().withColumnRenamed("v", "d"), "d").select("v", F.greatest("b", F.col("level") + F.col("w")).alias("level")))
+    out = every.join(resolved.read().select("v.*", "level"), keys, "left")
     problem = F.when(F.col("n") > 1, "duplicate_id").when(F.col("dangling"), "dangling").when(F.col("level").isNull(), "cycle")
     return out.select(*keys, "level", problem.alias("problem"))
 

@@ -62,20 +62,19 @@ def b4_evaluate_predicates(spark, sf):
 
 
 @query("b5_evaluate_intersections", f"""WITH {_TRI}, s AS (SELECT j.k, ax, ay, bx, by_, w.x AS cx, w.y AS cy, w2.x AS dx, w2.y AS dy FROM nn, j JOIN t w ON w.k = (j.k + 1) % n JOIN t w2 ON w2.k = (((j.k + 1) % n) * 7 + 1) % n),
-  d AS (SELECT *, (bx-ax)*(dy-cy)-(by_-ay)*(dx-cx) AS den, (cx-ax)*(dy-cy)-(cy-ay)*(dx-cx) AS sn, (cx-ax)*(by_-ay)-(cy-ay)*(bx-ax) AS tn FROM s)
-  SELECT 'i' || k AS id, sn/den BETWEEN 0 AND 1 AND tn/den BETWEEN 0 AND 1 AS meets, CASE WHEN sn/den BETWEEN 0 AND 1 AND tn/den BETWEEN 0 AND 1 THEN 'point' ELSE 'empty' END AS result,
-    CASE WHEN sn/den BETWEEN 0 AND 1 AND tn/den BETWEEN 0 AND 1 THEN round(ax + sn/den*(bx-ax), 3) END AS px FROM d WHERE den <> 0""")
+  d AS (SELECT *, (bx-ax)*(dy-cy)-(by_-ay)*(dx-cx) AS den, (cx-ax)*(dy-cy)-(cy-ay)*(dx-cx) AS sn, (cx-ax)*(by_-ay)-(cy-ay)*(bx-ax) AS tn, (bx-ax)*(bx-ax)+(by_-ay)*(by_-ay) AS uu, (dx-cx)*(dx-cx)+(dy-cy)*(dy-cy) AS ww FROM s),
+  o AS (SELECT *, CASE WHEN uu > 0 THEN greatest(0.0, least(((cx-ax)*(bx-ax)+(cy-ay)*(by_-ay))/uu, ((dx-ax)*(bx-ax)+(dy-ay)*(by_-ay))/uu)) END AS lo, CASE WHEN uu > 0 THEN least(1.0, greatest(((cx-ax)*(bx-ax)+(cy-ay)*(by_-ay))/uu, ((dx-ax)*(bx-ax)+(dy-ay)*(by_-ay))/uu)) END AS hi,
+    (dx-cx)*(ay-cy)-(dy-cy)*(ax-cx) = 0 AND (ax-cx)*(dx-cx)+(ay-cy)*(dy-cy) BETWEEN 0 AND ww AND (ww > 0 OR (ax = cx AND ay = cy)) AS held FROM d),
+  r AS (SELECT *, CASE WHEN uu = 0 THEN CASE WHEN held THEN 'point' ELSE 'empty' END WHEN den <> 0 THEN CASE WHEN sn/den BETWEEN 0 AND 1 AND tn/den BETWEEN 0 AND 1 THEN 'point' ELSE 'empty' END
+    WHEN tn <> 0 OR lo > hi THEN 'empty' WHEN lo = hi THEN 'point' ELSE 'segment' END AS result, CASE WHEN uu = 0 THEN 0.0 WHEN den <> 0 THEN sn/den ELSE lo END AS at_ FROM o)
+  SELECT 'i' || k AS id, result <> 'empty' AS meets, result, CASE WHEN result = 'point' THEN round(ax + at_*(bx-ax), 3) END AS px FROM r""")
 def b5_evaluate_intersections(spark, sf):
-    """Segments of neighbouring rows; parallel pairs are checked by tests instead."""
+    """Segments of neighbouring rows, parallel ones and single points too."""
     prims = _chained(spark, sf, 2, 2, "Segment_2", "s")
     n = prims.count()
     k = F.substring("id", 2, 20).cast("bigint")
     asked = prims.select(F.concat(F.lit("i"), k).alias("id"), F.lit("intersection").alias("query"), F.array("id", F.concat(F.lit("s"), F.pmod(k + 1, F.lit(n)))).alias("arguments"))
-    c = [F.get("coords", x) for x in range(4)]
-    d = prims.select(k.alias("k"), (c[2] - c[0]).alias("dx"), (c[3] - c[1]).alias("dy"))
-    nxt = d.select(F.pmod(F.col("k") - 1, F.lit(n)).alias("k"), F.col("dx").alias("ex"), F.col("dy").alias("ey"))
-    skew = d.join(nxt, "k").filter("dx * ey <> dy * ex").select(F.concat(F.lit("i"), "k").alias("id"))
-    return kn.evaluate_intersections(prims, asked).join(skew, "id", "left_semi").select("id", "meets", "result", F.round(F.get("point", 0), 3).alias("px"))
+    return kn.evaluate_intersections(prims, asked).select("id", "meets", "result", F.round(F.get("point", 0), 3).alias("px"))
 
 
 @query("b6_evaluate_distances", f"""WITH {_TRI} SELECT 'd' || k AS id, 'squared_distance' AS query, (ax-bx)*(ax-bx)+(ay-by_)*(ay-by_)+(az-bz)*(az-bz) AS squared_distance, CAST(NULL AS VARCHAR) AS comparison FROM j WHERE k % 2 = 0

@@ -30,6 +30,17 @@ def f13_interval_centers(spark, sf):
     return lf.interval_centers(i.points2(spark, sf).select("label", "x"), 3, "label")
 
 
+@query("f13_interval_assignment", f"""WITH RECURSIVE {i.P2}, g AS (SELECT label, list_sort(list(DISTINCT x)) AS xs FROM p2 GROUP BY label),
+  c AS (SELECT DISTINCT label, xs, b - a AS d FROM (SELECT label, xs, a, unnest(xs) AS b FROM (SELECT label, xs, unnest(xs) AS a FROM g)) WHERE b >= a),
+  st(label, d, xs, k, s) AS (SELECT label, d, xs, 0, xs[1] FROM c UNION ALL SELECT label, d, xs, k + 1, list_filter(xs, lambda x: x > s + d)[1] FROM st WHERE k < 3 AND s IS NOT NULL),
+  ft AS (SELECT label, min(d) AS d FROM (SELECT label, d, count(s) FILTER (k >= 3) AS more FROM st GROUP BY ALL) WHERE more = 0 GROUP BY label),
+  cs AS (SELECT st.label, k, s, st.d FROM st JOIN ft ON st.label = ft.label AND st.d = ft.d WHERE s IS NOT NULL)
+  SELECT p2.label, id, x, CAST(max(k) AS INTEGER) AS centre_number, max(s) + max(d) / 2 AS centre, max(d) / 2 AS radius FROM p2 JOIN cs ON cs.label = p2.label AND s <= x GROUP BY p2.label, id, x""")
+def f13_interval_assignment(spark, sf):
+    """Three intervals per brand over the sizes of its parts, with every part's interval."""
+    return lf.interval_assignment(i.points2(spark, sf), 3, "label")
+
+
 @query("f14_local_linear_interpolation", "SELECT c_custkey AS query_id, round(2.0 + 3.0 * (c_nationkey * 2) - (900 + c_custkey % 100), 4) AS value FROM customer")
 def f14_local_linear_interpolation(spark, sf):
     """The sites carry a linear field, which the fit must reproduce."""

@@ -134,13 +134,18 @@ def e8_keep_largest_components(spark, sf):
     return ms.keep_largest(ms.segment_by_label(*_clusters(spark, sf)), 3)
 
 
-@query("f7_shortest_paths")
+@query("f7_shortest_paths", f"""WITH RECURSIVE {i.MESH}, {_H}, ed AS (SELECT a.vid AS a, b.vid AS b, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS length FROM (SELECT DISTINCT least(u, v) AS lo, greatest(u, v) AS hi FROM h) e JOIN mv a ON a.vid = lo JOIN mv b ON b.vid = hi),
+  ar AS (SELECT a, b, length FROM ed UNION ALL SELECT b, a, length FROM ed),
+  sp(node, distance) USING KEY (node) AS (SELECT vid, 0.0::DOUBLE FROM mv WHERE z >= 49
+    UNION SELECT b, min(s.distance + length) FROM sp s JOIN ar ON a = s.node LEFT JOIN recurring.sp k ON k.node = b GROUP BY b HAVING min(s.distance + length) < coalesce(min(k.distance), 1e300) - 1e-9)
+  SELECT node, round(distance, 5) AS distance FROM sp""")
 def f7_shortest_paths(spark, sf):
     vertices, faces = i.mesh(spark, sf)
     at = lambda p: vertices.select(F.col("vid").alias(p), *[F.col(c).alias(f"{p}{c}") for c in "xyz"])
     e = ms.half_edges(faces).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(at("u"), "u").join(at("v"), "v")
     length = v.norm(v.sub(v.vec("ux", "uy", "uz"), v.vec("vx", "vy", "vz")))
-    return gr.shortest_paths(e.select(F.col("u").alias("a"), F.col("v").alias("b"), length.alias("length")), vertices.filter("z >= 49").select(F.col("vid").alias("node")))
+    paths = gr.shortest_paths(e.select(F.col("u").alias("a"), F.col("v").alias("b"), length.alias("length")), vertices.filter("z >= 49").select(F.col("vid").alias("node")))
+    return paths.select("node", F.round("distance", 5).alias("distance"))
 
 
 @query("f8_orient_faces", f"WITH {i.BOXMESH} SELECT fid, a, b, c, true AS orientable FROM bf")

@@ -100,13 +100,13 @@ _PAIRS = """pr AS (SELECT a.seg_id AS s, b.seg_id AS t, a.x1, a.y1, a.x2, a.y2,
 
 
 @query("c9_segment_crossings", f"""WITH {i.SEG}, {_PAIRS.format(on='a.seg_id < b.seg_id')},
-  q AS (SELECT *, (x2-x1)*(v2-v1)-(y2-y1)*(u2-u1) AS den FROM mt) SELECT s, t, round(x1 + ((u1-x1)*(v2-v1)-(v1-y1)*(u2-u1))/den*(x2-x1), 6) AS x, round(y1 + ((u1-x1)*(v2-v1)-(v1-y1)*(u2-u1))/den*(y2-y1), 6) AS y FROM q WHERE den <> 0""")
+  q AS (SELECT *, (x2-x1)*(v2-v1)-(y2-y1)*(u2-u1) AS den FROM mt),
+  e AS (SELECT s, t, x1, y1, x2, y2, u1, v1, u2, v2, unnest([{{'x': x1, 'y': y1}}, {{'x': x2, 'y': y2}}, {{'x': u1, 'y': v1}}, {{'x': u2, 'y': v2}}]) AS p FROM q WHERE den = 0)
+  SELECT s, t, round(x1 + ((u1-x1)*(v2-v1)-(v1-y1)*(u2-u1))/den*(x2-x1), 6) AS x, round(y1 + ((u1-x1)*(v2-v1)-(v1-y1)*(u2-u1))/den*(y2-y1), 6) AS y FROM q WHERE den <> 0
+  UNION ALL SELECT DISTINCT s, t, p.x, p.y FROM e WHERE (p.x-x1)*(x2-x1)+(p.y-y1)*(y2-y1) BETWEEN 0 AND (x2-x1)*(x2-x1)+(y2-y1)*(y2-y1) AND (p.x-u1)*(u2-u1)+(p.y-v1)*(v2-v1) BETWEEN 0 AND (u2-u1)*(u2-u1)+(v2-v1)*(v2-v1)""")
 def c9_segment_crossings(spark, sf):
-    """Crossings of segments that are not parallel."""
-    c = pl.segment_crossings(i.segments(spark, sf))
-    seg = i.segments(spark, sf)
-    slope = lambda k: seg.select(F.col("seg_id").alias(k), (F.col("x2") - F.col("x1")).alias(f"{k}dx"), (F.col("y2") - F.col("y1")).alias(f"{k}dy"))
-    return c.join(slope("s"), "s").join(slope("t"), "t").filter("sdx * tdy <> sdy * tdx").select("s", "t", *_r(["x", "y"]))
+    """All crossings and touches; segments that overlap along a line bring the ends of their common part."""
+    return pl.segment_crossings(i.segments(spark, sf)).select("s", "t", *_r(["x", "y"]))
 
 
 @query("c9_arrangement_counts")
@@ -174,6 +174,17 @@ def c8_locate_on_mesh(spark, sf):
     return sf_.locate_on_mesh(_above(spark, sf), *i.mesh(spark, sf), 6).select("id", "fid", F.round("d2", 6).alias("d2"))
 
 
+@query("d11_distance_to_mesh", f"WITH {i.MESH}, {_K}, {_ABOVE}, {_DIST}, m AS (SELECT id, min(d2) AS d2 FROM ds GROUP BY id) SELECT round(sqrt(max(d2)), 5) AS distance, arg_max(id, {{'d': d2, 'i': -id}}) AS from_id FROM m")
+def d11_distance_to_mesh(spark, sf):
+    return sf_.distance_to_mesh(_above(spark, sf), *i.mesh(spark, sf)).select(F.round("distance", 5).alias("distance"), "from_id")
+
+
+@query("d11_distance_to_points")
+def d11_distance_to_points(spark, sf):
+    """How far the height field reaches from the points above it."""
+    return sf_.distance_to_points(*i.mesh(spark, sf), _above(spark, sf), 20.0)
+
+
 _HITS = f"""r AS (SELECT ray_id, fid, ox, oy, oz, dx, dy, dz, bx-ax AS ex, by_-ay AS ey, bz-az AS ez, cx-ax AS fx, cy-ay AS fy, cz-az AS fz, ox-ax AS sx, oy-ay AS sy, oz-az AS sz FROM ry, k),
   h AS (SELECT *, dy*fz-dz*fy AS hx, dz*fx-dx*fz AS hy, dx*fy-dy*fx AS hz, sy*ez-sz*ey AS qx, sz*ex-sx*ez AS qy, sx*ey-sy*ex AS qz FROM r),
   g AS (SELECT *, ex*hx+ey*hy+ez*hz AS det FROM h), ht AS (SELECT ray_id, fid, (fx*qx+fy*qy+fz*qz)/det AS t FROM g WHERE det <> 0 AND (sx*hx+sy*hy+sz*hz)/det >= 0 AND (dx*qx+dy*qy+dz*qz)/det >= 0

@@ -39,6 +39,32 @@ def stream_job_outcomes(stream: DataFrame, time: str, state: str, width: str, de
         .select(F.col("window.start").alias("window_start"), state, "jobs")
 
 
+def late_rows(stream: DataFrame, time: str, width: str, delay: str, late: str, marks: str, checkpoint: str) -> StreamingQuery:
+    """Keep the rows that ``stream_job_outcomes`` drops: those whose window has closed when they come.
+
+    Spark drops by the watermark that the batch before had: the latest event time of all batches before
+    that one, less ``delay``.  Each batch leaves its own latest time under its number in ``marks``, so a
+    batch that is replayed after a failure finds the same watermark and overwrites its own rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        batch.agg(F.max(time).alias("latest"), F.lit(number).cast("bigint").alias("number")).write.mode("overwrite").parquet(f"{marks}/batch={number}")
+        before = spark.read.schema("latest timestamp, number bigint").option("recursiveFileLookup", "true").parquet(marks).filter(F.col("number") < number - 1)
+        edge = before.agg((F.max("latest") - F.expr(f"INTERVAL {delay}")).alias("_edge"))
+        closing = batch.withColumn("_end", F.window(time, width)["end"]).withColumn("_one", F.lit(1)).join(F.broadcast(edge.withColumn("_one", F.lit(1))), "_one")
+        closing.filter(F.col("_end") <= F.col("_edge")).select(batch.columns).write.mode("overwrite").parquet(f"{late}/batch={number}")
+        batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows (after partial aggregation) that the query's state has refused as late, over all its batches."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drain what is available into Parquet and return it as a table."""
     query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
