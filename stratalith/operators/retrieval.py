@@ -22,6 +22,15 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(stored) if stored_bytes(stored) <= BROADCAST_BYTES else stored
 
 
+def meet(large: DataFrame, other: DataFrame, keys: Sequence[str], spread_by: str) -> DataFrame:
+    """Inner join of ``large`` with a side that is often small.  If its files are, it is broadcast; if not,
+    keys that many rows have (common words, above all) are cut into pieces on either side."""
+    stored = settle(other)
+    if stored_bytes(stored) <= BROADCAST_BYTES:
+        return large.join(F.broadcast(stored), list(keys))
+    return salted_join(stored, large, keys, spread_by)
+
+
 def token_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, token``: distinct retrieval tokens of every text."""
     plain = spread(df.select(key, text)).select(key, t.normalize_text(F.col(text)).alias("_n"))
@@ -41,8 +50,8 @@ def form_rows(df: DataFrame, forms: DataFrame, key: str, text: str) -> DataFrame
     starts = settle(spaced.groupBy(F.get("_f", F.lit(0)).alias("_first")).agg(F.array_sort(F.collect_set(F.size("_f"))).alias("_lengths")))
     most = starts.agg(F.max(F.array_max("_lengths"))).first()[0] or 1
     places = worded.select(key, "_w", F.posexplode("_w").alias("_at", "_first")).select(key, "_first", F.slice("_w", F.col("_at") + 1, F.lit(most)).alias("_run"))
-    runs = places.join(small(starts), "_first").select(key, "_run", F.explode(F.filter("_lengths", lambda n: n <= F.size("_run"))).alias("_n"))
-    return runs.select(key, F.array_join(F.slice("_run", F.lit(1), F.col("_n")), " ").alias("form")).distinct().join(small(forms), "form")
+    runs = meet(places, starts, ["_first"], key).select(key, "_run", F.explode(F.filter("_lengths", lambda n: n <= F.size("_run"))).alias("_n"))
+    return runs.select(key, F.array_join(F.slice("_run", F.lit(1), F.col("_n")), " ").alias("form")).distinct().transform(lambda rows: meet(rows, forms, ["form"], key))
 
 
 # -- concepts ---------------------------------------------------------------------------------
@@ -191,8 +200,8 @@ def query_coverage(query_tokens: DataFrame, doc_tokens: DataFrame, qid: str, key
     weighted = query_tokens.join(idf.select("token", "idf"), "token", "left").withColumn("_one", F.lit(1)).join(top, "_one") \
         .select(qid, "token", F.coalesce("idf", "unknown_idf").alias("weight"), F.col("idf").isNull().alias("unknown"))
     totals = weighted.groupBy(qid).agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("unknown"), F.col("weight")).otherwise(0.0)).alias("lost"))
-    explained = doc_tokens.join(small(weighted.filter(~F.col("unknown"))), "token").groupBy(qid, key).agg(F.sum("weight").alias("explained"))
-    return explained.join(small(totals), qid).select(
+    explained = meet(doc_tokens, weighted.filter(~F.col("unknown")), ["token"], key).groupBy(qid, key).agg(F.sum("weight").alias("explained"))
+    return meet(explained, totals, [qid], key).select(
         qid, key, "explained", "total", F.when(F.col("total") > 0, F.col("lost") / F.col("total")).otherwise(1.0).alias("unknown_share"))
 
 
@@ -203,9 +212,9 @@ PHRASE_SCALE, PHRASE_CAP, PHRASE_FLOOR, PHRASE_TOP = 3.0, 30.0, 2.0, 8.0
 def phrase_bonus(query_tokens: DataFrame, phrase_tokens: DataFrame, idf: DataFrame, qid: str, key: str) -> DataFrame:
     """``qid, key, bonus``.  ``phrase_tokens`` holds ``key, phrase_id, token``.  A phrase earns
     credit when its matched mass reaches the floor; the best counts fully, the next two by 0.3."""
-    weighted = phrase_tokens.join(idf.select("token", "idf"), "token")
+    weighted = meet(phrase_tokens, idf.select("token", "idf"), ["token"], "phrase_id")
     totals = weighted.groupBy(key, "phrase_id").agg(F.sum("idf").alias("total"))
-    matched = weighted.join(small(query_tokens), "token").groupBy(qid, key, "phrase_id").agg(F.sum("idf").alias("matched"))
+    matched = meet(weighted, query_tokens, ["token"], "phrase_id").groupBy(qid, key, "phrase_id").agg(F.sum("idf").alias("matched"))
     credit = PHRASE_SCALE * F.least("matched", F.lit(PHRASE_TOP)) * (0.5 + 0.5 * F.col("matched") / F.col("total"))
     order = Window.partitionBy(qid, key).orderBy(F.col("credit").desc(), "phrase_id")
     best = (

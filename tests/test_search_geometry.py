@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from stratalith.functions import text as t
 from stratalith.functions.triangles import clipped, pair_intersections, polygon_area
-from stratalith.operators import graph
+from stratalith.operators import evaluation as ev
+from stratalith.operators import graph, skew
 from stratalith.operators import mesh as ms
 from stratalith.operators import planar as pl
 from stratalith.operators import retrieval as rt
 from stratalith.operators import surface as sf_
 from stratalith.operators.substrings import substring_search, term_hits
 from stratalith.plans.inputs import BOX_TRIANGLES
+from stratalith.session import settle
 
 
 # -- search -------------------------------------------------------------------------------------
@@ -247,3 +249,28 @@ def test_ring_conflicts_are_named(spark):
     assert {k: r["reasons"] for k, r in report.items()} == {1: [], 2: ["outside:1"], 3: ["contact:0:1"], 4: ["contact:0:1"], 5: ["nested:2:1"], 6: ["not_simple:0"], 7: ["contact:1:2"], 8: [], 9: ["outside:2", "nested:1:2"]}
     assert report[1]["canonical"] and report[1]["area"] == 96 and report[1]["centroid_x"] == pytest.approx((500 - 4 * 2) / 96) and report[2]["area"] is None
     assert [report[9][c] for c in ("min_x", "max_y", "holes")] == [-5, 25, 2]
+
+
+# -- hot words ---------------------------------------------------------------------------------
+def test_hot_words_and_shingles_are_cut_into_pieces(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, "en", " ".join(["all the same"] * (k % 3 == 0) + rng.choices(words, k=8))) for k in range(60)]
+    rows += [(100 + k, "en", rows[k][2] + (" more" if k % 2 else "")) for k in range(20)]
+    docs = spark.createDataFrame(rows, "id int, lang string, text string")
+    shingles = {k: {tuple(w[i:i + 3]) for i in range(len(w) - 2)} for k, _, text in rows for w in [text.split()]}
+    want = {(a, b): len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b]) for a, b in itertools.combinations(sorted(shingles), 2)}
+    first = {a: min(b for b in shingles if shingles[b] == shingles[a]) for a in shingles}
+    want = {(a, b): s for (a, b), s in want.items() if s > 0.6 and (first[a] == a and first[b] == b or first[b] == a)}
+    plain = {(r["a"], r["b"]): r["similarity"] for r in ev.near_duplicates(docs, "id", "text", "lang", 0.6).collect()}
+    asked = spark.createDataFrame([(q, w) for q in range(5) for w in ["same", *rng.sample(words, 3)]], "q int, token string")
+    tokens = settle(rt.token_rows(docs, "id", "text"))
+    cover = lambda: sorted((r["q"], r["id"], round(r["explained"], 9), round(r["total"], 9)) for r in rt.query_coverage(asked, tokens, "q", "id", len(rows)).collect())
+    before = cover()
+    small_pieces = functools.partial(skew.salted_join, rows=7)
+    monkeypatch.setattr(ev, "salted_join", small_pieces)
+    monkeypatch.setattr(rt, "salted_join", small_pieces)
+    monkeypatch.setattr(rt, "BROADCAST_BYTES", 0)
+    hot = {(r["a"], r["b"]): r["similarity"] for r in ev.near_duplicates(docs, "id", "text", "lang", 0.6).collect()}
+    assert hot == plain == pytest.approx(want) and len(want) >= 20
+    assert cover() == before and len(before) > 60
