@@ -226,29 +226,76 @@ def phrase_bonus(query_tokens: DataFrame, phrase_tokens: DataFrame, idf: DataFra
 
 
 # Fixed values of the evidence score.
-CONCEPT_POINTS, WORD_POINTS, ALIAS_POINTS, EXACT_POINTS = 14.0, 3.0, 10.0, 30.0
+CONCEPT_POINTS, WORD_POINTS, BRIDGE_POINTS, ALIAS_POINTS, EXACT_POINTS = 14.0, 3.0, 1.0, 10.0, 30.0
 
 
-def match_evidence(pairs: DataFrame) -> DataFrame:
+def match_evidence(pairs: DataFrame, methods: Sequence[str] = ()) -> DataFrame:
     """Score candidate pairs that carry the arrays ``query_concepts, item_concepts, query_words,
-    item_words, matched_aliases``, the flag ``exact`` and the number ``phrase_bonus``."""
+    item_words, matched_aliases``, the flag ``exact`` and the number ``phrase_bonus``.
+
+    An array ``bridge_words``, words translated from another language, is weak evidence where there is one.
+    A query that says 2d is not covered by an item that does not, and one that says 3d not by an item that
+    only says 2d.  ``methods`` names the concepts that are methods; which of them are covered is told too.
+    """
+    if "bridge_words" not in pairs.columns:
+        pairs = pairs.withColumn("bridge_words", F.array().cast("array<string>"))
+    says = lambda side, word: F.array_contains(f"{side}_words", word)
+    flat = says("query", "2d") & ~says("item", "2d")
+    solid = says("query", "3d") & says("item", "2d") & ~says("item", "3d")
+    dims = F.concat(F.when(flat, F.array(F.lit("dimension_2d"))).otherwise(F.array().cast("array<string>")), F.when(solid, F.array(F.lit("dimension_3d"))).otherwise(F.array().cast("array<string>")))
     covered = F.array_sort(F.array_intersect("query_concepts", "item_concepts"))
-    uncovered = F.array_sort(F.array_except("query_concepts", "item_concepts"))
+    uncovered = F.array_sort(F.array_union(F.array_except("query_concepts", "item_concepts"), dims))
+    named_methods = F.array(*[F.lit(m) for m in methods]).cast("array<string>")
     words = F.size(F.array_intersect("query_words", "item_words"))
     aliases = F.aggregate("matched_aliases", F.lit(0.0), lambda s, a: s + ALIAS_POINTS + F.least(F.length(a), F.lit(40)) / 4.0)
-    score = (CONCEPT_POINTS * F.size("covered") + WORD_POINTS * F.col("word_matches") + F.col("alias_score")
+    bridges = F.size(F.array_intersect("bridge_words", "item_words"))
+    score = (CONCEPT_POINTS * F.size("covered") + WORD_POINTS * F.col("word_matches") + BRIDGE_POINTS * F.col("bridge_matches") + F.col("alias_score")
              + F.when(F.col("exact"), EXACT_POINTS).otherwise(0.0) + F.col("phrase_bonus"))
     named = F.size("query_concepts") > 0
     full = named & (F.size("covered") > 0) & (F.size("uncovered") == 0)
     worded = ~named & ((F.size("matched_aliases") > 0) | (F.col("word_matches") >= 2) | (F.col("phrase_bonus") >= 6.0))
     confidence = F.when(full & (F.col("evidence") >= CONCEPT_POINTS), "high").when(worded, "medium").otherwise("low")
     return (
-        pairs.withColumns({"covered": covered, "uncovered": uncovered, "word_matches": words, "alias_score": aliases})
+        pairs.withColumns({"covered": covered, "uncovered": uncovered, "word_matches": words, "bridge_matches": bridges, "alias_score": aliases})
+        .withColumns({"covered_methods": F.array_intersect("covered", named_methods), "uncovered_methods": F.array_intersect("uncovered", named_methods)})
         .withColumn("evidence", score).withColumn("confidence", confidence)
         .withColumn("supported", full | worded)
     )
 
 
+def search_channels(queries: DataFrame, items: DataFrame, qid: str, key: str, methods: Sequence[str] = ()) -> DataFrame:
+    """The candidates of a search with all channels that ``ranked_search`` weighs, and what ``abstain`` needs.
+
+    ``queries``: ``qid, text, concepts``; ``items``: ``key, text, concepts, aliases, phrases`` (arrays but for
+    the texts).  Candidates are the pairs that some channel finds: a term of the query inside the item's
+    text, a common token, a phrase, or a common word.  Every channel is one join on terms or tokens; the
+    texts themselves meet only for the candidates.
+    """
+    asked = settle(queries.select(qid, F.col("text").alias("query_text"), F.col("concepts").alias("query_concepts"), t.normalize_text(F.col("text")).alias("_plain")))
+    known = settle(items.select(key, F.col("text").alias("item_text"), F.col("concepts").alias("item_concepts"), "aliases", "phrases", t.normalize_text(F.col("text")).alias("_body")))
+    fts = bm25_search(known, asked.select(qid, t.search_terms(F.col("_plain")).alias("terms")), key, qid, "terms", {"item_text": 1.0}, None)
+    fts = settle(fts.select(qid, key, (8.0 / (1.0 + F.col("score"))).alias("fts")))
+    query_tokens, item_tokens = settle(token_rows(queries, qid, "text")), settle(token_rows(items, key, "text"))
+    n_items = known.count()
+    cover = settle(query_coverage(query_tokens, item_tokens, qid, key, n_items).select(qid, key, (F.col("explained") / F.col("total")).alias("coverage"), "unknown_share"))
+    phrases = known.select(key, F.posexplode("phrases").alias("phrase_id", "_p")).select(key, "phrase_id", F.explode(t.tokens(t.normalize_text(F.col("_p")))).alias("token")).distinct()
+    bonus = settle(phrase_bonus(query_tokens, phrases, idf_table(item_tokens, key, n_items), qid, key).withColumnRenamed("bonus", "phrase_bonus"))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(t.WORD), F.lit(0)))
+    shared = meet(known.select(key, F.explode(words(F.col("_body"))).alias("word")), asked.select(qid, F.explode(words(F.col("_plain"))).alias("word")), ["word"], key).select(qid, key)
+    pairs = fts.select(qid, key).unionByName(cover.select(qid, key)).unionByName(bonus.select(qid, key)).unionByName(shared).distinct()
+    full = pairs.join(fts, [qid, key], "left").join(cover, [qid, key], "left").join(bonus, [qid, key], "left")
+    full = meet(full, asked, [qid], key).join(known, key)
+    held = F.filter("aliases", lambda a: (F.length(a) >= 3) & F.contains(F.col("_plain"), F.lower(a)))
+    full = full.withColumns({"query_words": words(F.col("_plain")), "item_words": words(F.col("_body")), "matched_aliases": held,
+                             "exact": (F.col("_plain") != "") & F.contains("_body", "_plain"), "phrase_bonus": F.coalesce("phrase_bonus", F.lit(0.0)),
+                             "fts": F.coalesce("fts", F.lit(0.0)), "coverage": F.coalesce("coverage", F.lit(0.0)), "unknown_share": F.coalesce("unknown_share", F.lit(1.0))})
+    out = match_evidence(full, methods)
+    unsupported = ~F.col("supported")
+    return out.select(qid, key, (F.col("evidence") - F.col("phrase_bonus")).alias("evidence_rest"), "phrase_bonus", "fts", "coverage", "unknown_share", F.size("uncovered").alias("uncovered"),
+                      F.size("covered").alias("covered_concepts"), F.size("query_concepts").alias("query_concepts"), "word_matches", "confidence",
+                      (unsupported & (F.size("covered") == 0)).alias("hard_blocked"), (unsupported & (F.size("covered") > 0)).alias("soft_blocked"))
+
+
 # Channel weights and the abstain rule.
 WEIGHTS = {"evidence": 1.0, "phrase": 0.8, "fts": 0.5, "identity": 0.0, "coverage": 70.0, "penalty": 6.0}
 ABSTAIN_WEIGHTS = {"score": 1.0, "covered_concepts": 10.0, "known_mass": 0.3, "query_concepts": 6.0}

@@ -284,6 +284,60 @@ def r12_ranked_search(spark, sf):
     return _ranked(spark, sf).filter("rank <= 5").select("query", "item", "rank", F.round("score", 4).alias("score"))
 
 
+# Queries: one per brand and type, with the name of the first such part; items: all parts.
+_ITEMS = """it AS (SELECT p_partkey AS item, p_name || ' ' || p_type || ' ' || p_brand || CASE p_size % 3 WHEN 0 THEN ' 2d' WHEN 1 THEN ' 3d' ELSE '' END AS text, lower(p_type) AS concept, p_name, p_type, p_brand, p_size, p_retailprice FROM part),
+  qs AS (SELECT min(p_partkey) AS query, 'find ' || min(p_name) || ' ' || p_type || CASE min(p_partkey) % 4 WHEN 0 THEN ' in 2D' WHEN 1 THEN ' in 3D' ELSE '' END AS text, CASE WHEN min(p_partkey) % 3 = 0 THEN [] ELSE [lower(p_type)] END AS concepts FROM part GROUP BY p_type, p_brand)"""
+_CHANNELS = f"""{_ITEMS}, {_tokens('qs', 'query', 'text', 'qk')}, {_tokens('it', 'item', 'text', 'ik')},
+  wanted AS (SELECT DISTINCT query, stem AS term FROM qk WHERE length(stem) >= 3),
+  post AS (SELECT item, word, count(*) AS hits FROM (SELECT item, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM it) GROUP BY ALL),
+  ins AS (SELECT word, term, len(list_filter(range(1, length(word) - length(term) + 2), lambda p: substring(word, p, length(term)) = term)) AS times FROM (SELECT DISTINCT word FROM post), (SELECT DISTINCT term FROM wanted) WHERE contains(word, term)),
+  h AS (SELECT term, item, sum(hits * times)::DOUBLE AS f FROM post JOIN ins USING (word) GROUP BY ALL), sz AS (SELECT item, CAST(greatest(length(text) - 2, 0) AS DOUBLE) AS size FROM it), whole AS (SELECT count(*) AS n, avg(size) AS a FROM sz),
+  dfs AS (SELECT term, count(*) AS df FROM h GROUP BY term),
+  fts AS (SELECT query, item, 8.0 / (1.0 + sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / a)))) AS fts FROM h JOIN dfs USING (term) JOIN sz USING (item) JOIN wanted USING (term), whole GROUP BY ALL),
+  qtk AS (SELECT DISTINCT query, token FROM qk), itk AS (SELECT DISTINCT item, token FROM ik),
+  idf AS (SELECT token, ln(((SELECT count(*) FROM it) + 1) / (count(*) + 0.5)) AS idf FROM itk GROUP BY token),
+  wq AS (SELECT query, token, coalesce(idf, ln((SELECT count(*) FROM it) + 1.0)) AS weight, idf IS NULL AS unknown FROM qtk LEFT JOIN idf USING (token)),
+  tot AS (SELECT query, sum(weight) AS total, sum(CASE WHEN unknown THEN weight ELSE 0 END) AS lost FROM wq GROUP BY query),
+  cov AS (SELECT query, item, sum(weight) / max(total) AS coverage, max(lost / total) AS unknown_share FROM wq JOIN itk USING (token) JOIN tot USING (query) WHERE NOT unknown GROUP BY ALL),
+  ph AS (SELECT item, 0 AS phrase_id, p_name AS phrase FROM it UNION ALL SELECT item, 1, p_type || ' ' || p_brand FROM it), {_tokens('ph', 'item, phrase_id', 'phrase', 'pk')},
+  pw AS (SELECT * FROM (SELECT DISTINCT item, phrase_id, token FROM pk) JOIN idf USING (token)), ptot AS (SELECT item, phrase_id, sum(idf) AS total FROM pw GROUP BY ALL),
+  pm AS (SELECT query, item, phrase_id, sum(idf) AS matched FROM pw JOIN qtk USING (token) GROUP BY ALL HAVING sum(idf) >= 2.0),
+  pc AS (SELECT *, row_number() OVER (PARTITION BY query, item ORDER BY 3.0 * least(matched, 8.0) * (0.5 + 0.5 * matched / total) DESC, phrase_id) AS rn, 3.0 * least(matched, 8.0) * (0.5 + 0.5 * matched / total) AS credit FROM pm JOIN ptot USING (item, phrase_id)),
+  bon AS (SELECT query, item, least(sum(CASE WHEN rn = 1 THEN credit ELSE 0.3 * credit END), 30.0) AS bonus FROM pc WHERE rn <= 3 GROUP BY ALL),
+  qw AS (SELECT query, concepts, {_norm('text')} AS plain, list_distinct(regexp_extract_all({_norm('text')}, '[a-z][a-z0-9]*|[23]d')) AS words FROM qs), iw AS (SELECT it.*, {_norm('text')} AS body, list_distinct(regexp_extract_all({_norm('text')}, '[a-z][a-z0-9]*|[23]d')) AS words FROM it),
+  cand AS (SELECT query, item FROM fts UNION SELECT query, item FROM cov UNION SELECT query, item FROM bon UNION SELECT query, item FROM (SELECT query, unnest(words) AS w FROM qw) JOIN (SELECT item, unnest(words) AS w FROM iw) USING (w)),
+  ev AS (SELECT query, item, coalesce(fts, 0) AS fts, coalesce(coverage, 0) AS coverage, coalesce(unknown_share, 1) AS unknown_share, coalesce(bonus, 0) AS bonus, len(q.concepts) AS named, len(list_filter(q.concepts, lambda c: c = i.concept)) AS n_covered,
+    len(list_filter(q.concepts, lambda c: c <> i.concept)) + (list_contains(q.words, '2d') AND NOT list_contains(i.words, '2d'))::INT + (list_contains(q.words, '3d') AND list_contains(i.words, '2d') AND NOT list_contains(i.words, '3d'))::INT AS n_uncovered,
+    len(list_intersect(q.words, i.words)) AS word_matches, length(p_name) >= 3 AND contains(plain, lower(p_name)) AS aliased, plain <> '' AND contains(body, plain) AS exact_, p_size, p_retailprice, p_name FROM cand JOIN qw q USING (query) JOIN iw i USING (item) LEFT JOIN fts USING (query, item) LEFT JOIN cov USING (query, item) LEFT JOIN bon USING (query, item)),
+  ch AS (SELECT *, 14.0 * n_covered + 3.0 * word_matches + CASE WHEN aliased THEN 10.0 + least(length(p_name), 40) / 4.0 ELSE 0 END + CASE WHEN exact_ THEN 30 ELSE 0 END AS rest, (named > 0 AND n_covered > 0 AND n_uncovered = 0) OR (named = 0 AND (aliased OR word_matches >= 2 OR bonus >= 6.0)) AS supported FROM ev)"""
+
+
+def _channels(spark, sf):
+    part = i.table(spark, sf, "part")
+    dims = F.when(F.col("p_size") % 3 == 0, " 2d").when(F.col("p_size") % 3 == 1, " 3d").otherwise("")
+    items = part.select(F.col("p_partkey").alias("item"), F.concat(F.concat_ws(" ", "p_name", "p_type", "p_brand"), dims).alias("text"), F.array(F.lower("p_type")).alias("concepts"), F.array("p_name").alias("aliases"), F.array("p_name", F.concat_ws(" ", "p_type", "p_brand")).alias("phrases"))
+    first = part.groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("query"), F.min("p_name").alias("p_name"))
+    asks = F.when(F.col("query") % 4 == 0, " in 2D").when(F.col("query") % 4 == 1, " in 3D").otherwise("")
+    asked = first.select("query", F.concat(F.lit("find "), F.concat_ws(" ", "p_name", "p_type"), asks).alias("text"), F.when(F.col("query") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lower("p_type"))).alias("concepts"))
+    return rt.search_channels(asked, items, "query", "item", ["promo"])
+
+
+@query("r12_search_channels", f"""WITH {_CHANNELS} SELECT query, item, rest AS evidence_rest, round(bonus, 5) AS phrase_bonus, round(fts, 5) AS fts, round(coverage, 5) AS coverage, round(unknown_share, 5) AS unknown_share, n_uncovered AS uncovered, n_covered AS covered_concepts, named AS query_concepts, word_matches,
+  NOT supported AND n_covered = 0 AS hard_blocked, NOT supported AND n_covered > 0 AS soft_blocked FROM ch""")
+def r12_search_channels(spark, sf):
+    """Text search, token coverage, phrases and evidence of every candidate of every query."""
+    return _channels(spark, sf).drop("confidence").withColumns({c: F.round(c, 5) for c in ("phrase_bonus", "fts", "coverage", "unknown_share")})
+
+
+@query("r12_ranked_search_channels", f"""WITH {_CHANNELS}, sc AS (SELECT *, rest + 0.8 * bonus + 0.5 * fts + 70.0 * coverage AS base, p_retailprice < 990 AS executable FROM ch),
+  rk AS (SELECT *, base + CASE WHEN executable THEN 1 ELSE 0 END AS score, row_number() OVER (PARTITION BY query ORDER BY NOT supported AND n_covered = 0, round(base + CASE WHEN executable THEN 1 ELSE 0 END - CASE WHEN NOT supported AND n_covered > 0 THEN 6.0 * n_uncovered ELSE 0 END, 6) DESC, item) AS rank FROM sc WHERE base > 0)
+  SELECT query, item, rank, round(score, 4) AS score FROM rk WHERE rank <= 5""")
+def r12_ranked_search_channels(spark, sf):
+    part = i.table(spark, sf, "part").select(F.col("p_partkey").alias("item"), (F.col("p_retailprice") < 990).alias("executable"))
+    ready = _channels(spark, sf).join(part, "item").withColumn("identity", F.lit(0.0))
+    return rt.ranked_search(ready, "query", "item").filter("rank <= 5").select("query", "item", "rank", F.round("score", 4).alias("score"))
+
+
 @query("r13_abstain", f"""WITH {_RANKED}, a AS (SELECT query, max(CASE WHEN rank = 1 THEN score + 10.0 * n_covered + 0.3 * 100 * (1 - 0.25) + 6.0 * named END) AS strength,
     max(CASE WHEN rank = 1 THEN item END) AS best, max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END) AS gap,
     string_agg(CAST(item AS VARCHAR), ',' ORDER BY rank) AS closest FROM r WHERE rank <= 3 GROUP BY query)
