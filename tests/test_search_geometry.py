@@ -274,3 +274,15 @@ def test_hot_words_and_shingles_are_cut_into_pieces(spark, monkeypatch):
     hot = {(r["a"], r["b"]): r["similarity"] for r in ev.near_duplicates(docs, "id", "text", "lang", 0.6).collect()}
     assert hot == plain == pytest.approx(want) and len(want) >= 20
     assert cover() == before and len(before) > 60
+
+
+# -- evidence ----------------------------------------------------------------------------------
+def test_evidence_of_dimensions_methods_and_bridges(spark):
+    base = {"query_concepts": ["hull"], "item_concepts": ["hull"], "query_words": ["hull"], "item_words": ["hull"], "matched_aliases": [], "bridge_words": [], "exact": False, "phrase_bonus": 0.0}
+    cases = {"plain": {}, "flat": {"query_words": ["hull", "2d"]}, "both flat": {"query_words": ["hull", "2d"], "item_words": ["hull", "2d"]}, "solid": {"query_words": ["hull", "3d"], "item_words": ["hull", "2d"]},
+             "either": {"query_words": ["hull", "3d"], "item_words": ["hull", "2d", "3d"]}, "method": {"query_concepts": ["hull", "poisson"]}, "bridge": {"bridge_words": ["hull", "x"]}}
+    schema = "name string, query_concepts array<string>, item_concepts array<string>, query_words array<string>, item_words array<string>, matched_aliases array<string>, bridge_words array<string>, exact boolean, phrase_bonus double"
+    rows = spark.createDataFrame([(name, *({**base, **more}[c] for c in base)) for name, more in cases.items()], schema)
+    got = {r["name"]: (r["uncovered"], r["uncovered_methods"], r["evidence"], r["supported"]) for r in rt.match_evidence(rows, ["poisson"]).collect()}
+    assert got == {"plain": ([], [], 17.0, True), "flat": (["dimension_2d"], [], 17.0, False), "both flat": ([], [], 20.0, True), "solid": (["dimension_3d"], [], 17.0, False),
+                   "either": ([], [], 20.0, True), "method": (["poisson"], ["poisson"], 17.0, False), "bridge": ([], [], 18.0, True)}
