@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..operators.skew import salted_join
-from ..session import is_empty, settle
+from ..session import Ledger, is_empty, settle
 from .batches import kept, mix, trimmed
 
 #: Distinct fingerprints that one BK-tree may hold before its shard is split.
@@ -41,6 +41,9 @@ PLACES = 128
 BANDS, BAND = 25, 5
 #: Distinct sketches that are compared at a time.
 GROUP_LIMIT = 1024
+#: How far below a likeness an estimate may lie for a pair to be compared by its shingles: 2.8 standard
+#: deviations of an estimate from 128 places at four fifths.
+SLACK = 0.1
 
 
 def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
@@ -56,8 +59,11 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 def sketch(words: list[bytes], shingle: int) -> bytes:
-    """One byte per place: of the shingle hashes that fall on it the least, folded to 1..255."""
-    hashes = np.sort(shingle_hashes(words, shingle))
+    return sketch_of(np.sort(shingle_hashes(words, shingle)))
+
+
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """One byte per place: of the sorted hashes that fall on it the least, folded to 1..255."""
     place, first = np.unique(hashes % np.uint64(PLACES), return_index=True)
     out = np.zeros(PLACES, np.uint8)
     out[place.astype(np.int64)] = hashes[first] // np.uint64(PLACES) % np.uint64(255) + np.uint64(1)
@@ -379,11 +385,142 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, whole: bool) -> DataFrame:
+    """A row per row of ``docs``: its id as ``_id``, ``node`` (a hash of its set of shingles), and either the
+    three-word ``fp`` with the ``sketch`` of the set, or the set itself as ``shingles`` if ``whole``."""
+    picked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("shingle sets", dict)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                nodes, first, second = [], [], []
+                for text in part.column(1).cast(pa.large_binary()):
+                    words = words_of(text.as_buffer().to_pybytes() if text.is_valid else None)
+                    own = np.unique(shingle_hashes(words, shingle))
+                    nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                    if whole:
+                        first.append(own.view(np.int64))
+                    else:
+                        first.append(fingerprint(words, 3))
+                        second.append(sketch_of(own))
+                node = pa.array(np.array(nodes, np.uint64).view(np.int64))
+                rest = [pa.array(first, pa.list_(pa.int64()))] if whole else [pa.array(first, pa.int64()), pa.array(second, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), node, *rest], names=["_id", "node", *(["shingles"] if whole else ["fp", "sketch"])])
+    rest = "shingles array<bigint>" if whole else "fp bigint, sketch binary"
+    return picked.mapInArrow(run, f"_id {picked.schema['_id'].dataType.simpleString()}, node bigint, {rest}")
+
+
+def _nearest(low: float, k: int):
+    """Partitions sorted by block in, ``a, b`` out: for every row its ``k`` most alike partners in other
+    components, if they are alike by ``low``.  A pair of a row with itself says that it has more."""
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("nearest", dict)
+        block, rows = None, []
+        def done() -> pa.RecordBatch:
+            node, component, own = zip(*rows)
+            own, out = np.frombuffer(b"".join(own), np.uint8).reshape(-1, PLACES), []
+            root = np.array(component)
+            for at in range(len(node)):
+                others = np.flatnonzero(root != root[at])
+                share = likenesses(own[others], own[at:at + 1])
+                near = others[share >= low]
+                if len(near) > k:
+                    near = near[np.argsort(-share[share >= low], kind="stable")[:k]]
+                    out.append((node[at], node[at]))
+                out += [(node[at], node[x]) for x in near.tolist()]
+            return _pairs(out)
+        for batch in batches:
+            for *here, node, component, own in zip(*(c.to_pylist() for c in batch.columns)):
+                if here != block:
+                    if len(rows) > 1:
+                        yield done()
+                    block, rows = here, []
+                rows.append((node, component, own))
+        if len(rows) > 1:
+            yield done()
+    return run
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8, shingle: int = 5, radius: int = 2) -> DataFrame:
+    """``id_col, component_id`` for every row: linked are texts whose sets of ``shingle``-word shingles have
+    the share ``likeness`` in common, as the sets themselves say.
+
+    Candidates are texts whose fingerprints lie within ``radius`` (from the BK-trees) and texts that share a
+    band of their sketches.  Those whose sketches are alike, less ``SLACK``, are compared by their sets.  First
+    every text meets one text of its group; then, in groups that still hold several components, every text
+    meets its most alike partners in other components, more of them from round to round until none is left,
+    so a group of copies is settled with few pairs.
+
+    ``component_id`` is the smallest id that is reached.  Equal sets are one text; null and blank texts have
+    the empty set.  Repeated rows share a component; a text that occurs under null ids only links nothing;
+    an empty table gives no rows; other columns are ignored whatever their names.
+    """
+    low = likeness - SLACK
+    marked = settle(shingle_sets(docs, id_col, text_col, shingle, whole=False))
+    first = settle(marked.groupBy("node").agg(F.min("_id").alias("_least"), F.min("fp").alias("fp"), F.min("sketch").alias("sketch")))
+    keyed = settle(first.select("node", "sketch").mapInArrow(_banded, "key bigint, node bigint"))
+    groups = settle(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lead")).filter("n > 1"))
+    members = settle(salted_join(groups, keyed, ["key"], "node"))
+    prints = settle(first.groupBy("fp").agg(F.min("node").alias("lead")))
+    near = links(prints.select("fp"), radius)
+    for c in ("a", "b"):
+        near = near.join(prints.select(F.col("fp").alias(c), F.col("lead").alias(f"_{c}")), c)
+    same = salted_join(prints, first.select("fp", "node"), ["fp"], "node")
+    stars = settle(_ordered(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")).unionByName(same.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+                            .unionByName(members.select(F.col("lead").alias("a"), F.col("node").alias("b"))).filter("a <> b")))
+    left, right = (first.select(F.col("node").alias(c), F.col("sketch").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    both = salted_join(left, stars, ["a"], "b").join(right, "b").select("a", "b", "x", "y")
+    pairs = settle(both.mapInArrow(_compared(low), "a bigint, b bigint"))
+    # Sets of the texts that can still be compared, each once: those in a pair and those of larger groups.
+    asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.filter("n > 2").select("node")).distinct())
+    owners = settle(first.select("node", "_least").join(asked, "node").select("_least", F.col("node").alias("_wanted")))
+    wanted = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(owners.select(F.col("_least").alias("_id")).distinct(), "_id", "left_semi")
+    sets = shingle_sets(wanted, "_id", "_text", shingle, whole=True).join(asked, "node", "left_semi")
+    sets = settle(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    tried, found = Ledger(docs.sparkSession), Ledger(docs.sparkSession)
+    k = 1
+    while True:
+        left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+        common = F.size(F.array_intersect("x", "y"))
+        judged = (salted_join(left, pairs, ["a"], "b").join(right, "b")
+                  .filter(common + 1e-9 >= likeness * (F.size("x") + F.size("y") - common)).select("a", "b"))
+        found.add(judged)
+        tried.add(pairs)
+        owned = members.filter("n > 2").select("key", "n", "node").join(connected_components(found.read()), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        owned = settle(owned)
+        mixed = settle(owned.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key"))
+        if is_empty(mixed):
+            break
+        pieces = F.ceil(F.col("n") / GROUP_LIMIT).cast("int")
+        cut = (salted_join(mixed, owned, ["key"], "node").withColumn("pieces", pieces)
+               .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+               .select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "node", "component"))
+        rows = salted_join(first.select("node", "sketch"), cut, ["node"], "key").select("key", "i", "j", "node", "component", "sketch")
+        more = settle(_ordered(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_nearest(low, k), "a bigint, b bigint")))
+        pairs = settle(more.filter("a <> b").join(tried.read(), ["a", "b"], "left_anti"))
+        if is_empty(pairs) and is_empty(more.filter("a = b")):
+            break
+        k *= 4
+    reached = connected_components(found.read())
+    linked = settle(first.select("node", "_least").join(reached, "node"))
+    least = linked.groupBy("component").agg(F.min("_least").alias("component_id"))
+    owner = first.select("node", "_least").join(linked.join(least, "component").select("node", "component_id"), "node", "left")
+    owner = settle(owner.select("node", F.coalesce("component_id", "_least").alias("component_id")))
+    return salted_join(owner, marked.select("_id", "node"), ["node"], "_id").select(F.col("_id").alias(id_col), "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component; all columns are kept.  Links need
     four fifths of the five-word shingles in common.  Of rows that repeat an id one stays.  Only ids are
     shuffled, and texts where ids repeat."""
-    found = settle(near_duplicates(docs, id_col, text_col, likeness=likeness).select(id_col, "component_id"))
+    found = settle(near_copies(docs, id_col, text_col, likeness))
     dropped = settle(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct())
     out = docs.join(dropped, id_col, "left_anti")
     again = settle(found.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(id_col))
