@@ -485,29 +485,30 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = shingle_sets(wanted, "_id", "_text", shingle, whole=True).join(asked, "node", "left_semi")
     sets = settle(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
     tried, found = Ledger(docs.sparkSession), Ledger(docs.sparkSession)
-    k = 1
+    k, rows = 1, None
     while True:
         left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
         common = F.size(F.array_intersect("x", "y"))
-        judged = (salted_join(left, pairs, ["a"], "b").join(right, "b")
+        judged = settle(salted_join(left, pairs, ["a"], "b").join(right, "b")
                   .filter(common + 1e-9 >= likeness * (F.size("x") + F.size("y") - common)).select("a", "b"))
         found.add(judged)
         tried.add(pairs)
-        owned = members.filter("n > 2").select("key", "n", "node").join(connected_components(found.read()), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        owned = settle(owned)
-        mixed = settle(owned.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key"))
-        if is_empty(mixed):
-            break
-        pieces = F.ceil(F.col("n") / GROUP_LIMIT).cast("int")
-        cut = (salted_join(mixed, owned, ["key"], "node").withColumn("pieces", pieces)
-               .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-               .select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "node", "component"))
-        rows = salted_join(first.select("node", "sketch"), cut, ["node"], "key").select("key", "i", "j", "node", "component", "sketch")
+        if rows is None or not is_empty(judged):
+            owned = members.filter("n > 2").select("key", "n", "node").join(connected_components(found.read()), "node", "left").withColumn("component", F.coalesce("component", "node"))
+            owned = settle(owned)
+            mixed = settle(owned.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key"))
+            if is_empty(mixed):
+                break
+            pieces = F.ceil(F.col("n") / GROUP_LIMIT).cast("int")
+            cut = (salted_join(mixed, owned, ["key"], "node").withColumn("pieces", pieces)
+                   .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+                   .select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "node", "component"))
+            rows = salted_join(first.select("node", "sketch"), cut, ["node"], "key").select("key", "i", "j", "node", "component", "sketch")
         more = settle(_ordered(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_nearest(low, k), "a bigint, b bigint")))
         pairs = settle(more.filter("a <> b").join(tried.read(), ["a", "b"], "left_anti"))
         if is_empty(pairs) and is_empty(more.filter("a = b")):
             break
-        k *= 4
+        k *= 16
     reached = connected_components(found.read())
     linked = settle(first.select("node", "_least").join(reached, "node"))
     least = linked.groupBy("component").agg(F.min("_least").alias("component_id"))

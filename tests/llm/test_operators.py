@@ -165,6 +165,31 @@ def test_likeness_links_do_not_depend_on_the_size(spark, monkeypatch):
     assert got == {k: find(k) for k in own}
 
 
+def test_near_copies_equal_exact_shingle_sets(spark, monkeypatch):
+    """Shares around four fifths: no link that the sets do not have, and few that they have are lost."""
+    monkeypatch.setattr(simhash, "GROUP_LIMIT", 3)
+    rng = random.Random(18)
+    rows = []
+    for k in range(40):
+        words = [f"t{k}w{rng.randrange(900)}" for _ in range(rng.choice((12, 60, 300)))]
+        rows += [" ".join(words), *(varied(rng, words, max(1, c * len(words) // 300)) for c in (2, 5, 6, 7, 9, 12))]
+    rows = list(enumerate([*rows, rows[0], None, " ", "a", "A"]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    sets = {k: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for k, t in rows}
+    root = {k: k for k in sets}
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+    pairs = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    assert all(find(k) == find(c) for k, c in got.items())
+    assert len(pairs) > 60 and sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+
+
 def test_sketches_estimate_common_shingles():
     rng = random.Random(14)
     for changes in (0, 1, 3, 10, 40):
