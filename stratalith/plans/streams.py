@@ -13,8 +13,10 @@ from .registry import query
 
 
 def _stream(spark, sf, name):
+    """The table as a stream, whether it is one file or a folder of part files.  A stream takes a plain path
+    for a folder; a pattern may match either."""
     schema = i.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _space(spark):
