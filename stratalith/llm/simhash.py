@@ -41,6 +41,8 @@ PLACES = 128
 BANDS, BAND = 25, 5
 #: Distinct sketches that are compared at a time.
 GROUP_LIMIT = 1024
+#: Shingles of the sets that are compared at a time.
+GROUP_SHINGLES = 1 << 20
 #: How far below a likeness an estimate may lie for a pair to be compared by its shingles: 2.8 standard
 #: deviations of an estimate from 128 places at four fifths.
 SLACK = 0.1
@@ -412,35 +414,44 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, whol
     return picked.mapInArrow(run, f"_id {picked.schema['_id'].dataType.simpleString()}, node bigint, {rest}")
 
 
-def _nearest(low: float, k: int):
-    """Partitions sorted by block in, ``a, b`` out: for every row its ``k`` most alike partners in other
-    components, if they are alike by ``low``.  A pair of a row with itself says that it has more."""
+def set_links(nodes: list[int], components: list[int], sets: list[np.ndarray], likeness: float) -> list[tuple[int, int]]:
+    """Links between rows of different components that connect all whose ``sets`` (none empty, no repeats)
+    have the share ``likeness`` in common; fewer than its rows."""
+    _, root = np.unique(np.array(components), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    held, links = np.zeros(len(values), np.int32), []
+    for k in range(1, len(nodes)):
+        if (root[:k] == root[k]).all():
+            continue
+        own = codes[ends[k - 1]:ends[k]]
+        held[own] = 1
+        common = np.add.reduceat(held[codes[:ends[k - 1]]], ends[:k] - sizes[:k])
+        held[own] = 0
+        for at in np.flatnonzero(common + 1e-9 >= likeness * (sizes[:k] + sizes[k] - common)).tolist():
+            if root[at] != root[k]:
+                root[root == root[at]] = root[k]
+                links.append((nodes[k], nodes[at]))
+    return links
+
+
+def _set_blocks(likeness: float):
+    """Partitions ``key, i, j, node, component, shingles`` sorted by block in, links out; a block may go on
+    in the next batch."""
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("nearest", dict)
+        kept("set blocks", dict)
         block, rows = None, []
-        def done() -> pa.RecordBatch:
-            node, component, own = zip(*rows)
-            own, out = np.frombuffer(b"".join(own), np.uint8).reshape(-1, PLACES), []
-            root = np.array(component)
-            for at in range(len(node)):
-                others = np.flatnonzero(root != root[at])
-                share = likenesses(own[others], own[at:at + 1])
-                near = others[share >= low]
-                if len(near) > k:
-                    near = near[np.argsort(-share[share >= low], kind="stable")[:k]]
-                    out.append((node[at], node[at]))
-                out += [(node[at], node[x]) for x in near.tolist()]
-            return _pairs(out)
         for batch in batches:
-            for *here, node, component, own in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, (*here, node, component) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]))):
                 if here != block:
                     if len(rows) > 1:
-                        yield done()
+                        yield _pairs(set_links(*map(list, zip(*rows)), likeness))
                     block, rows = here, []
-                rows.append((node, component, own))
+                rows.append((node, component, batch.column(5)[at].values.to_numpy().copy()))
         if len(rows) > 1:
-            yield done()
+            yield _pairs(set_links(*map(list, zip(*rows)), likeness))
     return run
 
 
@@ -453,10 +464,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the share ``likeness`` in common, as the sets themselves say.
 
     Candidates are texts whose fingerprints lie within ``radius`` (from the BK-trees) and texts that share a
-    band of their sketches.  Those whose sketches are alike, less ``SLACK``, are compared by their sets.  First
-    every text meets one text of its group; then, in groups that still hold several components, every text
-    meets its most alike partners in other components, more of them from round to round until none is left,
-    so a group of copies is settled with few pairs.
+    band of their sketches.  First every text meets one text of its group: pairs whose sketches are alike, less
+    ``SLACK``, are compared by their sets.  Groups that still hold several components are then compared
+    whole, set by set, in blocks of bounded size that say only how their rows are connected; no table of
+    pairs is made, so rows do not grow with the square of a group.
 
     ``component_id`` is the smallest id that is reached.  Equal sets are one text; null and blank texts have
     the empty set.  Repeated rows share a component; a text that occurs under null ids only links nothing;
@@ -484,31 +495,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(owners.select(F.col("_least").alias("_id")).distinct(), "_id", "left_semi")
     sets = shingle_sets(wanted, "_id", "_text", shingle, whole=True).join(asked, "node", "left_semi")
     sets = settle(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    tried, found = Ledger(docs.sparkSession), Ledger(docs.sparkSession)
-    k, rows = 1, None
-    while True:
-        left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-        common = F.size(F.array_intersect("x", "y"))
-        judged = settle(salted_join(left, pairs, ["a"], "b").join(right, "b")
-                  .filter(common + 1e-9 >= likeness * (F.size("x") + F.size("y") - common)).select("a", "b"))
-        found.add(judged)
-        tried.add(pairs)
-        if rows is None or not is_empty(judged):
-            owned = members.filter("n > 2").select("key", "n", "node").join(connected_components(found.read()), "node", "left").withColumn("component", F.coalesce("component", "node"))
-            owned = settle(owned)
-            mixed = settle(owned.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key"))
-            if is_empty(mixed):
-                break
-            pieces = F.ceil(F.col("n") / GROUP_LIMIT).cast("int")
-            cut = (salted_join(mixed, owned, ["key"], "node").withColumn("pieces", pieces)
-                   .withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-                   .select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "node", "component"))
-            rows = salted_join(first.select("node", "sketch"), cut, ["node"], "key").select("key", "i", "j", "node", "component", "sketch")
-        more = settle(_ordered(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_nearest(low, k), "a bigint, b bigint")))
-        pairs = settle(more.filter("a <> b").join(tried.read(), ["a", "b"], "left_anti"))
-        if is_empty(pairs) and is_empty(more.filter("a = b")):
-            break
-        k *= 16
+    left, right = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    common = F.size(F.array_intersect("x", "y"))
+    found = Ledger(docs.sparkSession)
+    found.add(salted_join(left, pairs, ["a"], "b").join(right, "b")
+              .filter(common + 1e-9 >= likeness * (F.size("x") + F.size("y") - common)).select("a", "b"))
+    owned = settle(members.filter("n > 2").select("key", "node").join(sets.select("node", F.size("shingles").alias("size")), "node")
+                   .join(connected_components(found.read()), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    pieces = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_LIMIT), F.ceil(F.sum("size") / GROUP_SHINGLES)).cast("int").alias("pieces")
+    mixed = settle(owned.groupBy("key").agg(pieces, F.min("component").alias("least"), F.max("component").alias("most")).filter("least < most").select("key", "pieces"))
+    if not is_empty(mixed):
+        # Two pieces share a block, so a piece needs one of its own only where it is the whole group.
+        cut = settle(salted_join(mixed, owned, ["key"], "node").withColumn("piece", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+                     .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).filter("piece <> other OR pieces = 1")
+                     .select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "node", "component"))
+        rows = salted_join(sets, cut, ["node"], "key").select("key", "i", "j", "node", "component", "shingles")
+        found.add(rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_set_blocks(likeness), "a bigint, b bigint"))
     reached = connected_components(found.read())
     linked = settle(first.select("node", "_least").join(reached, "node"))
     least = linked.groupBy("component").agg(F.min("_least").alias("component_id"))
