@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions import linear
 from ..functions import vectors as v
-from ..session import is_empty, settle
+from ..session import is_empty, settle, stored_bytes
 from .graph import connected_components, parity
 from .mesh import _remap, corners, face_normals
 from .neighbors import knn_join
 from .points import affine_transform
+from .retrieval import BROADCAST_BYTES, small
 from .skew import salted_join
 
 
@@ -107,23 +108,34 @@ def radius_components(points: DataFrame, reach: float, coords: Sequence[str]) ->
     return named.join(cc, "node").groupBy("component").agg(F.min("id").alias("least")).join(cc, "component").join(named, "node").select(F.col("id").alias("node"), F.col("least").alias("component"))
 
 
+def _per_group(values: DataFrame, rows: DataFrame, by: str) -> DataFrame:
+    """A settled table joined with one row per group.  In a loop every broadcast adds to what the driver holds,
+    so small tables are shuffled; a large one stays where it is, if the rows of its groups are few."""
+    if stored_bytes(values) <= BROADCAST_BYTES:
+        return values.hint("merge").join(rows, by)
+    return values.join(small(rows), by)
+
+
 def interval_centers(points: DataFrame, p: int, by: str) -> DataFrame:
     """Smallest radius so that p intervals cover all x of a group; all groups share every job.
 
     A test starts at the smallest x and jumps p times to the first x beyond the cover.  A radius that
     fits is at once lowered to half the longest interval really used, so the answer is always half
     the difference of two points and is exact when the bracket has closed, which halving ends in a bounded number of rounds.
+    The values are written once, equal ones as one, and every jump is written, so no jump is worked out again.
     """
+    points = settle(points.select(by, "x").distinct())
     state = settle(points.groupBy(by).agg(F.min("x").alias("first"), F.max("x").alias("last"))
                    .withColumn("lo", F.lit(-1e-300)).withColumn("hi", (F.col("last") - F.col("first")) / 2))
     while True:
         at = state.withColumn("r", F.greatest((F.col("lo") + F.col("hi")) / 2, F.lit(0.0))).withColumn("start", F.col("first")).withColumn("used", F.lit(0.0)).withColumn("end", F.col("first"))
         for _ in range(p):
             cover = F.col("start") + 2 * F.col("r")
-            step = points.join(at.select(by, "start", "r"), by).groupBy(by).agg(
+            step = _per_group(points, at.select(by, "start", "r"), by).groupBy(by).agg(
                 F.max(F.when(F.col("x") <= cover, F.col("x"))).alias("e"), F.min(F.when(F.col("x") > cover, F.col("x"))).alias("n"))
-            at = at.join(step, by).withColumn("used", F.greatest("used", F.col("e") - F.col("start"))).withColumn("end", F.col("e")).withColumn(
+            at = at.hint("merge").join(step, by).withColumn("used", F.greatest("used", F.col("e") - F.col("start"))).withColumn("end", F.col("e")).withColumn(
                 "start", F.coalesce("n", F.col("e"))).drop("e", "n")
+            at = settle(at)
         fits = F.col("end") >= F.col("last")
         state = settle(at.select(by, "first", "last", F.when(fits, F.col("lo")).otherwise(F.col("r")).alias("lo"), F.when(fits, F.col("used") / 2).otherwise(F.col("hi")).alias("hi")))
         if is_empty(state.filter((F.col("hi") > 0) & (F.col("hi") - F.col("lo") > 1e-12 * F.col("hi")))):
@@ -138,11 +150,12 @@ def interval_assignment(points: DataFrame, p: int, by: str, ident: str = "id") -
     The first interval starts at a group's smallest x, each next one at the first x beyond the last; a
     group keeps at most ``p`` starts, which meet its points by a join on the group.
     """
-    radii = settle(interval_centers(points.select(by, "x"), p, by))
-    starts = radii.join(points.groupBy(by).agg(F.min("x").alias("s")), by).select(by, "radius", F.array("s").alias("starts"))
+    values = settle(points.select(by, "x").distinct())
+    radii = settle(interval_centers(values, p, by))
+    starts = radii.join(values.groupBy(by).agg(F.min("x").alias("s")), by).select(by, "radius", F.array("s").alias("starts"))
     for _ in range(p - 1):
         last = F.element_at("starts", -1)
-        beyond = points.select(by, "x").join(starts.select(by, last.alias("s"), "radius"), by).filter(F.col("x") > F.col("s") + 2 * F.col("radius")).groupBy(by).agg(F.min("x").alias("n"))
+        beyond = _per_group(values, starts.select(by, last.alias("s"), "radius"), by).filter(F.col("x") > F.col("s") + 2 * F.col("radius")).groupBy(by).agg(F.min("x").alias("n"))
         starts = settle(starts.join(beyond, by, "left").select(by, "radius", F.when(F.col("n").isNull(), F.col("starts")).otherwise(F.concat("starts", F.array("n"))).alias("starts")))
     number = F.size(F.filter("starts", lambda s: s <= F.col("x"))) - 1
     placed = salted_join(starts, points.select(by, ident, "x"), [by], ident)
