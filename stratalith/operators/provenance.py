@@ -204,17 +204,23 @@ def dag_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
     A step with one open dependency is a function of it, and chains of such functions are folded by
     pointer doubling; the steps with several dependencies then depend on each other directly, and those
     whose dependencies have come to be one are folded in the next round.  So a chain takes rounds
-    logarithmic in its length, not one per level.
+    logarithmic in its length, not one per level.  Steps without a known dependency have level 0 and take
+    no part in the rounds.
     """
     spark, keys = steps.sparkSession, ["plan_id", "step_id"]
     counted = steps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     known = counted.select("plan_id", F.col("step_id").alias("depends_on"))
-    dangling = edges.join(known, ["plan_id", "depends_on"], "left_anti").select(*keys).distinct().withColumn("_bad", F.lit(True))
-    every = settle(counted.join(dangling, keys, "left").select(*keys, "n", F.coalesce("_bad", F.lit(False)).alias("dangling")))
+    told = settle(edges.distinct().join(known.withColumn("_known", F.lit(True)), ["plan_id", "depends_on"], "left").select(*keys, "depends_on", F.coalesce("_known", F.lit(False)).alias("_known")))
     node = F.struct(*keys).alias("v")
-    links = settle(edges.join(known, ["plan_id", "depends_on"], "left_semi").select(node, F.struct("plan_id", F.col("depends_on").alias("step_id")).alias("d")).distinct().withColumn("w", F.lit(1)))
+    links = told.filter("_known").select(node, F.struct("plan_id", F.col("depends_on").alias("step_id")).alias("d"), F.lit(1).alias("w"))
+    linked = settle(links.select("v").distinct())
     resolved = Ledger(spark)
-    base = settle(every.select(node).withColumn("b", F.lit(0)))
+    # A dependency that has none itself adds its one level at once.
+    there = linked.withColumnsRenamed({"v": "d"}).withColumn("_open", F.lit(True))
+    sorted_out = settle(links.join(there, "d", "left"))
+    ready = sorted_out.filter("_open IS NULL").groupBy("v").agg(F.max("w").alias("b"))
+    base = settle(linked.join(ready, "v", "left").select("v", F.coalesce("b", F.lit(0)).alias("b")))
+    links = sorted_out.filter("_open").select("v", "d", "w")
     fresh = settle(base.limit(0).select("v", F.col("b").alias("level")))
     hanging: list[DataFrame] = []
     while True:
@@ -239,7 +245,10 @@ def dag_levels(steps: DataFrame, edges: DataFrame) -> DataFrame:
             break
     for part in reversed(hanging):
         resolved.add(part.join(resolved.read().withColumnRenamed("v", "d"), "d").select("v", F.greatest("b", F.col("level") + F.col("w")).alias("level")))
-    out = every.join(resolved.read().select("v.*", "level"), keys, "left")
+    marks = steps.select(*keys, F.lit(1).alias("n"), F.lit(False).alias("dangling"), F.lit(False).alias("linked")).unionByName(
+        told.select(*keys, F.lit(0).alias("n"), (~F.col("_known")).alias("dangling"), F.col("_known").alias("linked")))
+    every = marks.groupBy(*keys).agg(F.sum("n").alias("n"), F.bool_or("dangling").alias("dangling"), F.bool_or("linked").alias("linked")).filter("n > 0")
+    out = every.join(resolved.read().select("v.*", "level"), keys, "left").withColumn("level", F.when(F.col("linked"), F.col("level")).otherwise(0))
     problem = F.when(F.col("n") > 1, "duplicate_id").when(F.col("dangling"), "dangling").when(F.col("level").isNull(), "cycle")
     return out.select(*keys, "level", problem.alias("problem"))
 

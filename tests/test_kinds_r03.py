@@ -4,6 +4,7 @@ import random
 import re
 
 from stratalith.operators import evaluation as ev
+from stratalith.operators import provenance as pv
 from stratalith.operators import retrieval as rt
 
 
@@ -57,3 +58,19 @@ def test_only_prefixes_of_shingle_sets_are_shuffled(spark, monkeypatch):
                 want[n, m] = round(len(a & b) / len(a | b), 9)
     assert got == want and len(want) > 10
     assert max(df.count() for df in seen) < 0.6 * sum(map(len, sets.values()))
+
+
+def test_steps_without_dependencies_stay_out_of_the_rounds(spark, monkeypatch):
+    """A chain, a cycle, a fork and a dangling edge among three hundred lone steps: only steps with edges are written."""
+    written = []
+    real = pv.settle
+    monkeypatch.setattr(pv, "settle", lambda df: written.append(real(df)) or written[-1])
+    steps = [(1, n) for n in range(300)] + [(1, 5), (2, 1)]
+    edges = [(1, 2, 1), (1, 3, 2), (1, 3, 2), (1, 4, 3), (1, 10, 11), (1, 11, 10), (1, 12, 10), (1, 20, 4), (1, 20, 1), (1, 30, 999), (1, 31, 30), (7, 1, 1)]
+    got = {(r[0], r[1]): (r["level"], r["problem"]) for r in pv.dag_levels(
+        spark.createDataFrame(steps, "plan_id long, step_id long"), spark.createDataFrame(edges, "plan_id long, step_id long, depends_on long")).collect()}
+    want = {s: (0, None) for s in steps}
+    want.update({(1, 2): (1, None), (1, 3): (2, None), (1, 4): (3, None), (1, 20): (4, None), (1, 31): (1, None), (1, 30): (0, "dangling"), (1, 5): (0, "duplicate_id"),
+                 (1, 10): (None, "cycle"), (1, 11): (None, "cycle"), (1, 12): (None, "cycle")})
+    assert got == want
+    assert max(df.count() for df in written) <= len(edges)
