@@ -74,3 +74,18 @@ def test_steps_without_dependencies_stay_out_of_the_rounds(spark, monkeypatch):
                  (1, 10): (None, "cycle"), (1, 11): (None, "cycle"), (1, 12): (None, "cycle")})
     assert got == want
     assert max(df.count() for df in written) <= len(edges)
+
+
+def test_documents_are_scored_where_they_lie(spark, monkeypatch):
+    """With few terms no table of candidate pairs is made; the best are those of the whole ranking, and of the bounded way."""
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(n, " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "alphabet"], k=rng.randrange(1, 9)))) for n in range(80)], "id long, text string")
+    asked = spark.createDataFrame([(1, ["alpha", "beta"]), (2, ["gamma", "eta"]), (3, ["nowhere"])], "q long, terms array<string>")
+    told = lambda df: sorted((r["q"], r["rank"], r["id"], round(r["score"], 6), tuple(sorted(r["matched"]))) for r in df.collect())
+    search = lambda k: rt.bm25_search(docs, asked, "id", "q", "terms", {"text": 1.0}, k)
+    whole = told(search(None).filter("rank <= 5"))
+    with monkeypatch.context() as m:
+        m.setattr(rt, "BROADCAST_BYTES", 0)
+        assert told(search(5)) == whole
+    monkeypatch.delattr(rt, "bounded_candidates")
+    assert told(search(5)) == whole and len(whole) == 10
