@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..session import Ledger, is_empty, settle
 from .ordering import global_running_sum, grouped_rank
+from .skew import packed, salted_join
 
+#: Least number of classes of one kernel in a piece, each standing for many operations or requests; and the pieces aimed at.
+CLASS_ROWS, PIECES = 64, 256
 
 
 # -- store ------------------------------------------------------------------------------------
@@ -355,16 +358,24 @@ def gate_candidates(operations: DataFrame, constraints: DataFrame) -> DataFrame:
     """``request_id, operation_id`` pairs that pass every hard gate of a request.
 
     Both tables carry ``kernel``, so the gate that is an equality is the join key and the others are
-    filters; a null constraint means the gate is open.
+    filters; a null constraint means the gate is open.  Operations that no gate can tell apart are one class,
+    and so are such requests: the gates are tried once per pair of classes, then their members are listed.
     """
-    c = constraints.select("request_id", *[F.col(n).alias(f"want_{n}") for n in ("statuses", "input_type", "dependencies", "licenses")], "kernel")
+    wants = ["statuses", "input_type", "dependencies", "licenses"]
+    gates = ["status", "accepted_types", "dependencies", "license"]
+    ops = packed(operations.filter("kernel IS NOT NULL"), ["kernel", *gates], "operation_id")
+    asked = packed(constraints.filter("kernel IS NOT NULL").select("request_id", *[F.col(n).alias(f"want_{n}") for n in wants], "kernel"), ["kernel", *[f"want_{n}" for n in wants]], "request_id")
     open_ = lambda name, test: F.col(f"want_{name}").isNull() | test
     passed = (
         open_("statuses", F.array_contains("want_statuses", F.col("status")))
         & open_("input_type", F.array_contains("accepted_types", F.col("want_input_type")))
         & open_("dependencies", F.size(F.array_except("dependencies", "want_dependencies")) == 0)
         & open_("licenses", F.array_contains("want_licenses", F.col("license"))))
-    return operations.join(c, "kernel").filter(passed).select("request_id", "operation_id")
+    ops, asked = settle(ops), settle(asked)
+    # Kernels may be few, so their classes are cut into pieces, about as many for tables of any size.
+    rows = max(CLASS_ROWS, max(ops.count(), asked.count()) // PIECES)
+    pairs = salted_join(ops, asked, ["kernel"], "request_id", rows).filter(passed).select("request_id", "operation_id")
+    return pairs.withColumn("request_id", F.explode("request_id")).withColumn("operation_id", F.explode("operation_id"))
 
 
 def match_input_types(offers: DataFrame, slots: DataFrame) -> DataFrame:

@@ -43,3 +43,24 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread:
         return marked.withColumn(f"_salt{own}", salt).withColumn(f"_salt{other}", F.explode(F.sequence(F.lit(0), F.col(f"_{other}") - 1))).drop("_left", "_right")
     both = cut(left, "left", "right", whole).join(cut(right, "right", "left", [F.col(spread)]), [*keys, "_saltleft", "_saltright"])
     return both.drop("_saltleft", "_saltright")
+
+
+#: Members of one class that are put into one array.
+PACK = 4096
+
+
+def packed(members: DataFrame, keys: Sequence[str], name: str, size: int = PACK) -> DataFrame:
+    """The values ``name`` of every key (nulls are keys too) as arrays of about ``size``, one or more rows per key.
+
+    A join on them carries one row for a whole array, so pairs of members are only written out where they are
+    listed, by ``explode``, and not shuffled."""
+    rest = members.select(*keys, name)
+    hot = settle(rest.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_pieces")).filter("_pieces > 1"))
+    found = hot.limit(BROADCAST_KEYS + 1).count()
+    if not found:
+        return rest.groupBy(*keys).agg(F.collect_list(name).alias(name))
+    hot = hot.withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)]
+    cut = rest.join(F.broadcast(hot) if found <= BROADCAST_KEYS else hot, same, "left")
+    cut = cut.withColumn("_piece", F.pmod(F.xxhash64(name), F.coalesce("_pieces", F.lit(1))))
+    return cut.groupBy(*keys, "_piece").agg(F.collect_list(name).alias(name)).drop("_piece")
